@@ -67,7 +67,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """Per document: doc_id, license_id and dice of the best match, line_no (from 1; 0: the whole text), licenses, n_matches.
 
     The best match has the highest coefficient, then the least line_no and licence name; `licenses` are the names of all
-    matches, sorted and comma-joined; no match gives nulls, '' and 0. A null text has no units; units without a bigram never
+    matches, sorted and comma-joined; no match gives null, null, -1,
+    '' and 0. A null text has no units; units without a bigram never
     match; a text of one line is compared as that line too. Repeated rows are scanned each; an empty table gives no rows.
     """
     known = Templates(templates, threshold)
@@ -80,7 +81,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 lines = [words_of(line) for line in raw.split(b"\n")]
                 found = [(-d, i + 1, name) for i, w in enumerate(lines) for name, d in known.match(w)]
                 found += [(-d, 0, name) for name, d in known.match([w for line in lines for w in line])]
-            best = min(found, default=(None, None, None))
+            best = min(found, default=(None, -1, None))
             names = ",".join(sorted({x[2] for x in found}))
             rows.append((best[2], None if best[0] is None else round(-best[0], 6), best[1], names, len(found)))
         columns = list(zip(*rows)) if rows else [[]] * 5

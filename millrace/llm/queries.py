@@ -111,7 +111,7 @@ k AS (SELECT r, line_no, name, round(2.0 * common / total, 6) AS dice, 2.0 * com
 b AS (SELECT r, first(name ORDER BY exact DESC, line_no, name) AS license_id, first(dice ORDER BY exact DESC, line_no, name) AS dice,
         first(line_no ORDER BY exact DESC, line_no, name) AS line_no, count(*) AS n FROM k GROUP BY r),
 s AS (SELECT r, string_agg(name, ',' ORDER BY name) AS licenses FROM (SELECT DISTINCT r, name FROM k) GROUP BY r)
-SELECT doc_id, license_id, dice::DOUBLE AS dice, line_no::BIGINT AS line_no, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_matches
+SELECT doc_id, license_id, dice::DOUBLE AS dice, coalesce(line_no, -1)::BIGINT AS line_no, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_matches
 FROM d LEFT JOIN b USING (r) LEFT JOIN s USING (r)
 """
 

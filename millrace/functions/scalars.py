@@ -167,8 +167,13 @@ def header_value(headers, name: str) -> Column:
     return F.get(found, 0)
 
 
+def epoch_s(c) -> Column:
+    """Seconds since the epoch, with fractions, of a timestamp with or without a zone."""
+    return col(c).cast("timestamp").cast("double")
+
+
 def _seconds(later: Column, earlier: Column) -> Column:
-    return (later.cast("double") - earlier.cast("double")).cast("double")
+    return epoch_s(later) - epoch_s(earlier)
 
 
 def relative_time(c, now: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import epoch_s
+
 # Fixed values: (direction, warn, fail) of each metric.
 THRESHOLDS = {
     "graphql_remaining": ("lt", 100.0, 10.0), "incomplete_results_ratio": ("gt", 0.05, 0.2), "rate_422": ("gt", 0.0, 0.02),
@@ -84,7 +86,7 @@ def hit_streaks(log: DataFrame, key: str, order: list[str], status: str = "statu
     ended = log.where(hit | F.col(status).between(200, 299) | (F.col(status) == 304)).withColumn("_hit", hit)
     hits = ended.withColumn("_ok", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(upto)).where("_hit")
     before, ok = F.lag(ts).over(w), F.lag("_ok").over(w)
-    fresh = before.isNull() | (ok != F.col("_ok")) | (F.col(ts).cast("double") - before.cast("double") > gap)
+    fresh = before.isNull() | (ok != F.col("_ok")) | (epoch_s(ts) - epoch_s(before) > gap)
     marked = hits.withColumn("_new", F.when(fresh, 1).otherwise(0)).withColumn("total", F.count(F.lit(1)).over(upto))
     marked = marked.withColumn("_run", F.sum("_new").over(upto))
     return marked.withColumn("streak", F.row_number().over(Window.partitionBy(key, "_run").orderBy(*order))).drop("_hit", "_ok", "_new", "_run")
@@ -123,7 +125,7 @@ def quota_table(spark: SparkSession) -> DataFrame:
 def quota_windows(log: DataFrame, quotas: DataFrame, ts: str = "ts") -> DataFrame:
     """Per resource, token and fixed window: used, remaining, exhausted. Windows are aligned to the epoch."""
     timed = log.join(F.broadcast(quotas), "resource")
-    start = (F.floor(F.unix_timestamp(ts) / F.col("seconds")) * F.col("seconds")).cast("timestamp")
+    start = (F.floor(epoch_s(ts) / F.col("seconds")) * F.col("seconds")).cast("timestamp")
     used = timed.groupBy("resource", "token", start.alias("start"), "quota").agg(F.count(F.lit(1)).alias("used"))
     return used.select("resource", "token", "start", "used", F.greatest(F.col("quota") - F.col("used"), F.lit(0)).alias("remaining"), (F.col("used") >= F.col("quota")).alias("exhausted"))
 
@@ -139,6 +141,6 @@ def live_slo(log: DataFrame, ts: str = "ts", width: str = "10 minutes", slide: s
     hit = F.count_if(F.col("status").isin(403, 429))
     return (
         log.groupBy(F.window(ts, width, slide).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"), hit.alias("throttled"), F.round(F.avg("latency_ms"), 4).alias("mean_latency"))
+        .agg(F.count(F.lit(1)).alias("n"), hit.alias("throttled"), F.avg("latency_ms").alias("mean_latency"))
         .select(F.col("w.start").alias("start"), "n", "throttled", "mean_latency")
     )

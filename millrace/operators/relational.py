@@ -142,7 +142,7 @@ def previous_runs(df: DataFrame, key: str, at: str, id_: str, n: int = 3) -> Dat
     """(row id, previous row id, rank 1..n) of the rows of one key before each row, newest first."""
     w = Window.partitionBy(key).orderBy(at, id_)
     lags = F.array(*[F.lag(id_, k).over(w) for k in range(1, n + 1)])
-    return df.select(id_, F.posexplode(lags).alias("rank", "previous")).where("previous IS NOT NULL").select(id_, "previous", (F.col("rank") + 1).alias("rank"))
+    return df.withColumn("_lags", lags).select(id_, F.posexplode("_lags").alias("rank", "previous")).where("previous IS NOT NULL").select(id_, "previous", (F.col("rank") + 1).alias("rank"))
 
 
 def last_n_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import DROP, KEEP, UNKNOWN
-from millrace.functions.scalars import iso_utc, span_text
+from millrace.functions.scalars import epoch_s, iso_utc, span_text
 from millrace.operators.merge import dedupe_latest
 from millrace.operators.relational import cap, latest_ready, rank_candidates, sort_result
 
@@ -121,7 +121,7 @@ def run_flags(runs: DataFrame, key: str = "id", virtuals: str | None = None) ->
 
 def progress_eta(runs: DataFrame, now: Column) -> DataFrame:
     """runs (phase_started, finished, done, total) with percent, elapsed_s, eta_s and eta text."""
-    elapsed = F.greatest(F.coalesce("finished", now).cast("double") - F.col("phase_started").cast("double"), F.lit(0.0))
+    elapsed = F.greatest(epoch_s(F.coalesce("finished", now)) - epoch_s("phase_started"), F.lit(0.0))
     rest = F.col("elapsed_s") * (F.col("total") - F.col("done")) / F.col("done")
     ok = (F.col("total") > 0) & (F.col("done") >= 2) & (F.col("elapsed_s") > 0)
     out = runs.withColumn("elapsed_s", elapsed).withColumn("percent", F.when(F.col("total") > 0, F.floor(F.col("done") * 100 / F.col("total"))))

@@ -292,7 +292,7 @@ def _(t):
     return out.select("id", "country", "confidence")
 
 
-@query("l11_build_corpus", "WITH d AS (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS o_totalprice, max_by(o_orderpriority, o_orderkey) AS p, max(o_orderdate) AS at, min(o_orderkey) AS pos FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), k AS (SELECT * FROM d ORDER BY o_totalprice DESC, at DESC, pos LIMIT 500) SELECT o_custkey, o_totalprice FROM k WHERE o_totalprice >= 20000 AND p <> '1-URGENT'")
+@query("l11_build_corpus", "WITH d AS (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS o_totalprice, max_by(o_orderpriority, o_orderkey) AS p, max(o_orderdate) AS pushed, min(o_orderkey) AS pos FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), k AS (SELECT * FROM d ORDER BY o_totalprice DESC, pushed DESC, pos LIMIT 500) SELECT o_custkey, o_totalprice FROM k WHERE o_totalprice >= 20000 AND p <> '1-URGENT'")
 def _(t):
     keep = lambda c: F.when(c, P.KEEP).otherwise(P.DROP)
     filters = {"min_stars": keep(P.min_stars("o_totalprice", 20000)), "team_topic": keep(F.col("o_orderpriority") != "1-URGENT")}
@@ -330,7 +330,7 @@ def _(t):
 @query("t03_quota_windows", L + ", q AS (SELECT *, CASE resource WHEN 'search' THEN 30 WHEN 'code_search' THEN 10 ELSE 5000 END AS quota, CASE WHEN resource IN ('search', 'code_search') THEN 60 ELSE 3600 END AS s FROM lg) SELECT resource, token, (floor(epoch(ts) / s) * s)::BIGINT AS start, count(*) AS used, greatest(any_value(quota) - count(*), 0)::BIGINT AS remaining, count(*) >= any_value(quota) AS exhausted FROM q GROUP BY resource, token, start")
 def _(t):
     used = logs.quota_windows(response_log(t), logs.quota_table(t.spark))
-    return used.withColumn("start", F.unix_timestamp("start")).withColumn("remaining", F.col("remaining").cast("long"))
+    return used.withColumn("start", F.round(S.epoch_s("start")).cast("long")).withColumn("remaining", F.col("remaining").cast("long"))
 
 
 _SESSION = ", h AS (SELECT token, ts, id, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts) - epoch(lag(ts) OVER w) > 86400 THEN 1 ELSE 0 END AS fresh FROM lg WHERE status IN (403, 429) WINDOW w AS (PARTITION BY token ORDER BY ts, id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY token ORDER BY ts, id) AS g FROM h) SELECT token, count(*) AS hits, epoch(min(ts))::BIGINT AS first, epoch(max(ts))::BIGINT AS last FROM s GROUP BY token, g"  # noqa: E501
@@ -339,12 +339,13 @@ _SESSION = ", h AS (SELECT token, ts, id, CASE WHEN lag(ts) OVER w IS NULL OR ep
 @query("t04_throttle_sessions", L + _SESSION.replace("(epoch", "(epoch"))
 def _(t):
     s = logs.throttle_sessions(response_log(t), "token", gap="86400 seconds")
-    return s.select("token", "hits", F.round(F.col("first").cast("double")).cast("long").alias("first"), F.round(F.col("last").cast("double")).cast("long").alias("last"))
+    return s.select("token", "hits", F.round(S.epoch_s("first")).cast("long").alias("first"), F.round(S.epoch_s("last")).cast("long").alias("last"))
 
 
-@query("t05_live_slo", L + ", w AS (SELECT unnest(range((epoch(ts)::BIGINT // 60 - 9) * 60, (epoch(ts)::BIGINT // 60 + 1) * 60, 60)) AS start, * FROM (SELECT to_timestamp(floor(epoch(ts))) AS ts, status, latency_ms FROM lg)) SELECT start, count(*) AS n, count(*) FILTER (status IN (403, 429)) AS throttled, round(avg(latency_ms), 4) AS mean_latency FROM w GROUP BY 1")
+@query("t05_live_slo", L + ", w AS (SELECT unnest(range((epoch(ts)::BIGINT // 60 - 9) * 60, (epoch(ts)::BIGINT // 60 + 1) * 60, 60)) AS start, * FROM (SELECT to_timestamp(floor(epoch(ts))) AS ts, status, latency_ms FROM lg)) SELECT start, count(*) AS n, count(*) FILTER (status IN (403, 429)) AS throttled, round(sum(latency_ms), 2) AS latency FROM w GROUP BY 1")
 def _(t):
-    return logs.live_slo(response_log(t)).withColumn("start", F.unix_timestamp("start"))
+    slo = logs.live_slo(response_log(t))
+    return slo.select(F.round(S.epoch_s("start")).cast("long").alias("start"), "n", "throttled", F.round(F.col("mean_latency") * F.col("n"), 2).alias("latency"))
 
 
 @query("t07_window_states", "WITH e AS (SELECT user_id, event_id, ['active', 'done', 'incomplete', 'pending'][(event_id % 4 + 1)::INT] AS state FROM events), p AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY event_id), 'pending') AS previous FROM e) SELECT event_id, previous, state, (previous = 'pending' AND state = 'active') OR (previous = 'active' AND state <> 'active') AS legal FROM p")
@@ -386,15 +387,15 @@ def _(t):
     )
 
 
-@query("c_location_functions", """SELECT o_orderkey, 'order ' || o_orderkey || ' x' AS norm, 'DE' AS flag, [lower(regexp_replace(o_orderpriority, '[^0-9A-Za-z]+', ' ', 'g')), 'b'] AS parts, CASE o_orderkey % 7 WHEN 3 THEN 'IR' WHEN 5 THEN 'NP' END AS tz,
-['order ' || o_orderkey, 'order'] AS prefixes FROM orders""")
+@query("c_location_functions", """SELECT o_orderkey, 'order ' || o_orderkey || ' x' AS norm, 'DE' AS flag, lower(regexp_replace(o_orderpriority, '[^0-9A-Za-z]+', ' ', 'g')) || '|b' AS parts, CASE o_orderkey % 7 WHEN 3 THEN 'IR' WHEN 5 THEN 'NP' END AS tz,
+'order ' || o_orderkey || '|order' AS prefixes FROM orders""")
 def _(t):
     k = F.col("o_orderkey").cast("string")
     tz = F.when(F.col("o_orderkey") % 7 == 3, 3.45).when(F.col("o_orderkey") % 7 == 5, 5.75).otherwise(float("inf"))
     norm = S.normalize_location(F.concat(F.lit("  Order-"), k, F.lit("!! X")))
     return t.orders.select(
-        "o_orderkey", norm.alias("norm"), S.flag_to_iso(F.concat(k, F.lit(" 🇩🇪 🇫🇷"))).alias("flag"), S.split_candidates(F.concat("o_orderpriority", F.lit(" / B ("))).alias("parts"),
-        S.tz_iso(tz).alias("tz"), S.prefix_phrases(norm).alias("prefixes"),
+        "o_orderkey", norm.alias("norm"), S.flag_to_iso(F.concat(k, F.lit(" 🇩🇪 🇫🇷"))).alias("flag"), F.array_join(S.split_candidates(F.concat("o_orderpriority", F.lit(" / B ("))), "|").alias("parts"),
+        S.tz_iso(tz).alias("tz"), F.array_join(S.prefix_phrases(norm), "|").alias("prefixes"),
     )
 
 

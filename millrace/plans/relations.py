@@ -159,7 +159,7 @@ def _(t):
 
 
 @query("u05_union_root_listing", """WITH p AS (SELECT page_id % 20 AS repo_id, url AS path, page_id % 4 = 0 AS root, page_id % 20 < 5 AS cut FROM pages)
-SELECT DISTINCT repo_id, path, cut AND NOT repo_id % 2 = 0 AS truncated FROM p WHERE NOT root OR (cut AND EXISTS (SELECT 1 FROM p q WHERE NOT q.root AND q.repo_id = p.repo_id))""")
+SELECT DISTINCT repo_id, path, cut AND repo_id % 4 <> 0 AS truncated FROM p WHERE NOT root OR (cut AND EXISTS (SELECT 1 FROM p q WHERE NOT q.root AND q.repo_id = p.repo_id))""")
 def _(t):
     repo = F.col("page_id") % 20
     rows = t.pages.select(repo.alias("repo_id"), F.col("url").alias("path"), F.lit("blob").alias("type"), (repo < 5).alias("truncated"), (F.col("page_id") % 4 == 0).alias("root"))

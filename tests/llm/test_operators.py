@@ -1,0 +1,526 @@
+"""Each operator against a brute-force version, and its edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from tokenizers import Tokenizer
+
+from millrace.llm import decontaminate, license_scan, line_chunks, packing, quality_rules, queries, sentence_spans, sharding, simhash, token_counts, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "w " * 50_000 + "end."
+
+
+def edge_docs(spark, more=()):
+    rows = [(1, None), (2, ""), (None, "alone here."), (4, "a b"), (5, LONG), (6, "Same text here.\nSame again."), (7, "Same text here.\nSame again."),
+            (7, "Same text here.\nSame again."), (9, " \t\n "), (10, "Größe ÉTÉ naïve 日本 😀.")]
+    rows = [*rows, *more]
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).selectExpr("*", "1 as row", "'x' as res", "2 as score", "3 as fp", "4 as root", "5 as lines", "6 as gone")
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+# op1
+
+
+def brute_repeats(words, k=5):
+    seen = Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    return len({j for i in range(len(words) - k + 1) if seen[tuple(words[i : i + k])] > 1 for j in range(i, i + k)})
+
+
+def test_quality_measures_equal_brute_force(spark, sf, texts):
+    for r in queries.op1_quality_rules(spark, sf).collect():
+        t = texts[r.doc_id]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in lines
+                lines.add(line)
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, brute_repeats(words))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_repeats_random():
+    rng = random.Random(1)
+    for n in (0, 4, 5, 6, 30, 200):
+        words = [rng.choice([b"a", b"b", b"c"]) for _ in range(n)]
+        assert quality_rules.repeated_words(words) == brute_repeats(words)
+
+
+def test_quality_edges_and_ablation(spark):
+    rows = quality_rules.ledger(edge_docs(spark))
+    got = rows.collect()
+    assert len(got) == 10 and {r.n_words for r in got if r.doc_id in (1, 2, 9)} == {0}
+    assert next(r.word_chars for r in got if r.doc_id == 10) == len("GrößeÉTÉnaïve日本😀.")
+    ablation = {r.rule: r for r in quality_rules.ablation(rows).collect()}
+    bits = [r.failed for r in got]
+    for rule in quality_rules.RULES:
+        assert ablation[rule.name].n_failed == sum(b >> rule.bit & 1 for b in bits)
+        assert ablation[rule.name].n_failed_alone == sum(b == 1 << rule.bit for b in bits)
+        assert ablation[rule.name].n_kept_without == sum(b & ~(1 << rule.bit) == 0 for b in bits)
+    assert quality_rules.ledger(empty(spark)).count() == 0
+    assert {r.n_failed for r in quality_rules.ablation(quality_rules.ledger(empty(spark))).collect()} == {0}
+
+
+# op2
+
+
+def test_license_scan_equals_all_templates(spark, sf, texts):
+    def dice(a, b):
+        a, b = license_scan.bigrams(a), license_scan.bigrams(b)
+        return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
+
+    known = [(n, decontaminate.words_of(t.encode())) for n, t in license_scan.TEMPLATES]
+    for r in queries.op2_license_scan(spark, sf).collect():
+        raw = texts[r.doc_id].encode()
+        units = [decontaminate.words_of(raw), *map(decontaminate.words_of, raw.split(b"\n"))]
+        found = [(-d, i, n) for i, u in enumerate(units) for n, t in known if (d := dice(u, t)) >= 0.8]
+        assert r.n_matches == len(found) and r.licenses == ",".join(sorted({x[2] for x in found}))
+        if found:
+            assert (r.license_id, r.line_no) == (min(found)[2], min(found)[1])
+        else:
+            assert r.license_id is None and r.line_no == -1
+
+
+def test_license_edges(spark):
+    got = {r.doc_id: r for r in license_scan.scan_licenses(edge_docs(spark, [(20, "text\nReleased under the MIT License"), (21, "Released under MIT License now ok")])).collect()}
+    assert got[20].license_id == "MIT" and got[20].line_no == 2 and got[20].dice == 1.0
+    assert got[21].license_id is None and got[1].n_matches == 0
+    assert license_scan.scan_licenses(empty(spark)).count() == 0
+
+
+# op3
+
+
+def brute_lpt(sizes, n):
+    loads = [0] * n
+    counts = [defaultdict(int) for _ in range(n)]
+    for s in sorted(sizes, reverse=True):
+        k = min(range(n), key=lambda i: (loads[i], i))
+        loads[k] += s
+        counts[k][s] += 1
+    return loads, counts
+
+
+def test_schedule_equals_one_by_one():
+    rng = random.Random(2)
+    for case in range(60):
+        n = rng.randint(1, 8)
+        sizes = [rng.choice([1, 2, 3, 7, 50, 51, 1000]) for _ in range(rng.randint(0, 80))] + ([9000] if case % 3 == 0 else [])
+        plan = sharding.schedule(list(Counter(sizes).items()), n)
+        loads, counts = brute_lpt(sizes, n)
+        got = [0] * n
+        for size, lo, hi, shard in plan:
+            got[shard] += size * (hi - lo)
+            assert counts[shard][size] == hi - lo
+        assert got == loads
+
+
+def test_sharding(spark, sf, texts):
+    rows = queries.op3_sharding(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    by_text, load, slots = defaultdict(set), Counter(), defaultdict(list)
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None)
+        by_text[t].add(r.shard)
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(len(s) == 1 for s in by_text.values()) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    groups = Counter()
+    for t in texts.values():
+        groups[t] += len(t.encode()) + 1
+    assert sorted(load.values()) == sorted(brute_lpt(groups.values(), 8)[0])
+
+
+def test_sharding_edges(spark):
+    rows = sharding.shard_documents(edge_docs(spark)).collect()
+    assert len(rows) == 10 and len({r.shard for r in rows if r.doc_id in (6, 7)}) == 1
+    assert {r["size"] for r in rows if r.doc_id in (1, 2)} == {1}
+    assert sharding.shard_documents(empty(spark)).count() == 0
+
+
+# op4
+
+
+def brute_decontaminate(text, items, k=10):
+    words = decontaminate.words_of(text.encode()) if text else []
+    hit, ids = set(), set()
+    for item_id, item in items:
+        w = decontaminate.words_of(item.encode()) if item else []
+        n = min(k, len(w))
+        grams = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+        for i in range(len(words) - n + 1 if n else 0):
+            if tuple(words[i : i + n]) in grams:
+                hit.update(range(i, i + n))
+                ids.add(str(item_id))
+    return len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+def test_decontamination_equals_brute_force(spark, sf, texts):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = queries.op4_decontamination(spark, sf).collect()
+    assert any(r.contaminated for r in rows) and len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == brute_decontaminate(texts[r.doc_id], items)
+
+
+@pytest.mark.parametrize("block", [10**9, 40])
+def test_decontamination_edges_and_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 7)
+    items = [(1, "a b"), (2, None), (3, "  "), (None, "same text"), (5, "w " * 12), (6, "alone"), (7, "A B"), (8, "one two three four five six seven eight nine ten eleven twelve")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = [(20, "x one two three four five six seven eight nine ten ELEVEN y a b two three four five six seven eight nine ten eleven twelve"), (21, "a-b alone a")]
+    docs = edge_docs(spark, more)
+    known = [(i, t) for i, t in items if i is not None and t is not None]
+    for r in decontaminate.find_matches(docs, bench).collect():
+        want = brute_decontaminate(r.row.text, known)
+        assert (r.res.n_words, r.res.n_hit, len(r.res["items"])) == want[:3]
+        if r.row.doc_id == 20:
+            found = {(m.item_id, m.item_pos, m.doc_pos, m.n_words) for m in r.res.matches}
+            assert {("8", 0, 1, 11), ("8", 1, 15, 11), ("1", 0, 13, 2), ("7", 0, 13, 2)} == found
+    kept = decontaminate.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns and 20 not in {r.doc_id for r in kept.collect()}
+    assert decontaminate.find_matches(empty(spark), bench).count() == 0
+    assert decontaminate.remove_contaminated(docs, bench.where("false")).count() == docs.count()
+
+
+# op5
+
+
+@pytest.fixture(scope="module")
+def toxicity_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    return queries.op5_toxicity(spark, sf).collect(), labels
+
+
+def test_toxicity_held_out(toxicity_rows):
+    rows, labels = toxicity_rows
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([a > b for a in pos for b in neg]) > 0.85
+
+
+def test_toxicity_edges(spark):
+    docs = edge_docs(spark, [(100 + i, f"you {'idiot' if i % 3 == 0 else 'friend'} number {i} here") for i in range(60)])
+    labels = spark.createDataFrame([(100 + i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (101, None), (100, 0)], "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in toxicity.classify(docs, labels).collect() if r.doc_id}
+    assert rows[1].score == rows[2].score == rows[9].score
+    assert rows[103].score > 0.5 > rows[104].score
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and 104 in {r.doc_id for r in kept.collect()}
+    assert {r.score for r in toxicity.classify(docs, labels.where("false")).collect()} == {0.0}
+    assert toxicity.classify(empty(spark), labels).count() == 0
+
+
+def test_toxicity_long_text_in_chunks(monkeypatch):
+    model = toxicity.fit(["bad word here", "good word here"] * 5, [1, 0] * 5)
+    text = " ".join(f"w{i}" for i in range(100))
+    whole = toxicity.Scorer(model).score(text)
+    monkeypatch.setattr(toxicity, "_CHUNK", 7)
+    monkeypatch.setattr(toxicity, "_CACHE", 5)
+    assert toxicity.Scorer(model).score(text) == pytest.approx(whole)
+
+
+# op6
+
+
+def test_token_counts_equal_library(spark, sf, texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in queries.op6_token_counts(spark, sf).collect():
+        assert (r.n_bytes, r.n_tokens) == (len(texts[r.doc_id].encode()), len(library.encode(texts[r.doc_id])))
+        assert r.over_limit == (r.n_tokens > 4096)
+
+
+ODD = ["", " ", "  ", " a", "a ", "a  b", "▁a ▁ b▁ c", "a\n\nb\t c", "<s>x</s>", "<|endoftext|> a", "é ﬁ \u0000", "日本 語", "a" * 300, "don't I'll 've", "x \n y", "1234567 89", "tab\there", " nb",
+       "a b", "\x1c\x1d", "end. \n", "\n", "ǅ ʰ ² ½ ٣", "é x", "😀 ok"]
+
+
+def test_token_counts_odd_texts():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counter, library = token_counts.PieceCounter(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert counter.separable and len(counter.whole) > 10_000
+    assert [counter.count(t) for t in ODD] == [len(library.encode(t)) for t in ODD]
+
+
+def test_token_counts_edges(spark):
+    rows = token_counts.count_tokens(edge_docs(spark), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(rows) == 10 and {(r.n_bytes, r.n_tokens) for r in rows if r.doc_id in (1, 2)} == {(0, 0)}
+
+
+# op7
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_equal_library(library, texts):
+    known = packing.IdEncoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for t in [*ODD, *list(texts.values())[:60]]:
+        assert np.frombuffer(known.encode(t), dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    rng = random.Random(3)
+    plain = [chr(c) for c in [10, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028), 0x20AC]]
+    for _ in range(300):
+        t = "".join(rng.choice(plain) if rng.random() < 0.7 else rng.choice(" \n'a1") for _ in range(30))
+        assert np.frombuffer(known.encode(t), dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def check_packed(rows, ids, window):
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    for d, pieces in by_doc.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids[d])
+            at += r.length
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[d][r.start : at], dtype="<u4").tobytes())
+        assert at == len(ids[d])
+    for pieces in by_seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= window
+    return len(by_seq)
+
+
+def test_packing_round_trip(spark, sf, texts, library):
+    ids = {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t in texts.items()}
+    rows = queries.op7_packing(spark, sf).collect()
+    n = check_packed(rows, ids, 2048)
+    assert {r.doc_id for r in rows} == set(texts)
+    assert sum(map(len, ids.values())) / (2048 * n) > 0.95
+
+
+def test_plan_covers_histogram():
+    rng = random.Random(4)
+    for hist in ({1: 5}, {256: 3}, {c: rng.randint(0, 9) for c in range(1, 257)}, {40: 1000}, {200: 50, 3: 1000}, {}):
+        hist = {c: n for c, n in hist.items() if n}
+        plan = packing.plan_sequences(hist, 256)
+        used = Counter()
+        for chosen, repeats in plan:
+            assert sum(c * m for c, m in chosen.items()) <= 256 and repeats > 0
+            for c, m in chosen.items():
+                used[c] += m * repeats
+        assert used == Counter(hist)
+
+
+def test_nnls_small():
+    a, b = np.array([[1.0, 0, 1], [0, 1, 1]]), np.array([3.0, 1.0])
+    x = packing.nnls(a, b)
+    assert (x >= 0).all() and np.allclose(a @ x, b)
+    assert np.allclose(packing.nnls(np.eye(2), np.array([-1.0, 2.0])), [0, 2])
+
+
+def test_packing_edges(spark):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = packing.pack_documents(edge_docs(spark), *paths).collect()
+    assert {(r.start, r.length) for r in rows if r.doc_id in (1, 2)} == {(0, 1)} and sum(r.doc_id == 7 for r in rows) == 2
+    assert sum(r.length for r in rows if r.doc_id == 5) == next(r.doc_tokens for r in rows if r.doc_id == 5)
+    assert packing.pack_documents(empty(spark), *paths).count() == 0
+
+
+# op8
+
+
+def brute_spans(docs):
+    """docs: list of (id, text) in order of (id, hash); {index: removed sentence places}."""
+    seen, gone = {}, defaultdict(set)
+    for k, (_, t) in enumerate(docs):
+        parts = [s.strip() for s in sentence_spans.sentences(t)]
+        for i in range(len(parts) - 2):
+            run = tuple(parts[i : i + 3])
+            if sum(len(p.split()) for p in run) < sentence_spans.MIN_WORDS:
+                continue
+            if run in seen:
+                gone[k].update(range(i, i + 3))
+            else:
+                seen[run] = k
+    return gone
+
+
+def test_sentences_make_up_the_text(texts):
+    for t in [*ODD, *texts.values(), "A. B!  C?\n\n D", "\n\na. ", LONG]:
+        assert "".join(sentence_spans.sentences(t)) == t
+
+
+def test_substring_dedup_equals_brute_force(spark, sf, texts):
+    order = sorted(texts.items())
+    gone = brute_spans(order)
+    rows = {r.doc_id: r for r in queries.op8_substring_dedup(spark, sf).collect()}
+    assert len(rows) == len(texts) and any(gone.values())
+    for k, (d, t) in enumerate(order):
+        parts = sentence_spans.sentences(t)
+        assert rows[d].n_removed == len(gone[k]) and rows[d].n_sentences == len(parts)
+        assert rows[d].text == "".join(p for i, p in enumerate(parts) if i not in gone[k])
+        assert bool(rows[d].repeats_of) == bool(gone[k])
+
+
+def test_substring_edges(spark):
+    run = "One two three four. Five six seven. Eight nine ten."
+    rows = sentence_spans.dedup_sentences(edge_docs(spark, [(30, run), (31, f"Before this. {run} After that."), (32, f"{run} {run}")])).collect()
+    by = {r.doc_id: r for r in rows}
+    assert by[30].n_removed == 0 and by[31].text == "Before this. After that." and by[31].repeats_of == [30]
+    assert by[32].text == "" and by[1].text is None and by[1].n_sentences == 0
+    assert sum(r.doc_id == 7 for r in rows) == 2 and len(rows) == 13
+    assert sentence_spans.dedup_sentences(empty(spark)).count() == 0
+
+
+# op9
+
+
+def brute_fingerprint(t):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(nodes, k=2):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in combinations(nodes, 2):
+        if bin(a ^ b).count("1") <= k:
+            root[find(b)] = find(a)
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash_equals_brute_force(spark, sf, texts):
+    fps = {d: brute_fingerprint(t) for d, t in texts.items()}
+    comp = brute_components(set(fps.values()))
+    least = defaultdict(lambda: 10**9)
+    for d, f in fps.items():
+        least[comp[f]] = min(least[comp[f]], d)
+    rows = queries.op9_simhash(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == least[comp[fps[r.doc_id]]]
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+@pytest.mark.parametrize("max_paired", [1, 3, 64])
+def test_links_lose_nothing(spark, distance, max_paired):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    fps = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) for b in base for _ in range(40)}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    nodes = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
+    stars = {r.u: r.v for r in simhash.components(simhash.links(nodes, distance, 4, max_paired)).collect()}
+    groups, want = defaultdict(set), defaultdict(set)
+    for f, s in signed.items():
+        groups[stars.get(s, s)].add(f)
+    for f, root in brute_components(fps, distance).items():
+        want[root].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(200)], "u long, v long").repartition(3)
+    assert {(r.u, r.v) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 201)}
+
+
+def test_simhash_edges(spark):
+    docs = edge_docs(spark)
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == 10 and {r.component_id for r in rows if r.doc_id in (1, 2, 9)} == {1}
+    kept = simhash.drop_near_duplicates(docs)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and ids.count(6) == 1 and 7 not in ids and None in ids and 2 not in ids
+    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.drop_near_duplicates(empty(spark)).count() == 0
+
+
+# op10
+
+
+def brute_chunks(spark, docs):
+    """Removed line places by (id, text), with the operator's line hash but plain Python for all else."""
+    lines = sorted({x for _, t in docs if t is not None for x in t.split("\n")})
+    df = spark.createDataFrame([(x,) for x in lines], "x string").selectExpr("x", "xxhash64(x) as h")
+    h = {r.x: r.h for r in df.collect()}
+    rolled = {}
+    pairs = {(a, b) for _, t in docs if t is not None for a, b in zip([None, *t.split("\n")], t.split("\n"))}
+    made = spark.createDataFrame([(a, b, h.get(b), h.get(a) if a is not None else None) for a, b in pairs], "a string, b string, hb long, ha long")
+    for r in made.selectExpr("a", "b", f"pmod(xxhash64(hb, ha), {line_chunks.MEAN_LINES}) = 0 as ends").collect():
+        rolled[(r.a, r.b)] = r.ends
+    seen, gone = set(), {}
+    for d, t in docs:
+        if t is None:
+            continue
+        rows, start = t.split("\n"), 0
+        out = set()
+        for i in range(len(rows)):
+            last = i == len(rows) - 1
+            if last or rolled[(rows[i - 1] if i else None, rows[i])]:
+                chunk = tuple(rows[start : i + 1])
+                if len(chunk) >= line_chunks.MIN_LINES:
+                    if chunk in seen:
+                        out.update(range(start, i + 1))
+                    seen.add(chunk)
+                start = i + 1
+        gone[(d, t)] = out
+    return gone
+
+
+def test_line_dedup_equals_brute_force(spark, sf, texts):
+    order = sorted(texts.items())
+    gone = brute_chunks(spark, order)
+    rows = {r.doc_id: r for r in queries.op10_line_dedup(spark, sf).collect()}
+    assert len(rows) == len(texts) and any(gone.values())
+    for d, t in order:
+        lines = t.split("\n")
+        assert rows[d].n_lines == len(lines) and rows[d].n_removed == len(gone[(d, t)])
+        assert rows[d].text == "\n".join(x for i, x in enumerate(lines) if i not in gone[(d, t)])
+
+
+def test_line_dedup_edges(spark):
+    block = "\n".join(f"line number {i}" for i in range(30))
+    docs = edge_docs(spark, [(30, block), (31, f"first line\n{block}\nlast line"), (32, "\n".join(["many"] * 9))])
+    rows = [(r.row.doc_id, r.row.text, r.res.n_lines, r.res.n_removed) for r in line_chunks.dedup_lines(docs).collect()]
+    by = {r[0]: r for r in rows}
+    assert len(rows) == 13 and by[1] == (1, None, 0, 0) and by[2] == (2, "", 1, 0) and by[30][3] == 0 and by[31][3] > 15
+    assert by[31][1].startswith("first line") and [r for r in rows if r[0] == 7][0] == [r for r in rows if r[0] == 7][1]
+    out = line_chunks.dedup_lines(docs).select("row.*")
+    assert out.columns == docs.columns and line_chunks.dedup_lines(empty(spark)).count() == 0
+
+
+def test_line_dedup_is_native(spark, docs):
+    plan = line_chunks.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)

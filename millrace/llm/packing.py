@@ -95,7 +95,10 @@ def nnls(matrix: np.ndarray, target: np.ndarray, max_steps: int = 2000) -> np.nd
         active[j] = True
         while True:
             at = np.flatnonzero(active)
-            best = np.linalg.lstsq(gram[np.ix_(at, at)], right[at], rcond=None)[0]
+            try:
+                best = np.linalg.solve(gram[np.ix_(at, at)], right[at])
+            except np.linalg.LinAlgError:  # dependent columns
+                best = np.linalg.lstsq(gram[np.ix_(at, at)], right[at], rcond=None)[0]
             if best.min() > 0:
                 break
             bad = best <= 0

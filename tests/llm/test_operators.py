@@ -215,7 +215,7 @@ def test_decontamination_edges_and_blocks(spark, monkeypatch, block):
 
 @pytest.fixture(scope="module")
 def toxicity_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # sf0.01 has eight toxic texts in the held-out fold, too few to tell
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     return queries.op5_toxicity(spark, sf).collect(), labels
 
@@ -225,7 +225,7 @@ def test_toxicity_held_out(toxicity_rows):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
-    assert np.mean([a > b for a in pos for b in neg]) > 0.85
+    assert np.mean([a > b for a in pos for b in neg]) > 0.95
 
 
 def test_toxicity_edges(spark):

@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.scalars import flag_to_iso, host_tld_iso, normalize_location, prefix_phrases, split_candidates, tz_iso, valid_iso
 
@@ -24,7 +25,7 @@ COUNTRIES = [
 CITIES = ["CH zürich|zurich", "DE berlin|munich", "FR paris", "GB london", "IN bengaluru|mumbai", "JP tokyo", "NG lagos"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(texts: pd.Series) -> pd.Series:
     """NFC form; Spark has no built-in for it. Used on distinct non-ASCII texts only."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")

@@ -164,34 +164,29 @@ def assign_windows(df: DataFrame, windows: DataFrame, at: Column | str, max_wind
     return df.withColumn("_day", F.to_date(at)).join(days, "_day").drop("_day")
 
 
-def even_segments(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Distinct ids in n contiguous half-open ranges (after, upto], sizes at most one apart, larger ones first.
+def global_rank(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df in ascending order of key with `name`: 1, 2, ... over all rows; no single task sorts them all.
 
-    Cut points come from ranks found partition by partition: ids are range-partitioned and counted, so no single task
-    sorts them all.
+    Rows are range-partitioned by key and counted by partition (that count is all the driver sees); each partition ranks its
+    own rows and adds the rows before it. Persisted, as the ranges must not change between the two readings.
     """
-    ids = df.select(key).where(F.col(key).isNotNull()).distinct()
-    parts = ids.repartitionByRange(key).withColumn("_p", F.spark_partition_id()).persist()
-    try:
-        sizes = {r["_p"]: r.n for r in parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-        total = sum(sizes.values())
-        spark = df.sparkSession
-        if not total:
-            return spark.createDataFrame([], f"segment int, after {dict(df.dtypes)[key]}, upto {dict(df.dtypes)[key]}, n long")
-        n = min(n, total)
-        ends, at = [], 0
-        for k in range(n):
-            at += total // n + (k < total % n)
-            ends.append(at)
-        before, offsets = 0, []
-        for p in sorted(sizes):
-            offsets.append((p, before))
-            before += sizes[p]
-        ranked = parts.join(F.broadcast(spark.createDataFrame(offsets, "_p int, _before long")), "_p")
-        rank = F.row_number().over(Window.partitionBy("_p").orderBy(key)) + F.col("_before")
-        cut = {r["_r"]: r[key] for r in ranked.withColumn("_r", rank).where(F.col("_r").isin([1, *ends])).select("_r", key).collect()}
-    finally:
-        parts.unpersist()
+    parts = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()).persist()
+    before, offsets = 0, []
+    for r in sorted(parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((r["_p"], before))
+        before += r.n
+    sums = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p int, _before long"))  # a row for each partition
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(key)) + F.col("_before")
+    return parts.join(sums, "_p").withColumn(name, rank.cast("long")).drop("_p", "_before")
+
+
+def even_segments(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Distinct ids in n contiguous half-open ranges (after, upto], sizes at most one apart, larger ones first."""
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
+    ranked = global_rank(df.select(key).where(F.col(key).isNotNull()).distinct(), key, "_r")
+    total = ranked.agg(F.max("_r").alias("n")).first().n or 0
+    n = min(n, total)
+    ends = [sum(total // n + (j < total % n) for j in range(k + 1)) for k in range(n)]
+    cut = {r["_r"]: r[key] for r in ranked.where(F.col("_r").isin([1, *ends])).select("_r", key).collect()}
     rows = [(k, cut[ends[k - 1]] if k else cut[1] - 1, cut[e], e - (ends[k - 1] if k else 0)) for k, e in enumerate(ends)]
-    kind = dict(df.dtypes)[key]
     return spark.createDataFrame(rows, f"segment int, after {kind}, upto {kind}, n long")

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.relational import global_rank
+
 # States that a window may go to from each state.
 TRANSITIONS = [("pending", "active"), ("active", "done"), ("active", "incomplete"), ("active", "pending")]
 
@@ -88,12 +90,11 @@ def scan_since(df: DataFrame, key: str, since: int, stop_after: int, page_size:
     above = df.select(key).where(F.col(key) > since)
     if max_pages is not None:
         above = above.orderBy(key).limit(page_size * max_pages)
+    last = above.where(F.col(key) <= stop_after).count() // page_size
     beyond = above.where(F.col(key) > stop_after).orderBy(key).limit(page_size)
-    upto = above.where(F.col(key) <= stop_after).union(beyond)
-    numbered = upto.withColumn("page", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / page_size).cast("long"))
-    pages = numbered.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("max_id"))
-    earlier = F.max("max_id").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
-    return pages.withColumn("_before", earlier).where(F.col("_before").isNull() | (F.col("_before") <= stop_after)).drop("_before").withColumn("next_since", F.col("max_id"))
+    ranked = global_rank(above.where(F.col(key) <= stop_after).union(beyond), key, "_r")
+    pages = ranked.groupBy(F.floor((F.col("_r") - 1) / page_size).cast("long").alias("page")).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("max_id"))
+    return pages.where(F.col("page") <= last).withColumn("next_since", F.col("max_id"))
 
 
 def completeness(windows: DataFrame, pages: DataFrame, key: str, page_cap: int = 10) -> DataFrame:

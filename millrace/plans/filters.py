@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import predicates as P
 from millrace.functions import scalars as S
-from millrace.operators import lint, relational, runs, windows
+from millrace.operators import geo, lint, relational, runs, windows
 from millrace.plans.registry import Tables, query
 from millrace.sources import records
+from millrace.streaming import streams
 
 ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 _COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
@@ -241,3 +242,83 @@ def _(t):
 @query("f25_column_lists", "SELECT p_partkey AS id, p_brand || '/' || p_name AS full_name, p_type AS language, p_size AS size_kb FROM part")
 def _(t):
     return runs.snapshot_columns(t.part, {"id": "p_partkey", "full_name": F.concat_ws("/", "p_brand", "p_name"), "language": "p_type", "size_kb": "p_size"})
+
+
+def raw_records(t: Tables):
+    """part as raw JSON records; some lack a name, have a wrong id, wrong topics or a wrong count."""
+    k = F.col("p_partkey")
+    fields = F.struct(
+        F.when(k % 7 != 0, k).alias("id"), F.concat(F.lit("n"), k.cast("string")).alias("node_id"), F.when(k % 11 != 0, F.concat_ws("/", "p_brand", "p_name")).alias("full_name"),
+        F.split("p_name", " ").alias("topics"), F.when(k % 13 == 0, "many").otherwise(F.col("p_size").cast("string")).alias("stargazers_count"), (k % 2 == 0).alias("private"),
+        F.struct((k % 50).alias("id"), F.col("p_brand").alias("login")).alias("owner"), F.lit("2024-01-02T03:04:05Z").alias("pushed_at"),
+    )
+    return t.part.select(F.to_json(fields).alias("value"))
+
+
+@query("s01_normalize_records", "SELECT p_partkey AS id, p_brand || '/' || p_name AS full_name, p_name AS name, p_size::BIGINT AS stargazers, CASE WHEN p_partkey % 2 = 0 THEN 'private' ELSE 'public' END AS visibility, len(string_split(p_name, ' '))::INT AS topics, p_brand AS owner_login, 'User' AS owner_type FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0")
+def _(t):
+    clean, _ = records.normalize_records(raw_records(t))
+    return clean.select("id", "full_name", "name", "stargazers", "visibility", F.size("topics").alias("topics"), "owner_login", "owner_type")
+
+
+@query("s01_rejects", "SELECT CASE WHEN p_partkey % 7 = 0 THEN 'id' WHEN p_partkey % 11 = 0 THEN 'full_name' ELSE 'stargazers_count' END AS reason, count(*) AS n FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 13 = 0 GROUP BY 1")
+def _(t):
+    _, rejects = records.normalize_records(raw_records(t))
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nodes(t: Tables):
+    """orders with their lines as nested nodes: language edges are return flags with quantities."""
+    edge = F.struct(F.col("l_quantity").cast("long").alias("size"), F.struct(F.col("l_returnflag").alias("name")).alias("node"))
+    edges = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(edge).alias("edges"))
+    k = F.col("o_orderkey")
+    branch = F.when(k % 3 != 0, F.struct(F.lit("main").alias("name"), F.when(k % 3 == 1, F.struct(F.struct((k % 9).cast("int").alias("totalCount")).alias("history"))).alias("target")))
+    return t.orders.join(edges, k == F.col("l_orderkey"), "left").select(
+        F.col("o_custkey").alias("key"), F.when(k % 5 != 0, k).alias("databaseId"), k.cast("string").alias("id"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("nameWithOwner"), F.lit(None).cast("string").alias("name"),
+        F.struct(F.col("o_orderpriority").alias("login"), F.when(k % 2 == 0, "Organization").alias("__typename"), F.col("o_custkey").alias("databaseId")).alias("owner"),
+        F.col("o_totalprice").cast("int").alias("stargazerCount"), F.lit(0).alias("forkCount"), F.lit(False).alias("isArchived"), F.lit(False).alias("isFork"), F.lit("PUBLIC").alias("visibility"),
+        F.struct(F.col("o_orderstatus").alias("name")).alias("primaryLanguage"), F.struct(F.lit("MIT").alias("spdxId")).alias("licenseInfo"), F.lit("2024-01-01T00:00:00Z").alias("pushedAt"), F.lit(None).cast("string").alias("createdAt"),
+        F.struct("edges").alias("languages"), F.struct(F.array(F.struct(F.struct(F.col("o_orderstatus").alias("name")).alias("topic"))).alias("nodes")).alias("repositoryTopics"), branch.alias("defaultBranchRef"),
+    )
+
+
+@query("s02_flatten_nodes", "SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey ELSE -1 END AS id, o_orderkey::VARCHAR AS node_id, o_orderstatus AS name, o_orderpriority AS owner_login, CASE WHEN o_orderkey % 2 = 0 THEN 'Organization' ELSE 'User' END AS owner_type, trunc(o_totalprice)::INT AS stargazers, 'public' AS visibility, o_orderstatus AS language, o_orderstatus AS topic FROM orders")
+def _(t):
+    flat = records.flatten_nodes(nodes(t))
+    return flat.select(F.coalesce("id", F.lit(-1)).alias("id"), "node_id", "name", "owner_login", "owner_type", "stargazers", "visibility", "language", F.get("topics", 0).alias("topic"))
+
+
+@query("s03_flatten_details", """WITH e AS (SELECT l_orderkey, l_returnflag, sum(trunc(l_quantity))::BIGINT AS q FROM lineitem GROUP BY 1, 2)
+SELECT o_orderkey AS id, l_returnflag AS language, q AS bytes, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN o_orderkey % 9 ELSE -1 END::INT AS commit_count FROM orders JOIN e ON o_orderkey = l_orderkey WHERE o_orderkey % 5 <> 0""")
+def _(t):
+    rows, _ = records.flatten_details(nodes(t))
+    return rows.select("id", F.explode("languages").alias("language", "bytes"), F.coalesce("commit_count", F.lit(-1)).alias("commit_count"))
+
+
+@query("s03_detail_failures", "SELECT o_custkey AS key, 'graphql node has no databaseId' AS error FROM orders WHERE o_orderkey % 5 = 0")
+def _(t):
+    return records.flatten_details(nodes(t))[1]
+
+
+@query("s12_owner_location", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN n_name END AS location FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0")
+def _(t):
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    node = F.when(F.col("c_custkey") % 3 != 0, F.struct(F.when(F.col("c_custkey") % 4 == 0, "  ").otherwise(F.col("n_name")).alias("location")))
+    return geo.flatten_owner_location(named.select(F.col("c_custkey").alias("id"), node.alias("node")))
+
+
+@query("l15_retry_failed_only", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'slow' ELSE 'ok' END AS value FROM orders WHERE o_orderkey % 11 <> 0")
+def _(t):
+    tries = iter(range(9))
+
+    def attempt(rows):
+        k, bad = F.col("k"), F.lit(next(tries) == 0)
+        return rows.select("k", F.when(k % 7 == 0, "slow").otherwise("ok").alias("value"), F.when((k % 11 == 0) | (bad & (k % 7 == 0)), "timeout").alias("error"))
+
+    return runs.retry_failed_only(t.orders.select(F.col("o_orderkey").alias("k")), "k", attempt)[0]
+
+
+@query("t06_live_progress", "SELECT user_id, max_by(event_type, event_id) AS phase, max_by((event_id % 100)::INT, event_id) AS done FROM events GROUP BY 1")
+def _(t):
+    rows = t.events.select("user_id", "event_id", F.col("event_type").alias("phase"), (F.col("event_id") % 100).cast("int").alias("done"), F.lit(100).alias("total"))
+    return streams.live_progress(rows, "user_id", "event_id").select("user_id", "phase", "done")

@@ -359,12 +359,13 @@ def brute_spans(docs):
     seen, gone = {}, defaultdict(set)
     for k, (_, t) in enumerate(docs):
         parts = [s.strip() for s in sentence_spans.sentences(t)]
-        for i in range(len(parts) - 2):
-            run = tuple(parts[i : i + 3])
-            if sum(len(p.split()) for p in run) < sentence_spans.MIN_WORDS:
+        for i in range(len(parts)):
+            ends = [j for j in range(i + 3, len(parts) + 1) if len(" ".join(parts[i:j]).split()) >= sentence_spans.MIN_WORDS]
+            if not ends:
                 continue
+            run = tuple(parts[i : ends[0]])
             if run in seen:
-                gone[k].update(range(i, i + 3))
+                gone[k].update(range(i, ends[0]))
             else:
                 seen[run] = k
     return gone
@@ -387,8 +388,20 @@ def test_substring_dedup_equals_brute_force(spark, sf, texts):
         assert bool(rows[d].repeats_of) == bool(gone[k])
 
 
+def test_long_passages_are_caught_wherever_they_stand():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    missed = 0
+    for _ in range(200):
+        passage = " ".join(word() for _ in range(60))  # one sentence without any mark
+        made = [f"{' '.join(word() for _ in range(rng.randint(0, 30)))} {passage} {' '.join(word() for _ in range(rng.randint(0, 30)))}" for _ in range(2)]
+        a, b = ({raw[16 * i : 16 * i + 16] for i in range(len(at))} for at, raw in map(sentence_spans.runs, made))
+        missed += not a & b
+    assert missed <= 6
+
+
 def test_substring_edges(spark):
-    run = "One two three four. Five six seven. Eight nine ten."
+    run = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. A b c d e f g h."
     rows = sentence_spans.dedup_sentences(edge_docs(spark, [(30, run), (31, f"Before this. {run} After that."), (32, f"{run} {run}")])).collect()
     by = {r.doc_id: r for r in rows}
     assert by[30].n_removed == 0 and by[31].text == "Before this. After that." and by[31].repeats_of == [30]

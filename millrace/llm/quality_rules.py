@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from millrace.llm._common import annotate, raw_texts
 
 REPEAT_WINDOW = 5
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters"]
 
 
 @dataclass(frozen=True)
@@ -39,13 +40,14 @@ RULES = [
     Rule(2, "mean_word_short", "word_chars < 2 * n_words"),
     Rule(3, "mean_word_long", "word_chars > 14 * n_words"),
     Rule(4, "symbols", "10 * n_symbols > n_words"),
-    Rule(5, "duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(5, "duplicate_lines", "n_dup_lines > 1 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule(6, "too_many_words", "n_words > 100000"),
+    Rule(7, "stutters", "5 * n_stutters > n_words"),
 ]
 #: Policies by version; a version keeps its rules for good.
 POLICIES = {
     1: ["too_few_words", "repeated_words"],
-    2: ["too_few_words", "repeated_words", "mean_word_short", "mean_word_long", "symbols", "duplicate_lines", "too_many_words"],
+    2: ["too_few_words", "repeated_words", "mean_word_short", "mean_word_long", "symbols", "duplicate_lines", "too_many_words", "stutters"],
 }
 BASE, CURRENT = 1, 2
 
@@ -85,6 +87,7 @@ def measure(raw: bytes | None) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeated_words(words),
         len(lines),
+        sum(map(eq, words, words[1:])),
     )
 
 

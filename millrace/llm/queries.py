@@ -85,11 +85,11 @@ l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n, count(*) AS lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(length(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'gs'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
-        coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(dup.lines, 0) AS n_lines
+        coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(dup.lines, 0) AS n_lines, len(list_filter(range(2, len(ws) + 1), lambda p: ws[p] = ws[p - 1])) AS n_stutters
       FROM w LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)),
 f AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (word_chars < 2 * n_words)::BIGINT
-        + 8 * (word_chars > 14 * n_words)::BIGINT + 16 * (10 * n_symbols > n_words)::BIGINT + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
-        + 64 * (n_words > 100000)::BIGINT AS failed FROM m)
+        + 8 * (word_chars > 14 * n_words)::BIGINT + 16 * (10 * n_symbols > n_words)::BIGINT + 32 * (n_dup_lines > 1 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT
+        + 64 * (n_words > 100000)::BIGINT + 128 * (5 * n_stutters > n_words)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 

@@ -56,8 +56,8 @@ def date_window(spec: str) -> tuple[dt.date | None, dt.date | None]:
 def date_filter(c, spec: str) -> Column:
     """Timestamps inside a date range. Written on the timestamp itself, so that it is pushed down to the scan."""
     low, high = date_window(spec)
-    bounds = [col(c) >= F.lit(dt.datetime.combine(low, dt.time()))] if low else []
-    bounds += [col(c) < F.lit(dt.datetime.combine(high + dt.timedelta(days=1), dt.time()))] if high else []
+    bounds = [col(c) >= low.isoformat()] if low else []  # text takes the type of the column, so nothing is cast
+    bounds += [col(c) < (high + dt.timedelta(days=1)).isoformat()] if high else []
     return reduce(lambda a, b: a & b, bounds, col(c).isNotNull())
 
 
@@ -107,7 +107,7 @@ def property_filter(properties, name: str, value: str) -> Column:
 
 
 def min_stars(stars, n) -> Column:
-    return F.coalesce(col(stars), F.lit(0)) >= n
+    return col(stars) >= n if n > 0 else F.coalesce(col(stars), F.lit(0)) >= n  # the plain form is pushed down
 
 
 def range_status(c, low=None, high=None) -> Column:

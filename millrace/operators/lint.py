@@ -28,14 +28,17 @@ DEFAULTS = {"min_geo_confidence": "gazetteer-city"}
 
 
 def lint_queries(df: DataFrame, key: str, query: str) -> DataFrame:
-    """Per query: ok, n_errors, hints (sorted, distinct), keyword_chars and operators."""
+    """Per query: ok, n_errors, errors (sorted `kind:token`), hints (sorted, distinct), keyword_chars and operators.
+
+    Kinds: unknown_qualifier, empty_value, property_name, property_form, property_scope, keyword_limit, operator_limit.
+    """
     spark = df.sparkSession
     tokens = F.regexp_extract_all(query, F.lit(r'("[^"]*"|\S+)'), 1)
     t = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
     quoted = F.col("token").startswith('"')
     operator = F.col("token").isin("AND", "OR", "NOT")
     excluded = F.col("token").startswith("-") & ~quoted
-    plain = F.when(excluded, F.substring("token", 2, 1_000_000)).otherwise(F.col("token"))
+    plain = F.when(excluded, F.expr("substring(token, 2)")).otherwise(F.col("token"))
     t = t.withColumns({"quoted": quoted, "operator": operator & ~quoted, "excluded": excluded, "plain": plain})
     keyword = F.col("quoted") | (~F.col("operator") & ~F.col("plain").contains(":"))
     t = t.withColumn("keyword", keyword).withColumn("name", F.lower(F.split_part("plain", F.lit(":"), F.lit(1))))
@@ -50,21 +53,25 @@ def lint_queries(df: DataFrame, key: str, query: str) -> DataFrame:
     is_qualifier = F.col("token").isNotNull() & ~F.col("keyword") & ~F.col("operator")
     hint = F.when(is_qualifier, F.coalesce("h1", "h2"))
     property_ = F.col("name").startswith("props.")
-    bad = (
-        F.when(~is_qualifier, False).when(hint.isNotNull(), True).when(property_, (F.col("name") == "props.") | (F.col("value") == "")).when(F.col("name") == "props", True)
-        .when(F.col("known").isNull(), True).otherwise(F.col("value") == "")
+    bare, nothing = F.col("name") == "props.", F.col("value") == ""
+    kind = (
+        F.when(~is_qualifier, None).when(hint.isNotNull(), "unknown_qualifier").when(bare, "property_name").when(property_ & nothing, "empty_value").when(property_, None)
+        .when(F.col("name") == "props", "property_form").when(F.col("known").isNull(), "unknown_qualifier").when(nothing, "empty_value")
     )
     good_property = is_qualifier & hint.isNull() & property_ & (F.col("name") != "props.") & (F.col("value") != "")
     org = F.when(is_qualifier & hint.isNull() & (F.col("name") == "org") & ~F.col("excluded") & (F.col("value") != ""), F.lower("value"))
     chars = F.when(F.col("quoted"), F.length(F.trim(F.lit('"'), F.col("token")))).when(F.col("keyword"), F.length("plain")).otherwise(0)
     per = t.groupBy(key).agg(
-        F.count_if(bad).alias("bad"), F.collect_set(hint).alias("hints"), F.count_if(good_property).alias("props"), F.count_distinct(org).alias("orgs"),
+        F.collect_list(F.when(kind.isNotNull(), F.concat_ws(":", kind, "plain"))).alias("bad"), F.collect_list(F.when(good_property, F.concat_ws(":", F.lit("property_scope"), "plain"))).alias("scoped"), F.collect_set(hint).alias("hints"), F.count_distinct(org).alias("orgs"),
         F.coalesce(F.sum(chars), F.lit(0)).alias("keyword_chars"), F.count_if("operator").alias("operators"),
     )
-    unscoped = (F.col("props") > 0) & (F.col("orgs") != 1)
-    n = F.col("bad") + F.when(unscoped, F.col("props")).otherwise(0) + (F.col("keyword_chars") > KEYWORD_LIMIT).cast("int") + (F.col("operators") > OPERATOR_LIMIT).cast("int")
+    unscoped = (F.size("scoped") > 0) & (F.col("orgs") != 1)
+    beyond = lambda kind, c, limit: F.when(F.col(c) > limit, F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")))
+    limits = F.array_compact(F.array(beyond("keyword_limit", "keyword_chars", KEYWORD_LIMIT), beyond("operator_limit", "operators", OPERATOR_LIMIT)))
+    errors = F.array_sort(F.concat("bad", F.when(unscoped, F.col("scoped")).otherwise(F.array().cast("array<string>")), limits))
+    n = F.size(errors)
     all_hints = F.when(unscoped, F.array_union("hints", F.array(F.lit("add a single org: scope")))).otherwise(F.col("hints"))
-    return per.select(key, (n == 0).alias("ok"), n.cast("long").alias("n_errors"), F.array_sort(all_hints).alias("hints"), "keyword_chars", "operators")
+    return per.select(key, (n == 0).alias("ok"), n.cast("long").alias("n_errors"), errors.alias("errors"), F.array_sort(all_hints).alias("hints"), "keyword_chars", "operators")
 
 
 def validate_options(df: DataFrame, name: str = "name", value: str = "value", countries: list[str] | None = None) -> DataFrame:

@@ -210,7 +210,7 @@ _Q = "'stars:>' || (o_totalprice::BIGINT) || CASE o_orderkey % 5 WHEN 0 THEN ' u
 
 @query("f22_lint_queries", f"""WITH q AS (SELECT o_orderkey, {_Q} AS q, o_orderkey % 5 AS m, o_orderkey % 8 AS ops, len(o_orderpriority) - len(replace(o_orderpriority, ' ', '')) AS spaces FROM orders)
 SELECT o_orderkey, (m IN (1, 4) AND ops <= 5) AS ok, (CASE m WHEN 0 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END + (ops > 5)::INT)::BIGINT AS n_errors,
-CASE m WHEN 0 THEN 'use `pushed:` + sort=updated' WHEN 2 THEN 'add a single org: scope' ELSE '' END AS hints, (SELECT len(o.o_orderpriority) FROM orders o WHERE o.o_orderkey = q.o_orderkey) - spaces AS keyword_chars, ops AS operators FROM q""")
+CASE m WHEN 0 THEN 'use `pushed:` + sort=updated' WHEN 2 THEN 'add a single org: scope' ELSE '' END AS hints, concat_ws('|', CASE m WHEN 3 THEN 'empty_value:fork:' END, CASE WHEN ops > 5 THEN 'operator_limit:' || ops END, CASE m WHEN 2 THEN 'property_scope:props.team:core' END, CASE m WHEN 0 THEN 'unknown_qualifier:updated:>2024' WHEN 3 THEN 'unknown_qualifier:colour:red' END) AS errors, (SELECT len(o.o_orderpriority) FROM orders o WHERE o.o_orderkey = q.o_orderkey) - spaces AS keyword_chars, ops AS operators FROM q""")
 def _(t):
     m = F.col("o_orderkey") % 5
     middle = (
@@ -219,7 +219,7 @@ def _(t):
     )
     q = F.concat(F.lit("stars:>"), F.round("o_totalprice").cast("long").cast("string"), middle, F.expr("repeat('AND ', cast(o_orderkey % 8 as int))"), F.col("o_orderpriority"))
     found = lint.lint_queries(t.orders.select("o_orderkey", q.alias("q")), "o_orderkey", "q")
-    return found.withColumn("hints", F.array_join("hints", "|"))
+    return found.withColumns({c: F.array_join(c, "|") for c in ("hints", "errors")})
 
 
 @query("f23_validate_options", """WITH o AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'min_stars' WHEN 1 THEN 'has_dockerfile' WHEN 2 THEN 'team_topic' WHEN 3 THEN 'min_geo_confidence' ELSE 'min_strs' END AS name, event_id % 5 AS m,

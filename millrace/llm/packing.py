@@ -84,21 +84,21 @@ def combinations_filling(units: int) -> np.ndarray:
 def nnls(matrix: np.ndarray, target: np.ndarray, max_steps: int = 2000) -> np.ndarray:
     """Non-negative least squares by an active set of columns."""
     n = matrix.shape[1]
-    gram, right = matrix.T @ matrix, matrix.T @ target
     x, active = np.zeros(n), np.zeros(n, dtype=bool)
-    tolerance = 1e-9 * max(1.0, float(np.abs(right).max(initial=0)))
+    tolerance = 1e-9 * max(1.0, float(np.abs(matrix.T @ target).max(initial=0)))
     for _ in range(max_steps):
-        slope = np.where(active, -np.inf, right - gram @ x)
+        slope = np.where(active, -np.inf, matrix.T @ (target - matrix @ x))
         j = int(slope.argmax())
         if slope[j] <= tolerance:
             break
         active[j] = True
         while True:
-            at = np.flatnonzero(active)
+            at = np.flatnonzero(active)  # as many columns as rows at most, so these products stay small
+            part = matrix[:, at]
             try:
-                best = np.linalg.solve(gram[np.ix_(at, at)], right[at])
+                best = np.linalg.solve(part.T @ part, part.T @ target)
             except np.linalg.LinAlgError:  # dependent columns
-                best = np.linalg.lstsq(gram[np.ix_(at, at)], right[at], rcond=None)[0]
+                best = np.linalg.lstsq(part, target, rcond=None)[0]
             if best.min() > 0:
                 break
             bad = best <= 0

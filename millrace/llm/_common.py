@@ -41,7 +41,7 @@ def annotate(docs: DataFrame, inputs: list[str], fields: list[tuple[str, T.DataT
     `make(*arrays)` gets the Arrow arrays of the input columns of one batch and returns a list with one Arrow array
     per field. All columns of docs stay inside `row`, so no result name can clash with theirs.
     """
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     res = T.StructType([T.StructField(n, t) for n, t in fields])
     schema = T.StructType([packed.schema["row"], T.StructField("res", res)])
     at = [docs.columns.index(c) for c in inputs]

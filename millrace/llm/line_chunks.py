@@ -52,7 +52,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = repeated_chunks(docs).distinct().groupBy("doc_id", "text_key")
     gone = gone.agg(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + F.col("n") - 1))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone")
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("at_id"), F.xxhash64(docs["text"]).alias("at_key"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs["doc_id"].alias("at_id"), F.xxhash64(docs["text"]).alias("at_key"))
     joined = packed.join(gone, F.col("at_id").eqNullSafe(F.col("gone_id")) & (F.col("at_key") == F.col("gone_key")), "left")
     lines = F.split(F.col("row.text"), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

@@ -24,7 +24,7 @@ def edge_docs(spark, more=()):
     rows = [(1, None), (2, ""), (None, "alone here."), (4, "a b"), (5, LONG), (6, "Same text here.\nSame again."), (7, "Same text here.\nSame again."),
             (7, "Same text here.\nSame again."), (9, " \t\n "), (10, "Größe ÉTÉ naïve 日本 😀.")]
     rows = [*rows, *more]
-    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).selectExpr("*", "1 as row", "'x' as res", "2 as score", "3 as fp", "4 as root", "5 as lines", "6 as gone")
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).selectExpr("*", "1 as row", "'x' as res", "2 as score", "3 as fp", "4 as root", "5 as lines", "6 as gone", "7 as `a.b`")
 
 
 def empty(spark):

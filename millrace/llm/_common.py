@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,11 @@ def doc_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
 
 
+def salts(n_rows: int) -> int:
+    """Salts for gapless_rank: 2,000 rows each, and for large inputs as many rows a salt as salts a key."""
+    return -(-n_rows // max(2_000, math.isqrt(n_rows)))
+
+
 def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], spread: list[Column], n_salts: int, name: str) -> DataFrame:
     """Add `name`: 0, 1, 2, ... within `keys` (not null), without bringing a key's rows into one task.
 

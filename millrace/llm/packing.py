@@ -24,12 +24,11 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from millrace.llm._common import annotate, gapless_rank, materialize
+from millrace.llm._common import annotate, gapless_rank, materialize, salts
 
 WINDOW = 2048
 GRAIN = 8
 END_ID = 1
-ROWS_PER_SALT = 20_000
 _CACHE = 300_000
 #: Text that the rank file's pattern and the library split alike, with white space only as single blanks or newlines.
 _PLAIN = re.compile(r"[\n -~¡-ɏ‐-‧€]*")
@@ -187,9 +186,8 @@ def pack_documents(docs: DataFrame, json_path: str, rank_path: str, window: int
         base += repeats
     # at most one row for each class of each combination: some thousands, whatever the input
     places = spark.createDataFrame(rows, "at int, lo long, hi long, each long, base long")
-    n_salts = -(-sum(histogram.values()) // ROWS_PER_SALT)
     order = [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
-    ranked = gapless_rank(pieces, ["class"], order, order, n_salts, "rank")
+    ranked = gapless_rank(pieces, ["class"], order, order, salts(sum(histogram.values())), "rank")
     placed = ranked.join(F.broadcast(places), (F.col("class") == F.col("at")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     placed = placed.withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("each")))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,9 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import gapless_rank, materialize
-
-ROWS_PER_SALT = 20_000
+from millrace.llm._common import gapless_rank, materialize, salts
 
 
 def schedule(sizes: list[tuple[int, int]], n_shards: int) -> list[tuple[int, int, int, int]]:
@@ -72,12 +70,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     spark = docs.sparkSession
     schema = "weight long, first long, next long, shard int"
     ranges = spark.createDataFrame(plan, schema)
-    n_salts = -(-total // ROWS_PER_SALT)
-    ranked = gapless_rank(groups, ["weight"], [F.col("group")], [F.col("group")], n_salts, "rank")
+    ranked = gapless_rank(groups, ["weight"], [F.col("group")], [F.col("group")], salts(total), "rank")
     placed = ranked.join(ranges, (ranked["weight"] == ranges["weight"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("next"))).select("group", "shard")
     out = keyed.join(placed, "group").select("doc_id", "size", "text_crc32", "shard")
     n_rows = keyed.count()
-    slotted = gapless_rank(out, ["shard"], [F.col("doc_id"), F.col("text_crc32")], [F.col("doc_id"), F.col("text_crc32")], -(-n_rows // ROWS_PER_SALT), "slot")
+    slotted = gapless_rank(out, ["shard"], [F.col("doc_id"), F.col("text_crc32")], [F.col("doc_id"), F.col("text_crc32")], salts(n_rows), "slot")
     return slotted.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard")
     )

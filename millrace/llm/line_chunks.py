@@ -36,8 +36,10 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks = exploded.select("doc_id", "text_key", "c.pos", "c.n", F.array_join(F.slice("lines", F.col("c.pos") + 1, F.col("c.n")), "\n").alias("chunk"))
     chunks = chunks.select(F.xxhash64("chunk").alias("h"), F.length("chunk").alias("size"), F.struct("doc_id", "text_key", "pos").alias("place"), "n", "chunk")
     known = chunks.groupBy("h", "size").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("first")).where("times > 1").drop("times")
+    # written tables: both sides of the joins are then plain exchanges, whose hot partitions Spark splits
+    known = materialize(known).hint("merge")  # the same way at every size
     found = materialize(chunks.join(known, ["h", "size"]))
-    firsts = found.where(F.col("place") == F.col("first")).groupBy("h", "size").agg(F.first("chunk").alias("kept"))
+    firsts = materialize(found.where(F.col("place") == F.col("first")).groupBy("h", "size").agg(F.first("chunk").alias("kept"))).hint("merge")
     later = found.where(F.col("place") != F.col("first")).join(firsts, ["h", "size"])
     return later.where(F.col("chunk") == F.col("kept")).select("place.*", "n")
 

@@ -3,14 +3,13 @@
 From every sentence on, the run of RUN consecutive sentences, or of as many as make up MIN_WORDS words, is hashed (128
 bits). Runs are compared over the whole table, and the sentences covered by any occurrence but the first (by doc_id,
 then place) are removed. A sentence of more than LONG_WORDS words counts as several: it ends after a comma, semicolon or
-colon and after word pairs that a hash picks, so its ends depend on the words beside them alone and a passage is cut
-alike wherever it stands.
+colon and in word gaps between certain letters, so its ends depend on the characters beside them alone and a passage is
+cut alike wherever it stands.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import annotate
+from millrace.llm._common import annotate, materialize
 
 RUN = 3
 #: A run has so many words at least; shorter ones are common by chance.
 MIN_WORDS = 20
 LONG_WORDS = 12
-#: One in so many word pairs ends a part of a long sentence; a part has so many words at most.
-PART, MOST_WORDS = 6, 20
+#: Words of a part of a long sentence at most.
+MOST_WORDS = 20
 _END = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
-_WORD = re.compile(r"\s*\S+\s*")
+#: A long sentence ends after these marks, and between these letters: about one word gap in six.
+_PART_END = re.compile(r"(?<=[,;:])\s+|(?<=[dgklmnrtyDGKLMNRTY])\s+(?=[a-iA-I])")
+_MOST = re.compile(r"\s*(?:\S+\s*){1,%d}" % MOST_WORDS)
 
 
 def _parts(sentence: str) -> list[str]:
-    words = _WORD.findall(sentence)
-    if len(words) <= LONG_WORDS:
+    if sentence.count(" ") < LONG_WORDS:
         return [sentence]
-    out, start, before = [], 0, b""
-    for i, word in enumerate(words):
-        core = word.strip().encode("utf-8", "surrogatepass")
-        if core[-1:] in b",;:" or i - start + 1 == MOST_WORDS or zlib.crc32(before + b" " + core) % PART == 0:
-            out.append("".join(words[start : i + 1]))
-            start = i + 1
-        before = core
-    if start < len(words):
-        out.append("".join(words[start:]))
-    return out
+    ends = [m.end() for m in _PART_END.finditer(sentence)]
+    parts = [sentence[i:j] for i, j in zip([0, *ends], [*ends, len(sentence)]) if i < j]
+    return [q for p in parts for q in (_MOST.findall(p) if p.count(" ") >= MOST_WORDS else [p])]
 
 
 def sentences(text: str | None) -> list[str]:
@@ -67,51 +60,58 @@ def sentences(text: str | None) -> list[str]:
     return [p for s in whole for p in (_parts(s) if len(s) > 2 * LONG_WORDS else [s])]
 
 
-def runs(text: str | None) -> tuple[list[tuple[int, int]], bytes]:
-    """(first sentence, number of sentences) of the text's runs, and 16 bytes of hash for each."""
-    parts = [s.strip() for s in sentences(text)]
+def spans(parts: list[str]) -> list[tuple[int, int]]:
+    """(first sentence, sentence after the last) of each run: RUN sentences, or as many as make up MIN_WORDS words."""
     n_words = [len(p.split()) for p in parts]
-    raw = [p.encode("utf-8", "surrogatepass") for p in parts]
-    at, digests, end, held = [], [], 0, 0
+    out, end, held = [], 0, 0
     for i in range(len(parts)):
         while end < len(parts) and (end - i < RUN or held < MIN_WORDS):
             held += n_words[end]
             end += 1
         if end - i < RUN or held < MIN_WORDS:
             break  # nor do later sentences have enough after them
-        at.append((i, end - i))
-        digests.append(xxhash.xxh3_128_digest(b"\0".join(raw[i:end])))
+        out.append((i, end))
         held -= n_words[i]
-    return at, b"".join(digests)
+    return out
+
+
+def runs(text: str | None) -> tuple[list[tuple[int, int]], bytes]:
+    """The text's spans, and 16 bytes of hash for each."""
+    parts = sentences(text)
+    at = spans(parts)
+    raw = [p.strip().encode("utf-8", "surrogatepass") for p in parts]
+    digest = xxhash.xxh3_128_digest
+    return at, b"".join([digest(b"\0".join(raw[i:j])) for i, j in at])
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    kind = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    kind = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        ends, places, digests = [0], [], []  # places: (first sentence, number)
+        ends, places, digests = [0], [], []
         for text in texts.to_pylist():
             at, raw = runs(text)
-            places += at
+            places += [i for i, _ in at]
             digests.append(raw)
             ends.append(len(places))
         h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-        p = np.array(places, dtype=np.int32).reshape(-1, 2)
-        columns = [np.ascontiguousarray(c) for c in (p[:, 0], p[:, 1], h[:, 0], h[:, 1])]
-        items = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["pos", "n", "h1", "h2"])
+        columns = [np.array(places, dtype=np.int32), np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])]
+        items = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["pos", "h1", "h2"])
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)]
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     made = annotate(keyed, ["text"], [("runs", T.ArrayType(kind))], make)
-    return made.select("row.doc_id", "row.text_key", F.explode("res.runs").alias("r")).select("r.h1", "r.h2", F.struct("doc_id", "text_key", "r.pos").alias("place"), "r.n")
+    return made.select("row.doc_id", "row.text_key", F.explode("res.runs").alias("r")).select("r.h1", "r.h2", F.struct("doc_id", "text_key", "r.pos").alias("place"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, n, first_doc_id): runs whose first occurrence is elsewhere."""
+    """(doc_id, text_key, pos, first_doc_id): runs whose first occurrence is elsewhere."""
     spans = _spans(docs)
-    known = spans.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(F.col("first") != F.col("last")).drop("last")
+    known = spans.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    # a written table: both sides of the join are then plain exchanges, whose hot partitions Spark splits, at every size
+    known = materialize(known).hint("merge")
     later = spans.join(known, ["h1", "h2"]).where(F.col("place") != F.col("first"))
-    return later.select("place.*", "n", F.col("first.doc_id").alias("first_doc_id"))
+    return later.select("place.*", F.col("first.doc_id").alias("first_doc_id"))
 
 
 def dedup_sentences(docs: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
     stay null with 0 sentences; a text may become empty; a null doc_id comes first. Rows that repeat both doc_id and
     text are one document and are treated alike; an empty table gives no rows.
     """
-    gone = repeated_runs(docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "n")).alias("gone"), F.array_sort(F.collect_set("first_doc_id")).alias("repeats_of"))
+    gone = repeated_runs(docs).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"), F.array_sort(F.collect_set("first_doc_id")).alias("repeats_of"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone", "repeats_of")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
@@ -131,7 +131,8 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
         kept, counts, removed = [], [], []
         for text, at in zip(texts.to_pylist(), starts.to_pylist()):
             parts = sentences(text)
-            drop = {r["pos"] + k for r in at or () for k in range(r["n"])}
+            gone = set(at or ())
+            drop = {k for i, j in spans(parts) if i in gone for k in range(i, j)} if gone else set()
             kept.append(text if not drop else "".join(p for i, p in enumerate(parts) if i not in drop))
             counts.append(len(parts))
             removed.append(len(drop))

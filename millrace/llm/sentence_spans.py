@@ -26,9 +26,9 @@ MIN_WORDS = 20
 LONG_WORDS = 12
 #: Words of a part of a long sentence at most.
 MOST_WORDS = 20
-_END = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
+_END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
 #: A long sentence ends after these marks, and between these letters: about one word gap in six.
-_PART_END = re.compile(r"(?<=[,;:])\s+|(?<=[dgklmnrtyDGKLMNRTY])\s+(?=[a-iA-I])")
+_PART_END = re.compile(r"[,;:]\s+|[dgklmnrtyDGKLMNRTY]\s+(?=[a-iA-I])")
 _MOST = re.compile(r"\s*(?:\S+\s*){1,%d}" % MOST_WORDS)
 
 

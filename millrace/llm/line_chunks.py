@@ -3,6 +3,9 @@
 Each line is hashed; a rolling hash over a window of line hashes marks chunk ends, so the ends depend on the lines around
 them alone and survive shifts. Chunks of several lines that occur before (by doc_id, then place) anywhere in the table
 and are equal byte for byte are removed.
+
+A repeated passage may hold no whole chunk. So each two neighbouring lines that occur before are removed as well, which
+leaves no repeat of two lines or more, wherever it stands.
 """
 
 from __future__ import annotations
@@ -44,15 +47,36 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return later.where(F.col("chunk") == F.col("kept")).select("place.*", "n")
 
 
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, pos, n): n lines from a line to the next that is not blank, both of which occur before as such neighbours.
+
+    Pairs are equal if their SHA-256 is. One that overlaps its own first occurrence is none: of four equal lines, two stay.
+    """
+    # lambdas use their own arguments only: Spark would evaluate a column inside them again for each line
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    filled = docs.where(F.col("text").isNotNull()).select(*doc_key(), F.filter(lines, lambda x: x["line"].rlike(r"\S")).alias("filled")).where(F.size("filled") > 1)
+    first, second = F.slice("filled", F.lit(1), F.size("filled") - 1), F.slice("filled", F.lit(2), F.size("filled") - 1)
+    made = F.explode(F.arrays_zip(first.alias("a"), second.alias("b")))
+    both = filled.select("doc_id", "text_key", made.alias("p"))
+    place = F.struct("doc_id", "text_key", "p.a.pos", (F.col("p.b.pos") - F.col("p.a.pos") + 1).alias("n"))
+    pairs = materialize(both.select(F.unhex(F.sha2(F.concat("p.a.line", F.lit("\n"), "p.b.line"), 256)).alias("h"), place.alias("place")))
+    known = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("first")).where("times > 1").drop("times")
+    # a written table: both sides of the join are then plain exchanges, whose hot partitions Spark splits
+    known = materialize(known).hint("merge")
+    same = F.col("place.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place.text_key") == F.col("first.text_key"))
+    later = pairs.join(known, "h").where(~(same & (F.col("place.pos") < F.col("first.pos") + F.col("first.n"))))
+    return later.select("place.*")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with `text` without the lines of repeated chunks, and n_lines and n_removed (lines) in the struct `res`.
+    """docs with `text` without the lines of repeated chunks and pairs, and n_lines and n_removed (lines) in the struct `res`.
 
     Returns the structs `row` (docs, with the new text) and `res`. The first occurrence, by doc_id and place, stays; a
     null doc_id comes first. Rows that repeat both doc_id and text are one document and are treated alike. A null text
     stays null with 0 lines; an empty text is one empty line; a text may become empty. An empty table gives no rows.
     """
-    gone = repeated_chunks(docs).distinct().groupBy("doc_id", "text_key")
-    gone = gone.agg(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + F.col("n") - 1))).alias("gone"))
+    gone = repeated_chunks(docs).union(repeated_pairs(docs)).distinct().groupBy("doc_id", "text_key")
+    gone = gone.agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + F.col("n") - 1)))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs["doc_id"].alias("at_id"), F.xxhash64(docs["text"]).alias("at_key"))
     joined = packed.join(gone, F.col("at_id").eqNullSafe(F.col("gone_id")) & (F.col("at_key") == F.col("gone_key")), "left")

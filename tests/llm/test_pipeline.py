@@ -35,3 +35,14 @@ def test_stages_on_empty_and_repeated_rows(spark):
         d = start
         for _, stage in corpus_pipeline.STAGES:
             d = materialize(stage(spark, d, sf))
+
+
+def test_line_dedup_leaves_no_repeat(spark):
+    lines = [f"line {i} of the passage" for i in range(9)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (9, "x\nx\nx\nx"), (10, "lone line"), (11, "lone line"), (12, None)]
+    rows += [(3 + i, f"before {i}\n{lines[i]}\n\n{lines[i + 1]}\nafter {i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert out.pop(1) == "\n".join(lines) and out.pop(2) == "" and out.pop(9) == "x\nx"
+    assert out.pop(10) == out.pop(11) == "lone line" and out.pop(12) is None
+    assert out == {3 + i: f"before {i}\nafter {i}" for i in range(6)}

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm import near_copies
 from millrace.llm._common import annotate, materialize, raw_texts, shared_dir
 
 SEED = 42
@@ -107,17 +108,31 @@ def near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4) -> Data
     return marked.join(_classes(nodes, distance, blocks), "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def _classes(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """(fp, root, component_id) of each node (fp, least)."""
-    stars = components(links(nodes, distance, blocks)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+def _classes(nodes: DataFrame, distance: int, blocks: int, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root, component_id) of each node (fp, least); more: edges besides those of links()."""
+    edges = links(nodes, distance, blocks)
+    stars = components(edges if more is None else edges.union(more).distinct()).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:
-    """One document of each component: the one with its smallest doc_id. All columns stay; repeated rows leave one."""
-    marked = materialize(fingerprints(docs))
+def drop_near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4, jaccard: float | None = None) -> DataFrame:
+    """One document of each component: the one with its smallest doc_id. All columns stay; repeated rows leave one.
+
+    With jaccard, texts whose sets of 5-word shingles are that similar are linked too, however far their fingerprints are.
+    """
+    if jaccard is None:
+        marked, more = materialize(fingerprints(docs)), None
+    else:
+        fields = [("fp", T.LongType()), ("bands", near_copies.LONGS)]
+
+        def make(texts: pa.Array) -> list[pa.Array]:
+            raw = raw_texts(texts)
+            return [pa.array([fingerprint(r) for r in raw], pa.int64()), pa.array([near_copies.bands(r) for r in raw], pa.list_(pa.int64()))]
+
+        marked = materialize(annotate(docs, ["text"], fields, make))
+        more = near_copies.links(marked, jaccard)
     nodes = marked.groupBy("res.fp").agg(F.min("row.doc_id").alias("least"))
-    classes = _classes(nodes, distance, blocks)
+    classes = _classes(nodes, distance, blocks, more)
     first = marked.join(classes, marked["res.fp"] == classes["fp"]).where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
     return first.groupBy("root").agg(F.first("row").alias("row")).select("row.*")

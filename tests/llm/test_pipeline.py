@@ -1,7 +1,9 @@
 """The pipeline stage by stage, each on its own input."""
 
+import random
+
 import corpus_pipeline
-from millrace.llm import decontaminate, simhash
+from millrace.llm import decontaminate, near_copies, simhash
 from millrace.llm._common import materialize
 
 
@@ -46,3 +48,21 @@ def test_line_dedup_leaves_no_repeat(spark):
     assert out.pop(1) == "\n".join(lines) and out.pop(2) == "" and out.pop(9) == "x\nx"
     assert out.pop(10) == out.pop(11) == "lone line" and out.pop(12) is None
     assert out == {3 + i: f"before {i}\nafter {i}" for i in range(6)}
+
+
+def test_near_dedup_drops_near_copies_beyond_two_bits(spark):
+    rng = random.Random(3)
+    rows, far = [], 0
+    for i in range(30):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(100)]
+        near = [*words]
+        near[40] = "changed"  # 91 of 101 shingles are in both
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+        a, b = (simhash.fingerprint(t.encode()) for _, t in rows[-2:])
+        far += ((a ^ b) & (1 << 64) - 1).bit_count() > 2
+    assert far
+    stage = corpus_pipeline.drop_near_duplicates
+    docs = spark.createDataFrame([*rows, (90, "one two"), (91, "one three"), (92, None)], "doc_id long, text string")
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == {*range(0, 60, 2), 90, 91, 92}
+    marked = materialize(spark.createDataFrame([(r, (simhash.fingerprint(r[1].encode()), near_copies.bands(r[1].encode()))) for r in rows], "row struct<doc_id long, text string>, res struct<fp long, bands array<long>>"))
+    assert {(r.u, r.v) for r in near_copies.links(marked).collect()} == {(r.u, r.v) for r in near_copies.links(marked, max_paired=1).collect()}

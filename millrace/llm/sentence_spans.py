@@ -61,7 +61,10 @@ def sentences(text: str | None) -> list[str]:
 
 
 def spans(parts: list[str]) -> list[tuple[int, int]]:
-    """(first sentence, sentence after the last) of each run: RUN sentences, or as many as make up MIN_WORDS words."""
+    """(first sentence, sentence after the last) of each run: RUN sentences, or as many as make up MIN_WORDS words.
+
+    The last run is the shortest such run that ends with the last sentence.
+    """
     n_words = [len(p.split()) for p in parts]
     out, end, held = [], 0, 0
     for i in range(len(parts)):
@@ -72,6 +75,8 @@ def spans(parts: list[str]) -> list[tuple[int, int]]:
             break  # nor do later sentences have enough after them
         out.append((i, end))
         held -= n_words[i]
+    if out and out[-1][1] < len(parts):
+        out.append((out[-1][0], len(parts)))
     return out
 
 
@@ -91,7 +96,7 @@ def _spans(docs: DataFrame) -> DataFrame:
         ends, places, digests = [0], [], []
         for text in texts.to_pylist():
             at, raw = runs(text)
-            places += [i for i, _ in at]
+            places += range(len(at))
             digests.append(raw)
             ends.append(len(places))
         h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
@@ -105,7 +110,7 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, first_doc_id): runs whose first occurrence is elsewhere."""
+    """(doc_id, text_key, pos, first_doc_id): runs, by their number in spans(), whose first occurrence is elsewhere."""
     spans = _spans(docs)
     known = spans.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     # a written table: both sides of the join are then plain exchanges, whose hot partitions Spark splits, at every size
@@ -132,7 +137,7 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
         for text, at in zip(texts.to_pylist(), starts.to_pylist()):
             parts = sentences(text)
             gone = set(at or ())
-            drop = {k for i, j in spans(parts) if i in gone for k in range(i, j)} if gone else set()
+            drop = {k for r, (i, j) in enumerate(spans(parts)) if r in gone for k in range(i, j)} if gone else set()
             kept.append(text if not drop else "".join(p for i, p in enumerate(parts) if i not in drop))
             counts.append(len(parts))
             removed.append(len(drop))

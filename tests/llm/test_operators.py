@@ -410,6 +410,14 @@ def test_substring_edges(spark):
     assert sentence_spans.dedup_sentences(empty(spark)).count() == 0
 
 
+def test_substring_dedup_takes_the_end_of_a_copy(spark):
+    text = "".join(f"Sentence {i} has these six words. " for i in range(4)) + "Short end. Last."
+    assert sentence_spans.spans(sentence_spans.sentences(text))[-1][1] == 6
+    rows = [(1, text), (2, text), (3, f"Another beginning of a few words. {text}")]
+    out = {r.doc_id: r.text for r in sentence_spans.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: text, 2: "", 3: "Another beginning of a few words. "}
+
+
 # op9
 
 

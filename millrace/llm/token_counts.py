@@ -21,7 +21,8 @@ from millrace.llm._common import annotate
 
 LIMIT = 4096
 BLANK = "▁"
-_CACHE = 300_000
+#: Words kept in the cache at most, and the characters of the longest one kept: some 50 MB.
+_CACHE, _LONGEST = 300_000, 32
 _WORD = re.compile(r" *[^ ]+| +")
 
 
@@ -36,6 +37,8 @@ class PieceCounter:
         #: words (without their leading blank) proved to be one token
         words = [p[1:] for p in ordinary if p.startswith(BLANK) and len(p) > 1 and BLANK not in p[1:]]
         self.whole = {w for w, ids in zip(words, self.library.encode(words, num_threads=1)) if len(ids) == 1}
+        #: tokens of the single blank that ends a text, which the library doesn't encode alone
+        self.blank = len(self.library.encode("a ")) - len(self.library.encode("a"))
         self.rest: dict[str, int] = {}
 
     def count(self, text: str) -> int:
@@ -49,12 +52,16 @@ class PieceCounter:
             words = text.split(" ")
         whole, rest, encode = self.whole, self.rest, self.library.encode
         others = [w for w in words if w not in whole]
+        n_whole, last = len(words) - len(others), 0
+        if others and not others[-1]:  # only the end of the text can give a word that is empty
+            others.pop()
+            last = self.blank
         if len(rest) > _CACHE:
             rest.clear()
         missing = [w for w in set(others) if w not in rest]
-        if missing:
-            rest.update(zip(missing, map(len, encode(missing, num_threads=1))))
-        return len(words) - len(others) + sum([rest[w] for w in others])
+        counts = dict(zip(missing, map(len, encode(missing, num_threads=1)))) if missing else {}
+        rest.update((w, n) for w, n in counts.items() if len(w) <= _LONGEST)
+        return n_whole + last + sum([rest[w] if w in rest else counts[w] for w in others])
 
 
 @lru_cache(maxsize=2)

@@ -270,7 +270,19 @@ def test_token_counts_odd_texts():
     assert [counter.count(t) for t in ODD] == [len(library.encode(t)) for t in ODD]
 
 
+def test_token_counts_random_texts(monkeypatch):
+    monkeypatch.setattr(token_counts, "_CACHE", 40)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counter, library = token_counts.PieceCounter(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(11)
+    units = [*"ab cdet  \n\t.,é日▁'1Z\u3000", "  ", " the ", " a", "ing", "x" * 40, "<s>"]
+    for _ in range(5000):
+        text = "".join(rng.choice(units) for _ in range(rng.randint(0, 14)))
+        assert counter.count(text) == len(library.encode(text)), text
+
+
 def test_token_counts_edges(spark):
+    assert token_counts.count_tokens(empty(spark), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
     rows = token_counts.count_tokens(edge_docs(spark), public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert len(rows) == 10 and {(r.n_bytes, r.n_tokens) for r in rows if r.doc_id in (1, 2)} == {(0, 0)}
 

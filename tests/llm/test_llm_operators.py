@@ -366,26 +366,56 @@ def test_packing_edges(spark):
 # op8
 
 
+def brute_sentences(text):
+    """Word lists: an end is the least gap of some WIDTH in succession; end marks and what lies outside the text count as 0."""
+    words = re.findall(r"\s*\S+\s*", text or "")
+    value = [0 if i == len(words) - 1 or re.search(r"[.!?…][\"')\]”’»]*\s+$|\n\s*$", w) else int.from_bytes(xxhash.xxh3_128_digest(w.strip().encode())[:8], "little") | 1 for i, w in enumerate(words)]
+    ends, at = set(), lambda i: value[i] if 0 <= i < len(words) else 0
+    for start in range(1 - sentence_spans.WIDTH, len(words)):
+        window = range(start, start + sentence_spans.WIDTH)
+        ends |= {i for i in window if 0 <= i < len(words) and at(i) == min(map(at, window))}
+    cut = [0, *(i + 1 for i in sorted(ends))]
+    return [words[i:j] for i, j in zip(cut, cut[1:])]
+
+
+def brute_runs(parts):
+    """(first, after last) of each run."""
+    out = []
+    for i in range(len(parts)):
+        ends = [j for j in range(i + 3, len(parts) + 1) if sum(map(len, parts[i:j])) >= sentence_spans.MIN_WORDS]
+        if ends:
+            out.append((i, ends[0]))
+    if out and out[-1][1] < len(parts):
+        out.append((out[-1][0], len(parts)))
+    return out
+
+
 def brute_spans(docs):
-    """docs: list of (id, text) in order of (id, hash); {index: removed sentence places}."""
+    """docs: (id, text) in order of id; {index: removed sentence places}."""
     seen, gone = {}, defaultdict(set)
-    for k, (_, t) in enumerate(docs):
-        parts = [s.strip() for s in sentence_spans.sentences(t)]
-        for i in range(len(parts)):
-            ends = [j for j in range(i + 3, len(parts) + 1) if len(" ".join(parts[i:j]).split()) >= sentence_spans.MIN_WORDS]
-            if not ends:
-                continue
-            run = tuple(parts[i : ends[0]])
-            if run in seen:
-                gone[k].update(range(i, ends[0]))
-            else:
-                seen[run] = k
+    for k, (d, t) in enumerate(docs):
+        parts = brute_sentences(t)
+        for i, j in brute_runs(parts):
+            run = tuple(w.strip() for p in parts[i:j] for w in p)
+            if seen.setdefault(run, (d, i)) != (d, i):
+                gone[k].update(range(i, j))
     return gone
 
 
 def test_sentences_make_up_the_text(texts):
-    for t in [*ODD, *texts.values(), "A. B!  C?\n\n D", "\n\na. ", LONG]:
-        assert "".join(sentence_spans.sentences(t)) == t
+    for t in [*ODD, *texts.values(), "A. B!  C?\n\n D", "\n\na. ", LONG, "日本語の文。もう一つの文です。三つ目"]:
+        assert "".join(sentence_spans.sentences(t)) == (t if t.strip() else "")
+    for t in [*texts.values()][:40]:
+        assert sentence_spans.sentences(t) == ["".join(p) for p in brute_sentences(t)]
+
+
+def test_spans_in_batches_equal_spans_alone(texts):
+    words = [sentence_spans.words_of(t) for t in [*list(texts.values())[:50], "", None, " "]]
+    together = sentence_spans.spans(words)
+    for k, w in enumerate(words):
+        alone, of = sentence_spans.spans([w]), together.text == k
+        assert alone.h1.tolist() == together.h1[of].tolist() and alone.h2.tolist() == together.h2[of].tolist()
+        assert list(zip(alone.first.tolist(), alone.last.tolist())) == brute_runs(["" if not w else p for p in brute_sentences("".join(w))])
 
 
 def test_substring_dedup_equals_brute_force(spark, sf, texts):
@@ -394,37 +424,50 @@ def test_substring_dedup_equals_brute_force(spark, sf, texts):
     rows = {r.doc_id: r for r in queries.op8_substring_dedup(spark, sf).collect()}
     assert len(rows) == len(texts) and any(gone.values())
     for k, (d, t) in enumerate(order):
-        parts = sentence_spans.sentences(t)
+        parts = brute_sentences(t)
         assert rows[d].n_removed == len(gone[k]) and rows[d].n_sentences == len(parts)
-        assert rows[d].text == "".join(p for i, p in enumerate(parts) if i not in gone[k])
+        assert rows[d].text == ("".join("".join(p) for i, p in enumerate(parts) if i not in gone[k]) if gone[k] else t)
         assert bool(rows[d].repeats_of) == bool(gone[k])
 
 
-def test_long_passages_are_caught_wherever_they_stand():
+def test_passages_of_50_words_are_caught_wherever_they_stand():
     rng = random.Random(7)
-    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
-    missed = 0
-    for _ in range(200):
-        passage = " ".join(word() for _ in range(60))  # one sentence without any mark
-        made = [f"{' '.join(word() for _ in range(rng.randint(0, 30)))} {passage} {' '.join(word() for _ in range(rng.randint(0, 30)))}" for _ in range(2)]
-        a, b = ({raw[16 * i : 16 * i + 16] for i in range(len(at))} for at, raw in map(sentence_spans.runs, made))
-        missed += not a & b
-    assert missed <= 6
+    for mark in ("", ".", ","):
+        word = lambda: "".join(rng.choice("abcdefg") for _ in range(5)) + (mark if rng.random() < 0.1 else "")
+        for _ in range(150):
+            passage = " ".join(word() for _ in range(50))
+            made = [f"{' '.join(word() for _ in range(rng.randint(0, 30)))} {passage} {' '.join(word() for _ in range(rng.randint(0, 30)))}" for _ in range(2)]
+            s = sentence_spans.spans([sentence_spans.words_of(t) for t in made])
+            a, b = (set(zip(s.h1[s.text == k].tolist(), s.h2[s.text == k].tolist())) for k in (0, 1))
+            assert a & b
 
 
 def test_substring_edges(spark):
     run = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. A b c d e f g h."
-    rows = sentence_spans.dedup_sentences(edge_docs(spark, [(30, run), (31, f"Before this. {run} After that."), (32, f"{run} {run}")])).collect()
+    wide = "日本語の最初の文です。これは二つ目の文です。そして三つ目の文があります。"
+    more = [(30, run), (31, f"Before this. {run} After that."), (32, f"{run} {run}"), (33, run), (33, f"Again. {run}"), (40, wide), (41, f"前の文。{wide}後の文。"), (None, "Other words. " + wide)]
+    rows = sentence_spans.dedup_sentences(edge_docs(spark, more)).collect()
     by = {r.doc_id: r for r in rows}
     assert by[30].n_removed == 0 and by[31].text == "Before this. After that." and by[31].repeats_of == [30]
-    assert by[32].text == "" and by[1].text is None and by[1].n_sentences == 0
-    assert sum(r.doc_id == 7 for r in rows) == 2 and len(rows) == 13
+    assert by[32].text == "" and by[1].text is None and by[1].n_sentences == 0 and by[9].text == " \t\n " and by[9].n_sentences == 0
+    assert sorted(r.text for r in rows if r.doc_id == 33) == ["", "Again. "]
+    assert by[40].text == "" and by[41].text == "前の文。後の文。" and by[41].repeats_of == []
+    assert sum(r.doc_id == 7 for r in rows) == 2 and len(rows) == 18 and by[5].n_removed > 0
     assert sentence_spans.dedup_sentences(empty(spark)).count() == 0
+    named = spark.createDataFrame([("a", run), ("b", run), (None, "x")], "doc_id string, text string")
+    assert {(r.doc_id, r.text, *r.repeats_of) for r in sentence_spans.dedup_sentences(named).collect()} == {("a", run), ("b", "", "a"), (None, "x")}
+
+
+def test_substring_dedup_keeps_repeats_inside_the_first_place(spark):
+    run = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. A b c d e f g h."
+    docs = spark.createDataFrame([(1, f"{run} Between these two here. {run}"), (2, "No repeat in this one.")], "doc_id long, text string")
+    out = {r.doc_id: r for r in sentence_spans.dedup_sentences(docs).collect()}
+    assert out[1].text == f"{run} Between these two here. " and out[1].repeats_of == [1] and out[2].repeats_of == []
 
 
 def test_substring_dedup_takes_the_end_of_a_copy(spark):
     text = "".join(f"Sentence {i} has these six words. " for i in range(4)) + "Short end. Last."
-    assert sentence_spans.spans(sentence_spans.sentences(text))[-1][1] == 6
+    assert sentence_spans.spans([sentence_spans.words_of(text)]).last[-1] == 6
     rows = [(1, text), (2, text), (3, f"Another beginning of a few words. {text}")]
     out = {r.doc_id: r.text for r in sentence_spans.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: text, 2: "", 3: "Another beginning of a few words. "}

@@ -10,6 +10,8 @@ leaves no repeat of two lines or more, wherever it stands.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,22 +23,34 @@ MEAN_LINES = 3
 MIN_LINES = 2
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """docs with `lines` and `chunks`, an array of (pos, n)."""
-    rolled = lambda h, i: F.xxhash64(*[F.get(h, i - k) for k in range(ROLLING)])
-    lined = docs.withColumn("lines", F.split("text", "\n", -1))
-    hashed = lined.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    ends: Column = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (F.pmod(rolled(F.col("hashes"), i - 1), F.lit(MEAN_LINES)) == 0))
-    started = hashed.withColumn("starts", ends)
-    following = lambda i: F.coalesce(F.get(F.col("starts"), i + 1), F.size("lines"))
-    return started.withColumn("chunks", F.transform("starts", lambda s, i: F.struct(s.alias("pos"), (following(i) - s).alias("n"))))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: inside another lambda Spark would evaluate a column again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunks(text: Column) -> Column:
+    """Array of (pos, n, chunk) of the chunks with MIN_LINES lines or more."""
+
+    def cut(lines: Column) -> Column:
+        hashes = F.transform(lines, lambda x: F.xxhash64(x))
+        # a chunk starts after each line whose rolling hash, over it and the lines before it, is 0 modulo MEAN_LINES
+        rolled = lambda h, i: F.xxhash64(*[F.get(h, i - 1 - k) for k in range(ROLLING)])
+        starts = _let(hashes, lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.pmod(rolled(h, i), F.lit(MEAN_LINES)) == 0)))
+        return _let(F.struct(starts.alias("starts"), lines.alias("lines")), spread)
+
+    def spread(at: Column) -> Column:
+        following = lambda i: F.coalesce(F.get(at["starts"], i + 1), F.size(at["lines"]))
+        places = F.transform(at["starts"], lambda s, i: F.struct(s.alias("pos"), (following(i) - s).alias("n")))
+        text_of = lambda c: F.array_join(F.slice(at["lines"], c["pos"] + 1, c["n"]), "\n")
+        return F.transform(F.filter(places, lambda c: c["n"] >= MIN_LINES), lambda c: F.struct(c["pos"].alias("pos"), c["n"].alias("n"), text_of(c).alias("chunk")))
+
+    return _let(F.split(text, "\n", -1), cut)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, pos, n): chunks that are equal to one that comes before."""
-    chunked = _chunked(docs.where(F.col("text").isNotNull()).select(*doc_key(), "text"))
-    exploded = chunked.select("doc_id", "text_key", "lines", F.explode(F.filter("chunks", lambda c: c["n"] >= MIN_LINES)).alias("c"))
-    chunks = exploded.select("doc_id", "text_key", "c.pos", "c.n", F.array_join(F.slice("lines", F.col("c.pos") + 1, F.col("c.n")), "\n").alias("chunk"))
+    chunked = docs.where(F.col("text").isNotNull()).select(*doc_key(), _chunks(F.col("text")).alias("chunks"))
+    chunks = chunked.select("doc_id", "text_key", F.explode("chunks").alias("c")).select("doc_id", "text_key", "c.*")
     chunks = chunks.select(F.xxhash64("chunk").alias("h"), F.length("chunk").alias("size"), F.struct("doc_id", "text_key", "pos").alias("place"), "n", "chunk")
     known = chunks.groupBy("h", "size").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("first")).where("times > 1").drop("times")
     # written tables: both sides of the joins are then plain exchanges, whose hot partitions Spark splits
@@ -80,12 +94,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs["doc_id"].alias("at_id"), F.xxhash64(docs["text"]).alias("at_key"))
     joined = packed.join(gone, F.col("at_id").eqNullSafe(F.col("gone_id")) & (F.col("at_key") == F.col("gone_key")), "left")
-    lines = F.split(F.col("row.text"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    lined = joined.withColumn("lines", lines)
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    places = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    kept = _let(F.split("row.text", "\n", -1), lambda lines: F.array_join(F.transform(places(lines), lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
     fields = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    n_lines = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
-    n_lines = F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
+    n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(F.split("row.text", "\n", -1))).cast("long")
     n_removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
-    return lined.select(F.struct(*fields).alias("row"), F.struct(n_lines.alias("n_lines"), n_removed.alias("n_removed")).alias("res"))
+    return joined.select(F.struct(*fields).alias("row"), F.struct(n_lines.alias("n_lines"), n_removed.alias("n_removed")).alias("res"))

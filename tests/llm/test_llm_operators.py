@@ -575,9 +575,23 @@ def brute_chunks(spark, docs):
     return gone
 
 
+def brute_pairs(docs):
+    """Removed line places by (id, text): each two neighbouring lines, blank ones aside, that stand together before."""
+    first, gone = {}, defaultdict(set)
+    for d, t in docs:
+        filled = [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip()]
+        for (i, x), (j, y) in zip(filled, filled[1:]):
+            at = first.setdefault((x, y), (d, i, j))
+            if at[0] != d or i > at[2]:
+                gone[(d, t)].update(range(i, j + 1))
+    return gone
+
+
 def test_line_dedup_equals_brute_force(spark, sf, texts):
     order = sorted(texts.items())
-    gone = brute_chunks(spark, order)
+    chunks, pairs = brute_chunks(spark, order), brute_pairs(order)
+    gone = {k: chunks[k] | pairs[k] for k in chunks}
+    assert any(chunks.values())
     rows = {r.doc_id: r for r in queries.op10_line_dedup(spark, sf).collect()}
     assert len(rows) == len(texts) and any(gone.values())
     for d, t in order:
@@ -593,6 +607,9 @@ def test_line_dedup_edges(spark):
     by = {r[0]: r for r in rows}
     assert len(rows) == 13 and by[1] == (1, None, 0, 0) and by[2] == (2, "", 1, 0) and by[30][3] == 0 and by[31][3] > 15
     assert by[31][1].startswith("first line") and [r for r in rows if r[0] == 7][0] == [r for r in rows if r[0] == 7][1]
+    many = "\n".join(f"line {i}" for i in range(20_000))
+    long_docs = spark.createDataFrame([(1, many), (2, many + "\nlast")], "doc_id long, text string")
+    assert [(r.row.doc_id, r.res.n_lines, r.res.n_removed) for r in line_chunks.dedup_lines(long_docs).orderBy("row.doc_id").collect()] == [(1, 20_000, 0), (2, 20_001, 20_000)]
     out = line_chunks.dedup_lines(docs).select("row.*")
     assert out.columns == docs.columns and line_chunks.dedup_lines(empty(spark)).count() == 0
 

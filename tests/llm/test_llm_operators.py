@@ -335,17 +335,53 @@ def test_packing_round_trip(spark, sf, texts, library):
     assert sum(map(len, ids.values())) / (2048 * n) > 0.95
 
 
-def test_plan_covers_histogram():
+def test_plan_stays_within_the_histogram():
     rng = random.Random(4)
     for hist in ({1: 5}, {256: 3}, {c: rng.randint(0, 9) for c in range(1, 257)}, {40: 1000}, {200: 50, 3: 1000}, {}):
         hist = {c: n for c, n in hist.items() if n}
         plan = packing.plan_sequences(hist, 256)
         used = Counter()
         for chosen, repeats in plan:
-            assert sum(c * m for c, m in chosen.items()) <= 256 and repeats > 0
+            assert sum(c * m for c, m in chosen.items()) == 256 and repeats > 0
             for c, m in chosen.items():
                 used[c] += m * repeats
-        assert used == Counter(hist)
+        assert all(used[c] <= n for c, n in hist.items()) and set(used) <= set(hist)
+    assert packing.plan_sequences({128: 10, 64: 4, 192: 4}, 256)
+
+
+def test_rest_is_packed_whole():
+    rng = random.Random(6)
+    for lengths in ([], [1] * 5000, [300] * 400, [rng.randint(1, 2047) for _ in range(500)], [2047] * 9, [33] * 3000, [1500, 3, 900]):
+        made = packing.pack_rest(lengths, 2048)
+        cover, filled = defaultdict(list), defaultdict(list)
+        for i, start, n, sequence, offset in made:
+            cover[i].append((start, n))
+            filled[sequence].append((offset, n))
+        assert sorted(cover) == list(range(len(lengths)))
+        for spans, total in [*((v, lengths[i]) for i, v in cover.items()), *((v, None) for v in filled.values())]:
+            at = 0
+            for start, n in sorted(spans):
+                assert start == at and n > 0
+                at += n
+            assert at == total if total is not None else at <= 2048
+        assert len(filled) <= sum(lengths) // (2048 - packing.CUT) + 1
+
+
+def test_crc_between():
+    ids = np.array([random.Random(8).randrange(50_000) for _ in range(1000)], dtype="<u4").tobytes()
+    crcs = packing._prefix_crcs(ids, 2048)
+    for start, n in ((0, 1000), (0, 32), (64, 936), (32, 64), (992, 8)):
+        assert packing.crc_between(crcs, start, n) == zlib.crc32(ids[4 * start : 4 * (start + n)])
+
+
+@pytest.mark.parametrize("tokens, n", [([1], 20_480), ([9], 40_000), ([33], 12_000), ([300], 2_400), ("mean 12", 40_000)])
+def test_packing_leaves_little_padding(spark, library, tokens, n):
+    rng = random.Random(9)
+    texts = ["" if k == 1 else "a" + " a" * (k - 2) for k in (tokens[0] if tokens != "mean 12" else min(2000, 1 + int(rng.expovariate(1 / 11.5))) for _ in range(n))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert sum(map(len, ids.values())) / (2048 * check_packed(rows, ids, 2048)) > 0.98
 
 
 def test_nnls_small():

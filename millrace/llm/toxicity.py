@@ -2,7 +2,8 @@
 
 A word's embedding is the sum of three hashed rows (two hashes of the word, one of its first letters). Filters of widths
 1 to 3 slide over the words, each filter's maximum over the text passes a ReLU, and a logistic unit gives the score. The
-classifier is fitted on the driver on a bounded sample of labelled texts; every text is scored whole on the executors.
+classifier is fitted on the driver on a bounded sample of labelled texts; every text is scored whole on the executors, and
+thresholds by language come from counts over all labelled rows that it was not fitted on.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import annotate
+from millrace.llm._common import annotate, materialize
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -26,6 +27,8 @@ PREFIX = 5
 #: The sample that the classifier is fitted on: at most so many labelled texts and bytes.
 MAX_TRAIN = 6000
 MAX_TRAIN_BYTES = 32_000_000
+#: Steps of the thresholds.
+BINS = 1000
 _CHUNK = 1 << 16
 _CACHE = 60_000
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -50,7 +53,7 @@ class Classifier:
     bias: np.ndarray  # of each filter
     out: np.ndarray
     shift: float
-    thresholds: dict[str, float] = field(default_factory=dict)  # by language; "" holds for the others
+    fitted: list = field(default_factory=list)  # ids
 
     def projections(self, words: list[bytes]) -> np.ndarray:
         """What each word adds to each filter at each place of its window: len(words) x (sum of widths x FILTERS)."""
@@ -182,53 +185,61 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, rate: fl
     return Classifier(tables.astype(np.float32), [k.astype(np.float32) for k in kernels], bias, out, shift)
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str], least: int = 8) -> dict[str, float]:
-    """Per language the threshold of the best F1 (ties: nearest to 0.5); too few toxic texts: that of all languages."""
-
-    def best(s: np.ndarray, y: np.ndarray) -> float:
-        found = (-1.0, -1.0, 0.5)
-        for t in sorted({0.5, *((a + b) / 2 for a, b in zip(np.unique(s), np.unique(s)[1:]))}):
-            hit = int(y[s >= t].sum())
-            f1 = 2 * hit / max(1, int((s >= t).sum()) + int(y.sum()))
-            found = max(found, (f1, -abs(t - 0.5), float(t)))
-        return found[2]
-
-    out = {"": best(scores, labels) if labels.sum() >= least else 0.5}
-    for lang in sorted({x for x in langs if x is not None}):
-        of = np.array([x == lang for x in langs])
-        out[lang] = best(scores[of], labels[of]) if labels[of].sum() >= least else out[""]
-    return out
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the fold that labels are never learnt from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): one row for each labelled document outside the held-out fold; of several labels the toxic one counts."""
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    return marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Classifier | None:
-    """Fit and calibrate on a bounded sample of labelled documents outside the held-out fold. None: no labels there.
+    """Fit on a bounded sample of labelled documents outside the held-out fold. None: no labels there.
 
-    The sample is the first `max_train` labelled documents, and the first `max_bytes` of text, by a hash of doc_id. A fifth of
-    it sets the thresholds by language, the rest the weights. Of several labels of one document the toxic one counts;
-    null labels and ids are left out.
+    Four fifths of these documents, by a hash of doc_id, may be fitted on; the sample is the first `max_train` of them by
+    that hash, and of those the shortest that make up `max_bytes` of text. The model knows which ids it was fitted on.
+    Only ids and lengths are looked at to choose; a text above the bound costs no other text its place.
     """
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("at", F.xxhash64("doc_id"))
+    at = F.xxhash64("doc_id")
+    marked = _known(labels).where(F.pmod(at, F.lit(5)) != 4).withColumn("at", at)
     chosen = marked.orderBy("at", "doc_id").limit(max_train)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(chosen), "doc_id")
-    texts = texts.orderBy("at", "doc_id", F.xxhash64("text")).limit(max_train)
-    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("at", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = texts.withColumn("sum", so_far).where(F.col("sum") <= max_bytes).orderBy("sum").collect()
+    text_key, n_bytes = F.xxhash64("text").alias("text_key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    sized = docs.select("doc_id", text_key, n_bytes).distinct().join(F.broadcast(chosen), "doc_id").orderBy("at", "doc_id", "text_key").limit(max_train)
+    so_far = F.sum("n_bytes").over(Window.orderBy("n_bytes", "at", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = sized.withColumn("sum", so_far).where(F.col("sum") <= max_bytes).select("doc_id", "text_key", "toxic", "at")
+    keys = docs.sparkSession.createDataFrame(fitting.collect(), fitting.schema)  # max_train rows at most
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key).join(F.broadcast(keys), ["doc_id", "text_key"])
+    rows = found.dropDuplicates(["doc_id", "text_key"]).orderBy("at", "doc_id", "text_key").collect()  # max_bytes at most
     if not rows:
         return None
-    fitted = [r for i, r in enumerate(rows) if i % 5 != 4]
-    checked = [r for i, r in enumerate(rows) if i % 5 == 4]
-    model = fit([r.text for r in fitted], [r.toxic for r in fitted])
-    scorer = Scorer(model)
-    model.thresholds = calibrate(np.array([scorer.score(r.text) for r in checked]), np.array([r.toxic for r in checked], dtype=int), [r.lang for r in checked])
+    model = fit([r.text for r in rows], [r.toxic for r in rows])
+    model.fitted = sorted({r.doc_id for r in rows})
     return model
 
 
+def calibrate(scored: DataFrame, labels: DataFrame, model: Classifier | None, least: int = 8) -> dict[str, float]:
+    """Per language the threshold of the best F1, from all labelled rows of `scored` (doc_id, lang, score) outside the
+    held-out fold that the model was not fitted on. Ties: nearest to 0.5; fewer than `least` toxic ones: that of all languages ("").
+    """
+    if model is None:
+        return {}
+    used = scored.sparkSession.createDataFrame([(i,) for i in model.fitted], scored.select("doc_id").schema)
+    known = _known(labels).join(F.broadcast(used), "doc_id", "left_anti")  # max_train ids at most
+    rows = scored.join(known, "doc_id").select("lang", F.floor(F.col("score") * BINS).cast("int").alias("bin"), "toxic")
+    counts = rows.groupBy("lang", "bin").agg(F.sum("toxic").alias("hit"), F.count(F.lit(1)).alias("n"))
+    common = counts.groupBy("bin").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).select(F.lit("").alias("lang"), "bin", "hit", "n")
+    counts = common.unionByName(counts.where(F.col("lang").isNotNull() & (F.col("lang") != "")))
+    above = Window.partitionBy("lang").orderBy(F.desc("bin"))  # BINS rows of a language at most
+    whole = Window.partitionBy("lang")
+    f1 = 2 * F.sum("hit").over(above) / (F.sum("n").over(above) + F.sum("hit").over(whole))
+    rated = counts.select("lang", "bin", f1.alias("f1"), F.sum("hit").over(whole).alias("toxic")).where(F.col("toxic") >= least)
+    best = rated.groupBy("lang").agg(F.max_by("bin", F.struct("f1", -F.abs(F.col("bin") - BINS / 2), "bin")).alias("bin"))
+    return {r.lang: r.bin / BINS for r in best.collect()}
+
+
 def score_documents(docs: DataFrame, model: Classifier | None) -> DataFrame:
     """Structs `row` (docs) and `res` (score, 0 to 1; empty texts get the score of no words). Without a model: 0."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -243,31 +254,34 @@ def score_documents(docs: DataFrame, model: Classifier | None) -> DataFrame:
     return annotate(docs, ["text"], [("score", T.DoubleType())], make)
 
 
-def threshold(model: Classifier | None, lang: Column) -> Column:
+def threshold(thresholds: dict[str, float], lang: Column) -> Column:
     """The threshold of a row's language."""
-    known = model.thresholds if model else {}
-    chosen = F.lit(known.get("", 0.5))
-    for name, t in known.items():
-        if name:
-            chosen = F.when(lang == name, F.lit(t)).otherwise(chosen)
-    return chosen
+    common = F.lit(thresholds.get("", 0.5))
+    pairs = [F.lit(x) for name, t in sorted(thresholds.items()) for x in (name, t) if name]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), lang), common) if pairs else common
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (score >= 0.5) and rejected (score >= its language's threshold).
 
     Null and empty texts are scored as having no words; a null doc_id is never held out; repeated rows are scored each;
-    without any label outside the held-out fold all scores are 0; an empty table gives no rows.
+    without any label outside the held-out fold all scores are 0; an empty table gives no rows. Without a table of its
+    language, or with too few toxic texts in it, a row is held against the threshold of all languages, or 0.5.
     """
     model = train(docs, labels)
-    scored = score_documents(docs.select("doc_id", "text", "lang"), model)
+    scored = materialize(score_documents(docs.select("doc_id", "text", "lang"), model).select("row.doc_id", "row.lang", "res.score"))
+    limit = threshold(calibrate(scored, labels, model), F.col("lang"))
     return scored.select(
-        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "res.score", (F.col("res.score") >= 0.5).cast("int").alias("predicted"),
-        (F.col("res.score") >= threshold(model, F.col("row.lang"))).alias("rejected"),
-    )
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= limit).alias("rejected")
+    )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is below the threshold of their language, with their columns."""
+    """The documents whose score is below the threshold of their language, with their columns.
+
+    Null, empty and repeated rows are scored as classify() does; without labels nothing is dropped.
+    """
     model = train(docs, labels)
-    return score_documents(docs, model).where(F.col("res.score") < threshold(model, F.col("row.lang"))).select("row.*")
+    scored = materialize(score_documents(docs, model))
+    limit = threshold(calibrate(scored.select("row.doc_id", "row.lang", "res.score"), labels, model), F.col("row.lang"))
+    return scored.where(F.col("res.score") < limit).select("row.*")

@@ -240,6 +240,53 @@ def test_toxicity_edges(spark):
     assert toxicity.classify(empty(spark), labels).count() == 0
 
 
+def test_toxicity_bounds_skip_only_what_is_too_long(spark):
+    rows = [(i, ("you idiot " if i % 2 else "dear friend ") * (2000 if i < 3 else 1), "en") for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, max_bytes=5000)
+    assert model and not {0, 1, 2} & set(model.fitted) and len(model.fitted) > 20
+    assert len(toxicity.train(docs, labels, max_train=7).fitted) == 7
+    assert toxicity.train(docs, labels, max_bytes=5) is None
+
+
+def test_toxicity_thresholds_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["en", "de", "fr", None]), round(rng.random(), 3), int(rng.random() < 0.3)) for i in range(800)]
+    rows = [(i, lang, min(1.0, s / 2 + y / 2.5), y) for i, lang, s, y in rows] + [(900 + i, "xx", 0.2, 1) for i in range(3)]
+    scored, labels = spark.createDataFrame([r[:3] for r in rows], "doc_id long, lang string, score double"), spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(["a", "b"], [0, 1])
+    model.fitted = list(range(100))
+    got = toxicity.calibrate(scored, labels, model)
+    checked = [r for r in rows if r[0] >= 100 and zlib.crc32(str(r[0]).encode()) % 5]
+
+    def best(of):
+        bins = [int(r[2] * 1000) for r in of]
+        f1 = lambda b: 2 * sum(r[3] for r, x in zip(of, bins) if x >= b) / (sum(x >= b for x in bins) + sum(r[3] for r in of))
+        return max(set(bins), key=lambda b: (f1(b), -abs(b - 500), b)) / 1000
+
+    assert got == {"": best(checked), **{lang: best([r for r in checked if r[1] == lang]) for lang in ("en", "de", "fr")}}
+    assert toxicity.calibrate(scored, labels, None) == {}
+
+
+def test_toxicity_scores_equal_the_forward_pass_written_out():
+    model = toxicity.fit(["you are a stupid idiot", "a nice day out", "idiot you", "kind words here"] * 6, [1, 0, 1, 0] * 6)
+    for text in ("you are a stupid idiot", "Nice, kind IDIOT day", "", None, "one", "été naïve 日本 stupid"):
+        words = re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode())
+        embedded = []
+        for w in words:
+            whole, first = zlib.crc32(w), zlib.crc32(w[: toxicity.PREFIX], 7)
+            at = [whole % toxicity.BUCKETS, whole // toxicity.BUCKETS, first % toxicity.BUCKETS]
+            embedded.append([sum(float(model.tables[t][at[t]][d]) for t in range(3)) for d in range(toxicity.DIM)])
+        embedded += [[0.0] * toxicity.DIM] * (max(toxicity.WIDTHS) - len(words))
+        z, k = model.shift, 0
+        for width, kernel in zip(toxicity.WIDTHS, model.kernels):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(embedded[i + o][d] * float(kernel[o][d][f]) for o in range(width) for d in range(toxicity.DIM)) for i in range(len(embedded) - width + 1))
+                z += max(0.0, best + model.bias[k]) * model.out[k]
+                k += 1
+        assert toxicity.Scorer(model).score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
 def test_toxicity_long_text_in_chunks(monkeypatch):
     model = toxicity.fit(["bad word here", "good word here"] * 5, [1, 0] * 5)
     text = " ".join(f"w{i}" for i in range(100))

@@ -37,9 +37,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def small(written: DataFrame, most: int = 250_000) -> DataFrame:
+    """A written table of narrow rows as a join's side: broadcast if it has `most` rows at most, else shuffled."""
+    return F.broadcast(written) if written.count() <= most else written.hint("merge")
+
+
 def release(*written: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing that is still to run reads it."""
     for df in written:
+        if not hasattr(df, "written_to"):
+            raise ValueError("not a written table")
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -17,12 +17,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import near_copies
-from millrace.llm._common import annotate, materialize, raw_texts, shared_dir
+from millrace.llm._common import annotate, materialize, raw_texts, release, shared_dir, small
 
 SEED = 42
 SHINGLE = 3
@@ -119,20 +119,32 @@ def _classes(nodes: DataFrame, distance: int, blocks: int, more: DataFrame | Non
 def drop_near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4, jaccard: float | None = None) -> DataFrame:
     """One document of each component: the one with its smallest doc_id. All columns stay; repeated rows leave one.
 
-    With jaccard, texts whose sets of 5-word shingles are that similar are linked too, however far their fingerprints are.
+    Of several texts with that doc_id the one with the smallest hash stays, of rows equal in both the one with the
+    smallest hash of its columns; a null doc_id stays only where there is no other. Null, empty and blank texts are alike;
+    an empty table gives no rows. With jaccard, texts whose sets of 5-word shingles are that similar are linked too,
+    however far their fingerprints are. Groups are found on (doc_id, text hash, fingerprint); texts are read again only
+    where copies must be compared, and to give the rows that stay.
     """
-    if jaccard is None:
-        marked, more = materialize(fingerprints(docs)), None
-    else:
-        fields = [("fp", T.LongType()), ("bands", near_copies.LONGS)]
-
-        def make(texts: pa.Array) -> list[pa.Array]:
-            raw = raw_texts(texts)
-            return [pa.array([fingerprint(r) for r in raw], pa.int64()), pa.array([near_copies.bands(r) for r in raw], pa.list_(pa.int64()))]
-
-        marked = materialize(annotate(docs, ["text"], fields, make))
-        more = near_copies.links(marked, jaccard)
-    nodes = marked.groupBy("res.fp").agg(F.min("row.doc_id").alias("least"))
-    classes = _classes(nodes, distance, blocks, more)
-    first = marked.join(classes, marked["res.fp"] == classes["fp"]).where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    return first.groupBy("root").agg(F.first("row").alias("row")).select("row.*")
+    fields = [("fp", T.LongType())] + ([("bands", near_copies.LONGS)] if jaccard is not None else [])
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        raw = raw_texts(texts)
+        made = [pa.array([fingerprint(r) for r in raw], pa.int64())]
+        return made if jaccard is None else [*made, pa.array([near_copies.bands(r) for r in raw], pa.list_(pa.int64()))]
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    marked = materialize(annotate(keyed, ["text"], fields, make).select("row.doc_id", "row.text_key", "res.*"))
+    more = None if jaccard is None else near_copies.links(docs, marked, jaccard)
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    keys = marked.groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).join(_classes(nodes, distance, blocks, more), "fp")
+    keys = materialize(keys.select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key").alias("key"), "n"))
+    stays = keys.groupBy("root").agg(F.min("key").alias("stays"))
+    other = keys.join(stays, "root").where((F.col("key") != F.col("stays")) | (F.col("n") > 1))
+    # what goes, and of what one row stays
+    other = materialize(other.select(F.col("key.doc_id").alias("at_id"), F.col("key.text_key").alias("at_key"), (F.col("key") == F.col("stays")).alias("once")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key_id"), F.xxhash64("text").alias("key"))
+    known = packed.join(small(other), F.col("key_id").eqNullSafe(F.col("at_id")) & (F.col("key") == F.col("at_key")), "left")
+    first = Window.partitionBy("key_id", "key").orderBy(F.xxhash64(F.to_json("row")))
+    once = known.where("once").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    release(keys, marked)
+    return known.where("once IS NULL").select("row.*").union(once.select("row.*"))

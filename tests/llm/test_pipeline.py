@@ -64,5 +64,16 @@ def test_near_dedup_drops_near_copies_beyond_two_bits(spark):
     stage = corpus_pipeline.drop_near_duplicates
     docs = spark.createDataFrame([*rows, (90, "one two"), (91, "one three"), (92, None)], "doc_id long, text string")
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == {*range(0, 60, 2), 90, 91, 92}
-    marked = materialize(spark.createDataFrame([(r, (simhash.fingerprint(r[1].encode()), near_copies.bands(r[1].encode()))) for r in rows], "row struct<doc_id long, text string>, res struct<fp long, bands array<long>>"))
-    assert {(r.u, r.v) for r in near_copies.links(marked).collect()} == {(r.u, r.v) for r in near_copies.links(marked, max_paired=1).collect()}
+    marked = [(simhash.fingerprint(t.encode()), near_copies.bands(t.encode()), t) for _, t in rows]
+    marked = materialize(spark.createDataFrame(marked, "fp long, bands array<long>, text string").selectExpr("fp", "bands", "xxhash64(text) as text_key"))
+    assert {(r.u, r.v) for r in near_copies.links(docs, marked).collect()} == {(r.u, r.v) for r in near_copies.links(docs, marked, max_paired=1).collect()}
+
+
+def test_near_dedup_ties(spark):
+    schema = "doc_id long, text string, source string"
+    one = "the same words in each of these rows here"
+    docs = spark.createDataFrame([(1, one, "a"), (1, one, "b"), (1, one.upper(), "c"), (None, one, "d"), (2, "x y", None), (2, "x y", None), (None, None, "e"), (None, "", "f")], schema)
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 3 and (2, "x y", None) in kept and sum(r[0] == 1 for r in kept) == 1
+    again = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.orderBy("source"), "").collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, again))

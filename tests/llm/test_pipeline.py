@@ -1,32 +1,76 @@
 """The pipeline stage by stage, each on its own input."""
 
 import random
+from itertools import combinations
 
 import corpus_pipeline
-from millrace.llm import decontaminate, near_copies, simhash
+import public_tokenizers
+from millrace.llm import near_copies, simhash, toxicity
 from millrace.llm._common import materialize
+from test_llm_operators import brute_chunks, brute_decontaminate, brute_fingerprint, brute_pairs, check_packed
+from tokenizers import Tokenizer
 
 
-def test_stages(spark):
-    sf = "/root/testdata/sf0.001"
+def brute_pipeline(spark, sf):
+    """{doc_id: text} after each stage but the last, in plain Python; the scores are the operator's own."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rejected = {r.doc_id for r in toxicity.classify(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect() if r.rejected}
+    docs = {d: t for d, t in docs.items() if d not in rejected}
+    yield "toxicity", docs
+    order = sorted(docs.items())
+    chunks, pairs = brute_chunks(spark, order), brute_pairs(order)
+    docs = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in chunks[(d, t)] | pairs[(d, t)]) for d, t in order}
+    yield "line_dedup", docs
+    prints, shingles = {d: brute_fingerprint(t) for d, t in docs.items()}, {}
+    for d, t in docs.items():
+        words = "".join(c.lower() if c.isascii() else c for c in t).split()
+        shingles[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    root = {d: d for d in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in combinations(sorted(docs), 2):
+        both = len(shingles[a] & shingles[b])
+        if (prints[a] ^ prints[b]).bit_count() <= 2 or both and both >= 0.8 * (len(shingles[a]) + len(shingles[b]) - both):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    docs = {d: t for d, t in docs.items() if find(d) == d}
+    yield "near_dedup", docs
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = {d: t for d, t in docs.items() if not brute_decontaminate(t, items)[1]}
+    yield "decontamination", docs
+
+
+def test_pipeline_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
+    columns, sizes = docs.columns, [docs.count()]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
+    for (name, stage), (same, want) in zip(corpus_pipeline.STAGES, brute_pipeline(spark, sf)):
+        docs = materialize(stage(spark, docs, sf))
+        assert name == same and docs.columns == columns
+        assert {r.doc_id: r.text for r in docs.collect()} == want and all(r.n_chars == len(r.text) for r in docs.collect())
+        sizes.append(len(want))
+    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] > sizes[4] > 0
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t in want.items()}
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(ids)
+    check_packed(rows, ids, 2048)
+
+
+def test_stages_on_odd_rows(spark):
+    odd = [(1, None), (2, ""), (None, "alone here, without an id."), (4, " \t\n "), (5, "w " * 50_000 + "end."), (6, "Same\ntext"), (6, "Same\ntext"), (7, "Same\ntext"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in odd], "doc_id long, text string, lang string").selectExpr("*", "1 as row", "2 as res", "3 as `a.b`", "4 as fp", "5 as key")
+    columns, kept = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
-        out = materialize(stage(spark, docs, sf))
-        if name == "packing":
-            assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
-            break
-        assert out.columns == columns and 0 < out.count() <= docs.count()
-        if name == "line_dedup":
-            assert out.count() == docs.count() and all(r.n_chars == len(r.text) for r in out.collect())
-        if name == "near_dedup":
-            groups = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-            assert {r.doc_id for r in out.collect()} == groups
-        if name == "decontamination":
-            bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-            assert decontaminate.find_matches(out, bench).where("res.n_hit > 0").count() == 0
-        docs = out
+        docs = materialize(stage(spark, docs, "/root/testdata/sf0.001"))
+        assert name == "packing" or docs.columns == columns
+        kept.append(docs.count())
+    # of the rows without words the first stays, of those with one text the first
+    assert kept[:4] == [9, 9, 4, 4] and {r.doc_id for r in docs.collect()} == {1, None, 5, 6}
 
 
 def test_stages_on_empty_and_repeated_rows(spark):

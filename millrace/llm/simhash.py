@@ -105,7 +105,9 @@ def near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4) -> Data
     """
     marked = materialize(fingerprints(docs.select("doc_id", "text")).select("row.doc_id", "res.fp"))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    return marked.join(_classes(nodes, distance, blocks), "fp").select("doc_id", "fp", "root", "component_id")
+    # a written table: both sides of the join are then plain exchanges, whose hot partitions Spark splits
+    classes = materialize(_classes(nodes, distance, blocks)).hint("merge")
+    return marked.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def _classes(nodes: DataFrame, distance: int, blocks: int, more: DataFrame | None = None) -> DataFrame:

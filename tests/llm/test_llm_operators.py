@@ -157,6 +157,18 @@ def test_sharding(spark, sf, texts):
     assert sorted(load.values()) == sorted(brute_lpt(groups.values(), 8)[0])
 
 
+def test_sharding_with_size_classes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EXACT", 50)
+    monkeypatch.setattr(sharding, "STEPS", 20)
+    rng = random.Random(13)
+    texts = [f"{i} " + "x" * rng.randint(1, 2000) for i in range(1500)]
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r["size"]
+    assert len(rows) == 1500 and max(load.values()) < 1.01 * min(load.values())
+
+
 def test_sharding_edges(spark):
     rows = sharding.shard_documents(edge_docs(spark)).collect()
     assert len(rows) == 10 and len({r.shard for r in rows if r.doc_id in (6, 7)}) == 1

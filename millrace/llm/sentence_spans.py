@@ -186,13 +186,21 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
     joined = joined.select("doc_id", "text", F.coalesce("n_sentences", F.lit(0).cast("long")).alias("n_sentences"), "inside", "gone", "firsts")
 
     def make(texts: pa.Array, inside: pa.Array, starts: pa.Array) -> list[pa.Array]:
-        kept, removed, own = [], [], []
-        for i in range(len(texts)):
-            text, at = texts[i].as_py(), starts[i].as_py()
-            drop, repeats = _covered(words := words_of(text), set(at or ())) if at or inside[i].as_py() else (None, False)
-            kept.append(text if drop is None or not drop.any() else _without(words, drop))
-            removed.append(0 if drop is None else int(drop.sum()))
-            own.append(repeats)
+        kept, starts, inside = texts.to_pylist(), starts.to_pylist(), inside.to_pylist()
+        removed, own = [0] * len(kept), [False] * len(kept)
+        touched = iter([i for i in range(len(kept)) if starts[i] or inside[i]])
+        for chunk in _chunks([kept[i] for i in range(len(kept)) if starts[i] or inside[i]]):
+            s = spans(chunk)
+            at, ends = np.searchsorted(s.text, np.arange(len(chunk) + 1)).tolist(), np.cumsum(s.sentences)
+            base = np.concatenate([[0], np.cumsum([len(w) for w in chunk])]).tolist()
+            for k, words in enumerate(chunk):
+                i = next(touched)
+                of = slice(int(ends[k] - s.sentences[k]), int(ends[k]))
+                gone, own[i] = _covered(s, slice(at[k], at[k + 1]), of, set(starts[i] or ()))
+                if gone.any():
+                    cut = [0, *(s.ends[of] - base[k]).tolist()]
+                    kept[i] = "".join(["".join(words[a:b]) for a, b, g in zip(cut, cut[1:], gone.tolist()) if not g])
+                    removed[i] = int(gone.sum())
         return [pa.array(kept, pa.string()), pa.array(removed, pa.int64()), pa.array(own, pa.bool_())]
 
     made = annotate(joined, ["text", "inside", "gone"], [("text", T.StringType()), ("n_removed", T.LongType()), ("own", T.BooleanType())], make)
@@ -201,11 +209,11 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
     return made.select("row.doc_id", "res.text", "row.n_sentences", "res.n_removed", F.array_sort(F.array_compact(firsts)).alias("repeats_of"))
 
 
-def _covered(words: list[str], gone: set[int]) -> tuple[np.ndarray, bool]:
-    """Which words stand in a run that is in `gone` or comes again in the text, as sentences; whether one comes again."""
-    s = spans([words])
-    drop, seen, repeats = np.zeros(len(s.ends), dtype=bool), set(), False
-    for h1, h2, i, j in zip(s.h1.tolist(), s.h2.tolist(), s.first.tolist(), s.last.tolist()):
+def _covered(s: Spans, runs: slice, sentences: slice, gone: set[int]) -> tuple[np.ndarray, bool]:
+    """Which of a text's sentences stand in one of its runs that is in `gone` or comes again in it; whether one comes again."""
+    drop, seen, repeats = np.zeros(sentences.stop - sentences.start, dtype=bool), set(), False
+    first, last = s.first[runs] - sentences.start, s.last[runs] - sentences.start
+    for h1, h2, i, j in zip(s.h1[runs].tolist(), s.h2[runs].tolist(), first.tolist(), last.tolist()):
         if h1 in gone:
             drop[i:j] = True
         elif (h1, h2) in seen:
@@ -219,8 +227,3 @@ def sentences(text: str | None) -> list[str]:
     words = words_of(text)
     ends = spans([words]).ends.tolist()
     return ["".join(words[i:j]) for i, j in zip([0, *ends], ends)]
-
-
-def _without(words: list[str], drop: np.ndarray) -> str:
-    ends = spans([words]).ends.tolist()
-    return "".join(["".join(words[i:j]) for i, j, gone in zip([0, *ends], ends, drop.tolist()) if not gone])

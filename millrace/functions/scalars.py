@@ -24,7 +24,7 @@ STATUS_LABELS = {
     "cancelled": "Stopped",
 }
 # Texts that mark an error as passing, and as a rate limit.
-TRANSIENT = ["timeout", "timed out", "resource limits", "something went wrong", "try again", "temporarily", "rate limit", "secondary rate"]
+TRANSIENT = ["timeout", "timed out", "resource limits", "something went wrong", "try again", "temporarily", "rate limit", "secondary rate", "abuse"]
 RATE_LIMIT = ["rate limit", "secondary rate", "abuse"]
 # An error line is cut before these.
 ERROR_CUTS = ["{", "Validation Failed", "upstream"]
@@ -43,11 +43,25 @@ def parse_ts(c) -> Column:
     return F.when(col(c).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(col(c)))
 
 
-def coerce_count(c) -> Column:
-    """Whole number of a JSON value given as text: null counts as 0, true and false as invalid (null)."""
-    text = F.trim(col(c))
-    number = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long")).when(text.rlike(r"^[+-]?\d*\.\d*([eE][+-]?\d+)?$"), text.try_cast("double").try_cast("long"))
-    return F.when(col(c).isNull(), F.lit(0).cast("long")).otherwise(number)
+def _whole(c: Column, is_text: Column) -> Column:
+    """Whole number of a JSON scalar given as text; numbers are cut towards zero, JSON strings must hold digits alone; else null."""
+    text = F.trim(c)
+    digits = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+    return F.when(is_text, digits).otherwise(F.coalesce(digits, F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double").try_cast("long"))))
+
+
+def coerce_count(c, is_text: Column | bool = False) -> Column:
+    """Whole number of a JSON scalar given as text: null counts as 0; true, false and other texts are invalid (null).
+
+    is_text: the scalar is a JSON string, so "1.5" is invalid where the number 1.5 counts as 1.
+    """
+    return F.when(col(c).isNull(), F.lit(0).cast("long")).otherwise(_whole(col(c), F.lit(is_text) if isinstance(is_text, bool) else is_text))
+
+
+def coerce_optional_int(c, is_text: Column | bool = False) -> Column:
+    """(value, valid) of a JSON scalar given as text: null is a valid null; what coerce_count() finds invalid is invalid."""
+    value = F.when(col(c).isNotNull(), _whole(col(c), F.lit(is_text) if isinstance(is_text, bool) else is_text))
+    return F.struct(value.alias("value"), (col(c).isNull() | value.isNotNull()).alias("valid"))
 
 
 def last_segment(c) -> Column:
@@ -69,6 +83,13 @@ def spec_hash(names: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[col(n) for n in sorted(names)])), 256)
 
 
+def query_hash(c) -> Column:
+    """SHA-256 of a map of parameters as compact JSON, keys sorted; null values stay."""
+    entries = F.array_sort(F.map_entries(col(c)))
+    text_of = lambda v: F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1)
+    return F.sha2(F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(text_of(e["key"]), F.lit(":"), text_of(e["value"]))), ","), F.lit("}")), 256)
+
+
 def fingerprint(c) -> Column:
     """First 12 hexadecimal digits of the SHA-256 of a text."""
     return F.substring(F.sha2(col(c), 256), 1, 12)

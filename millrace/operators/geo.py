@@ -1,14 +1,16 @@
 """Countries of free-text locations, by dictionaries that are DataFrames of (phrase, iso).
 
 Each distinct text is resolved once: its candidates and their word prefixes are exploded, joined with the dictionaries and
-the best hit is taken by (tier, candidate, shorter prefix last). The dictionaries are parameters; load_phrases reads
-larger ones from `code phrase|phrase` lines.
+the best hit is taken by (tier, candidate, shorter prefix last). The dictionaries are parameters. country_phrases and
+city_phrases make them from what the platform knows: names of all ISO countries, in English and in their own languages,
+and the cities that time zones are named after; load_phrases reads further ones from `code phrase|phrase` lines.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from importlib import resources
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.scalars import flag_to_iso, host_tld_iso, normalize_location, prefix_phrases, split_candidates, tz_iso, valid_iso
 
-# A few country names and cities; real jobs pass their own tables.
+# Names and cities that the platform's own tables lack or spell otherwise.
 COUNTRIES = [
     "AE united arab emirates|uae", "BR brazil|brasil", "DE germany|deutschland", "ES spain|españa", "FR france", "GB united kingdom|uk|england",
     "IN india", "JP japan", "NG nigeria", "NL netherlands|nederland", "TR turkey|türkiye", "US united states|usa",
@@ -41,6 +43,31 @@ def load_phrases(spark: SparkSession, lines: list[str], codes: bool) -> DataFram
     return spark.createDataFrame(sorted(made.items()), "phrase string, iso string")
 
 
+def country_phrases(spark: SparkSession, more: list[str] = COUNTRIES) -> DataFrame:
+    """(phrase, iso) of all ISO countries: codes, names in English and in the languages of the country; `more` goes first."""
+    locales = spark._jvm.java.util.Locale
+    named = lambda code, language: (locales.Builder().setRegion(code).build().getDisplayCountry(language), code)
+    codes = list(locales.getISOCountries())
+    names = [(c, c) for c in codes] + [named(c, locales.ENGLISH) for c in codes]
+    names += sorted({named(c, x) for x in locales.getAvailableLocales() if (c := x.getCountry()) in set(codes)})
+    return _phrases(load_phrases(spark, more, codes=True), names)
+
+
+def city_phrases(spark: SparkSession, more: list[str] = CITIES) -> DataFrame:
+    """(phrase, iso) of the cities that time zones of a country are named after; `more` goes first."""
+    lines = resources.files("tzdata").joinpath("zoneinfo/zone.tab").read_text(encoding="utf-8").splitlines()
+    zones = [line.split("\t") for line in lines if line and line[0] != "#"]
+    return _phrases(load_phrases(spark, more, codes=False), [(z[2].rsplit("/", 1)[-1].replace("_", " "), z[0]) for z in zones])
+
+
+def _phrases(first: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """first, and the names that it lacks, normalised; of several countries with one name the first mentioned."""
+    spark = first.sparkSession
+    rows = spark.createDataFrame([(n, c, i) for i, (n, c) in enumerate(names)], "name string, iso string, i int")
+    rest = rows.select(normalize_location("name").alias("phrase"), "iso", "i").where("phrase != ''").groupBy("phrase").agg(F.min_by("iso", "i").alias("iso"))
+    return first.unionByName(rest.join(F.broadcast(first), "phrase", "left_anti"))
+
+
 def location_hits(df: DataFrame, location: str = "location") -> DataFrame:
     """(normalized, hits, sample) of non-blank locations; the sample is the least raw text."""
     norm = normalize_location(location)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import CONFIDENCE
+from millrace.functions.scalars import CONFIDENCE, literal_map
 
 # Qualifiers that a query may use.
 QUALIFIERS = [
@@ -31,39 +31,45 @@ def lint_queries(df: DataFrame, key: str, query: str) -> DataFrame:
     """Per query: ok, n_errors, errors (sorted `kind:token`), hints (sorted, distinct), keyword_chars and operators.
 
     Kinds: unknown_qualifier, empty_value, property_name, property_form, property_scope, keyword_limit, operator_limit.
+    Each row is judged by itself, rows with one key too; a null query has no tokens.
     """
-    spark = df.sparkSession
+    hints, known = literal_map(HINTS), F.array(*[F.lit(q) for q in QUALIFIERS])
     tokens = F.regexp_extract_all(query, F.lit(r'("[^"]*"|\S+)'), 1)
-    t = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    quoted = F.col("token").startswith('"')
-    operator = F.col("token").isin("AND", "OR", "NOT")
-    excluded = F.col("token").startswith("-") & ~quoted
-    plain = F.when(excluded, F.expr("substring(token, 2)")).otherwise(F.col("token"))
-    t = t.withColumns({"quoted": quoted, "operator": operator & ~quoted, "excluded": excluded, "plain": plain})
-    keyword = F.col("quoted") | (~F.col("operator") & ~F.col("plain").contains(":"))
-    t = t.withColumn("keyword", keyword).withColumn("name", F.lower(F.split_part("plain", F.lit(":"), F.lit(1))))
-    t = t.withColumn("value", F.expr("substring(plain, length(name) + 2)"))
-    pair = F.concat_ws(":", F.col("name"), F.lower(F.split_part("plain", F.lit(":"), F.lit(2))))
-    hints = spark.createDataFrame(list(HINTS.items()), "mistake string, hint string")
-    known = spark.createDataFrame([(q, True) for q in QUALIFIERS], "qualifier string, known boolean")
-    by_pair = F.broadcast(hints.withColumnsRenamed({"mistake": "m1", "hint": "h1"}))
-    by_name = F.broadcast(hints.withColumnsRenamed({"mistake": "m2", "hint": "h2"}))
-    t = t.withColumn("pair", pair).join(by_pair, F.col("pair") == F.col("m1"), "left").join(by_name, F.col("name") == F.col("m2"), "left")
-    t = t.join(F.broadcast(known), F.col("name") == F.col("qualifier"), "left")
-    is_qualifier = F.col("token").isNotNull() & ~F.col("keyword") & ~F.col("operator")
-    hint = F.when(is_qualifier, F.coalesce("h1", "h2"))
-    property_ = F.col("name").startswith("props.")
-    bare, nothing = F.col("name") == "props.", F.col("value") == ""
-    kind = (
-        F.when(~is_qualifier, None).when(hint.isNotNull(), "unknown_qualifier").when(bare, "property_name").when(property_ & nothing, "empty_value").when(property_, None)
-        .when(F.col("name") == "props", "property_form").when(F.col("known").isNull(), "unknown_qualifier").when(nothing, "empty_value")
-    )
-    good_property = is_qualifier & hint.isNull() & property_ & (F.col("name") != "props.") & (F.col("value") != "")
-    org = F.when(is_qualifier & hint.isNull() & (F.col("name") == "org") & ~F.col("excluded") & (F.col("value") != ""), F.lower("value"))
-    chars = F.when(F.col("quoted"), F.length(F.trim(F.lit('"'), F.col("token")))).when(F.col("keyword"), F.length("plain")).otherwise(0)
-    per = t.groupBy(key).agg(
-        F.collect_list(F.when(kind.isNotNull(), F.concat_ws(":", kind, "plain"))).alias("bad"), F.collect_list(F.when(good_property, F.concat_ws(":", F.lit("property_scope"), "plain"))).alias("scoped"), F.collect_set(hint).alias("hints"), F.count_distinct(org).alias("orgs"),
-        F.coalesce(F.sum(chars), F.lit(0)).alias("keyword_chars"), F.count_if("operator").alias("operators"),
+
+    def shape(token: Column) -> Column:
+        quoted = token.startswith('"')
+        excluded = token.startswith("-") & ~quoted
+        plain = F.when(excluded, F.substring(token, 2, 1 << 30)).otherwise(token)
+        return F.struct(token.alias("token"), quoted.alias("quoted"), excluded.alias("excluded"), plain.alias("plain"), (token.isin("AND", "OR", "NOT") & ~quoted).alias("operator"))
+
+    def parts(t: Column) -> Column:
+        plain, name = t["plain"], F.lower(F.split_part(t["plain"], F.lit(":"), F.lit(1)))
+        keyword = t["quoted"] | (~t["operator"] & ~plain.contains(":"))
+        pair = F.concat_ws(":", name, F.lower(F.split_part(plain, F.lit(":"), F.lit(2))))
+        hint = F.when(~keyword & ~t["operator"], F.coalesce(F.try_element_at(hints, pair), F.try_element_at(hints, name)))
+        value = F.substring(plain, F.length(name) + 2, F.length(plain))
+        kept = [t[c].alias(c) for c in ("token", "quoted", "excluded", "plain", "operator")]
+        return F.struct(*kept, keyword.alias("keyword"), name.alias("name"), value.alias("value"), hint.alias("hint"))
+
+    def judged(t: Column) -> Column:
+        name, plain, empty = t["name"], t["plain"], t["value"] == ""
+        is_qualifier, property_ = ~t["keyword"] & ~t["operator"], name.startswith("props.")
+        kind = (
+            F.when(~is_qualifier, None).when(t["hint"].isNotNull(), "unknown_qualifier").when(name == "props.", "property_name").when(property_ & empty, "empty_value").when(property_, None)
+            .when(name == "props", "property_form").when(~F.array_contains(known, name), "unknown_qualifier").when(empty, "empty_value")
+        )
+        fine = is_qualifier & t["hint"].isNull() & ~empty
+        chars = F.when(t["quoted"], F.length(F.trim(t["token"], F.lit('"')))).when(t["keyword"], F.length(plain)).otherwise(0)
+        return F.struct(
+            F.when(kind.isNotNull(), F.concat_ws(":", kind, plain)).alias("bad"), F.when(fine & property_ & (name != "props."), F.concat_ws(":", F.lit("property_scope"), plain)).alias("scoped"),
+            t["hint"].alias("hint"), F.when(fine & (name == "org") & ~t["excluded"], F.lower(t["value"])).alias("org"), chars.cast("long").alias("chars"), t["operator"].alias("operator"),
+        )
+
+    read = df.select(key, F.coalesce(F.transform(F.transform(F.transform(tokens, shape), parts), judged), F.array()).alias("t"))
+    per = read.select(
+        key, F.array_compact("t.bad").alias("bad"), F.array_compact("t.scoped").alias("scoped"), F.array_distinct(F.array_compact("t.hint")).alias("hints"),
+        F.size(F.array_distinct(F.array_compact("t.org"))).alias("orgs"), F.aggregate("t.chars", F.lit(0).cast("long"), lambda a, x: a + x).alias("keyword_chars"),
+        F.size(F.filter("t.operator", lambda x: x)).cast("long").alias("operators"),
     )
     unscoped = (F.size("scoped") > 0) & (F.col("orgs") != 1)
     beyond = lambda kind, c, limit: F.when(F.col(c) > limit, F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")))
@@ -99,8 +105,3 @@ def validate_options(df: DataFrame, name: str = "name", value: str = "value", co
     near = F.array_min(F.transform(options, lambda o: F.struct(F.levenshtein(F.col(name), o).alias("d"), o.alias("o"))))
     close = unknown.withColumn("_n", near).select(name, F.when(F.col("_n.d") * 2 <= F.length(name), F.col("_n.o")).alias("suggestion"))
     return out.join(close, name, "left").select(*df.columns, "ok", "normalized", "suggestion")
-
-
-def first_per_query(df: DataFrame, key: str, order: str) -> DataFrame:
-    """First row of each query, for reports that list one error a query."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")

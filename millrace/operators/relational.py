@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import materialize
+
 
 def with_owner(repos: DataFrame, owners: DataFrame, ref: str, key: str, columns: list[str]) -> DataFrame:
     """repos with the named owner columns as owner_*."""
@@ -104,16 +106,36 @@ def page_of(df: DataFrame, sort: str, columns: dict[str, str], key: str, page: i
     order = F.col(columns[sort]).desc_nulls_last() if descending else F.col(columns[sort]).asc_nulls_last()
     pages = max(1, -(-df.count() // per_page))
     page = min(max(1, page), pages)
-    return df.orderBy(order, key).offset((page - 1) * per_page).limit(per_page).withColumns({"page": F.lit(page), "pages": F.lit(pages)})
+    return slice_page(df, [order, F.col(key)], page, per_page).withColumns({"page": F.lit(page), "pages": F.lit(pages)})
 
 
 def slice_page(df: DataFrame, order: list, page: int, per_page: int) -> DataFrame:
-    """A page without clamping; one past the end is empty."""
+    """A page without clamping; one past the end is empty.
+
+    A top-k of the rows up to the page's end, for pages near the start. `page_after` goes on from any page at the cost of one.
+    """
     return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
 
 
+def page_after(df: DataFrame, column: str, key: str, last: tuple | None, per_page: int, descending: bool = True) -> DataFrame:
+    """The page that follows the row with (column, key) `last`; None: the first. Nulls last, ties by ascending id.
+
+    The rows before are filtered out, so a deep page costs what the first does: per_page rows a task and no more.
+    """
+    order = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+    if last is not None:
+        value, at = last
+        same_later = F.col(column).eqNullSafe(F.lit(value)) & (F.col(key) > at)
+        beyond = F.lit(False) if value is None else F.col(column).isNull() | ((F.col(column) < value) if descending else (F.col(column) > value))
+        df = df.where(same_later | beyond)
+    return df.orderBy(order, key).limit(per_page)
+
+
 def cap(df: DataFrame, order: list, max_rows: int, max_detail: int) -> tuple[DataFrame, DataFrame]:
-    """(the first max_rows rows, one row with the numbers of dropped rows and of kept rows beyond max_detail)."""
+    """(the first max_rows rows, one row with the numbers of dropped rows and of kept rows beyond max_detail).
+
+    The limit is a top-k: max_rows, a parameter of tens of thousands, bounds what the last task sees.
+    """
     n = F.count(F.lit(1))
     kept = F.least(n, F.lit(max_rows))
     counts = df.agg((n - kept).alias("dropped"), F.greatest(kept - max_detail, F.lit(0)).cast("long").alias("not_detailed"))
@@ -139,7 +161,10 @@ def latest_ready(df: DataFrame, key: str, order: list[str], status: str, ready:
 
 
 def previous_runs(df: DataFrame, key: str, at: str, id_: str, n: int = 3) -> DataFrame:
-    """(row id, previous row id, rank 1..n) of the rows of one key before each row, newest first."""
+    """(row id, previous row id, rank 1..n) of the rows of one key before each row, newest first.
+
+    A key's rows, the runs of one filter, meet in one task in order of time; it holds n of them at a time.
+    """
     w = Window.partitionBy(key).orderBy(at, id_)
     lags = F.array(*[F.lag(id_, k).over(w) for k in range(1, n + 1)])
     return df.withColumn("_lags", lags).select(id_, F.posexplode("_lags").alias("rank", "previous")).where("previous IS NOT NULL").select(id_, "previous", (F.col("rank") + 1).alias("rank"))
@@ -164,20 +189,40 @@ def assign_windows(df: DataFrame, windows: DataFrame, at: Column | str, max_wind
     return df.withColumn("_day", F.to_date(at)).join(days, "_day").drop("_day")
 
 
-def global_rank(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df in ascending order of key with `name`: 1, 2, ... over all rows; no single task sorts them all.
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """A sorted df with `name`: 1, 2, ... in its order.
 
-    Rows are range-partitioned by key and counted by partition (that count is all the driver sees); each partition ranks its
-    own rows and adds the rows before it. Persisted, as the ranges must not change between the two readings.
+    It is written once, each row with its place in its partition; of the counts of the partitions the driver sees one a
+    partition.
     """
-    parts = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()).persist()
+    placed = materialize(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_at", 33).cast("int"))
     before, offsets = 0, []
-    for r in sorted(parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()):
+    for r in sorted(placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()):
         offsets.append((r["_p"], before))
         before += r.n
-    sums = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p int, _before long"))  # a row for each partition
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(key)) + F.col("_before")
-    return parts.join(sums, "_p").withColumn(name, rank.cast("long")).drop("_p", "_before")
+    sums = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p int, _before long"))
+    return placed.join(sums, "_p").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_at", "_before")
+
+
+def global_rank(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df in ascending order of key with `name`: 1, 2, ... over all rows; no single task sorts them all.
+
+    Values of key are counted; the counts, one row a value, are cut at quantiles of the values (the only thing the driver
+    sees) into ranges, and each range adds up its own counts after those of the ranges before it. Equal values are told
+    apart inside the range of a value alone. Nothing is kept: both readings give the same ranges.
+    """
+    spark = df.sparkSession
+    n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.select(F.approx_percentile(key, [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges).alias("q")).first().q if n_ranges > 1 else []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<long>")
+    part = F.size(F.filter(bounds, lambda b: b < F.col(key)))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_p", part)
+    sums = counts.groupBy("_p").agg(F.sum("_n").alias("_all"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    inside = F.sum("_n").over(Window.partitionBy("_p").orderBy(key)) - F.col("_n")
+    starts = counts.join(F.broadcast(sums.drop("_all")), "_p").select(F.col(key).alias("_key"), (F.col("_before") + inside).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return df.join(starts, F.col(key) == F.col("_key")).withColumn(name, (F.col("_start") + nth).cast("long")).drop("_key", "_start")
 
 
 def even_segments(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from millrace.functions.predicates import DROP, KEEP, UNKNOWN
 from millrace.functions.scalars import epoch_s, iso_utc, span_text
 from millrace.operators.merge import dedupe_latest
-from millrace.operators.relational import cap, latest_ready, rank_candidates, sort_result
+from millrace.operators.relational import cap, latest_ready, sort_result
+from millrace.sources.shared import materialize
 
 # Cost of each filter; those above PAGE_COST aren't run at depth "page".
 FILTER_COSTS = {
@@ -153,7 +154,7 @@ def retry_failed_only(df: DataFrame, key: str, attempt: Callable[[DataFrame], Da
     """(results, unresolved) of attempt(rows) -> rows with key, value and error; only failed keys are tried again."""
     rows, good = df, None
     for _ in range(max_attempts):
-        tried = attempt(rows).persist()
+        tried = materialize(attempt(rows))  # an attempt is made once, whatever is lost later
         won = tried.where(F.col("error").isNull()).drop("error")
         good = won if good is None else good.unionByName(won)
         failed = tried.where(F.col("error").isNotNull())
@@ -163,6 +164,31 @@ def retry_failed_only(df: DataFrame, key: str, attempt: Callable[[DataFrame], Da
     return good, failed.select(key, "error")
 
 
+def history_filter(runs: DataFrame, status: str = "", hash_prefix: str = "", key: str = "filter_hash") -> DataFrame:
+    """Runs of a status whose hash starts with a prefix; an empty argument asks for all."""
+    if status:
+        runs = runs.where(F.col("status") == status)
+    return runs.where(F.col(key).startswith(hash_prefix)) if hash_prefix else runs
+
+
+def count_matches(df: DataFrame, predicate: Column) -> DataFrame:
+    """One row: the number of rows that a filter would keep."""
+    return df.where(predicate).agg(F.count(F.lit(1)).alias("n"))
+
+
+def record_only(df: DataFrame, asked: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(df with the asked filters that can't be checked in `recorded`, and `incomplete`; one warning row for each).
+
+    All rows stay. An unknown name is an error.
+    """
+    if unknown := [n for n in asked if n not in RECORD_ONLY]:
+        raise ValueError(f"not record-only: {unknown}")
+    names = [n for n in RECORD_ONLY if n in asked]
+    marked = df.withColumn("recorded", F.array(*[F.lit(n) for n in names]).cast("array<string>")).withColumn("incomplete", F.lit(bool(names)))
+    rows = [(n, f"`{n}` is recorded but unenforceable in this run; results are incomplete") for n in names]
+    return marked, df.sparkSession.createDataFrame(rows, "filter string, warning string")
+
+
 def freeze(corpora: DataFrame, runs: DataFrame, items: DataFrame, run_id, name: str, frozen_at: Column, note: str | None = None) -> DataFrame:
     """corpora with a new named corpus of a finished run; a blank or known name or an unfinished run is an error."""
     if not name.strip():
@@ -215,10 +241,6 @@ def build_corpus(records: DataFrame, spec: CorpusSpec) -> tuple[DataFrame, DataF
     return items, funnel, warnings_ledger(counts.crossJoin(unknown))  # one row each
 
 
-def ranked(records: DataFrame, stars: str, pushed: str, seq: str) -> DataFrame:
-    return rank_candidates(records, stars, pushed, seq)
-
-
 def snapshot_columns(df: DataFrame, columns: dict[str, Column | str], pushed: str = "pushed_at") -> DataFrame:
     """Frozen form of result rows: the named columns, times as ISO text."""
     out = df.select(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in columns.items()])

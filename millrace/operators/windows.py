@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ def merge_windows(df: DataFrame, floor: Column, ceiling: Column, lo: str = "lo",
     """
     keys = [by] if by else []
     start, end = F.greatest(F.coalesce(lo, floor), floor), F.least(F.coalesce(hi, ceiling), ceiling)
-    clamped = df.select(*keys, start.alias("lo"), end.alias("hi")).where("lo <= hi").groupBy(*keys, "lo").agg(F.max("hi").alias("hi"))
-    w = Window.partitionBy(*keys).orderBy("lo") if by else Window.orderBy("lo")
+    clamped = df.select(*keys, start.cast("date").alias("lo"), end.cast("date").alias("hi")).where("lo <= hi").groupBy(*keys, "lo").agg(F.max("hi").alias("hi"))
+    w = Window.partitionBy(*keys).orderBy("lo") if by else Window.orderBy("lo")  # a row for each day
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = clamped.withColumn("_new", F.when(reach.isNull() | (F.col("lo") > F.date_add(reach, 1)), 1).otherwise(0))
     island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -51,7 +53,9 @@ def plan_windows(
     counts = {r.day: r.n for r in date_histogram(inside, at).collect()}
     schema = "lo date, hi date, n long, oversized boolean"
     fits = lambda n: n < max_rows and n <= scan_target
-    total = lambda a, b: sum(n for d, n in counts.items() if a <= d <= b)
+    days = sorted(counts)
+    before = [0, *accumulate(counts[d] for d in days)]
+    total = lambda a, b: before[bisect_right(days, b)] - before[bisect_left(days, a)]
     wanted = sorted((max(a or floor, floor), min(b or ceiling, ceiling)) for a, b in windows or [(None, None)])
     merged: list[list[dt.date]] = []
     for a, b in wanted:
@@ -110,7 +114,18 @@ def completeness(windows: DataFrame, pages: DataFrame, key: str, page_cap: int =
 
 
 def window_states(events: DataFrame, key: str, seq: str, state: str = "state") -> DataFrame:
-    """events with the state before (`pending` at first) and whether the step is allowed."""
-    before = F.coalesce(F.lag(state).over(Window.partitionBy(key).orderBy(seq)), F.lit("pending"))
+    """events with the state before (`pending` at first) and whether the step is allowed; a step that isn't leaves the state.
+
+    The first allowed end (`done`, `incomplete`) of a window is final. Until then its state is the last of `pending` and
+    `active` that was asked for, for both may follow each other and a step to itself changes nothing. A window's events are
+    bounded by the attempts that its plan allows, so one task takes them in order.
+    """
+    earlier = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.when(F.col(state).isin("pending", "active"), F.col(state))
+    out = events.withColumn("_open", F.coalesce(F.last(moved, ignorenulls=True).over(earlier), F.lit("pending")))
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in TRANSITIONS])
-    return events.withColumn("previous", before).withColumn("legal", F.array_contains(pairs, F.concat_ws(">", "previous", state)))
+    allowed = lambda before: F.array_contains(pairs, F.concat_ws(">", before, state))
+    ended = F.when(allowed(F.col("_open")) & moved.isNull(), F.col(state))
+    out = out.withColumn("_ended", F.first(ended, ignorenulls=True).over(earlier))
+    previous = F.coalesce("_ended", "_open")
+    return out.withColumn("previous", previous).withColumn("legal", allowed(F.col("previous"))).drop("_open", "_ended")

@@ -8,7 +8,7 @@ from millrace.functions import predicates as P
 from millrace.functions import scalars as S
 from millrace.operators import geo, lint, relational, runs, windows
 from millrace.plans.registry import Tables, query
-from millrace.sources import records
+from millrace.sources import records, shared
 from millrace.streaming import streams
 
 ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
@@ -33,9 +33,14 @@ def _(t):
     return windows.scan_since(t.orders, "o_orderkey", since=100, stop_after=4000, page_size=500)
 
 
-@query("s06_ordered_items", f"SELECT {_COLS} FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey")
+@query("s06_ordered_items", f"SELECT {_COLS}, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS nth FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
-    return t.orders.where("o_orderstatus = 'P'").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").select(*ORDER)
+    run = F.when(F.col("o_orderstatus") == "P", 7).otherwise(8)
+    items = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").alias("stargazers"), F.col("o_orderkey").alias("repo_id"), run.alias("run_id"))
+    path = shared.scratch(t.spark)
+    items.write.partitionBy("run_id").parquet(path)
+    found = relational.number_rows(records.read_run_items(t.spark, path, 7), "nth")
+    return found.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("stargazers").alias("o_totalprice"), "nth")
 
 
 @query("s07_csv_columns", "SELECT o_orderkey::VARCHAR AS o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END, '') AS status, CASE WHEN o_custkey > 500 THEN 'true' ELSE 'false' END AS big FROM orders")  # noqa: E501
@@ -52,6 +57,25 @@ def _(t):
     return items.select(key.alias("o_orderkey"), "item")
 
 
+@query("s08_bundle_manifest", """SELECT count(*) AS items, 'spring' AS name, 3 AS run_id, '{"o_orderkey":' || count(o_orderkey) || ',"o_clerk":' || count(*) FILTER (o_orderstatus <> 'F') || '}' AS field_stats, sum(o_orderkey)::BIGINT AS keys FROM orders""")
+def _(t):
+    path = shared.scratch(t.spark)
+    items = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("o_clerk"))
+    records.write_bundle(items, {"name": "spring", "run_id": 3}, path, None, ["o_orderkey", "o_clerk"])
+    keys = t.spark.read.text(f"{path}/items").agg(F.sum(F.get_json_object("value", "$.o_orderkey").cast("long")).alias("keys"))
+    manifest = t.spark.read.schema("items long, name string, run_id int, field_stats string").json(f"{path}/manifest")
+    return manifest.crossJoin(keys)  # one row each
+
+
+@query("s10_snapshot_run", "SELECT l_orderkey, l_linenumber, 1 AS run_id FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_linenumber, 2 FROM lineitem WHERE l_returnflag = 'A'")
+def _(t):
+    path = shared.scratch(t.spark)
+    items = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
+    for run_id, flag in ((1, "N"), (2, "A"), (1, "R")):  # run 1 is written again, run 2 stays
+        records.snapshot_run(items.where(F.col("l_returnflag") == flag).drop("l_returnflag"), run_id, path)
+    return t.spark.read.parquet(path)
+
+
 @query("s11_read_paths", "SELECT DISTINCT page_id % 20 AS repo_id, regexp_replace(url, '[?#].*$', '') AS path, false AS truncated FROM pages WHERE page_id % 3 <> 0")
 def _(t):
     kind = F.when(F.col("page_id") % 3 != 0, "blob").otherwise("tree")
@@ -143,7 +167,7 @@ def _(t):
 
 
 def languages(t: Tables):
-    """Per order a map of return flag to quantity."""
+    """Per order a map of return flag to quantity: two aggregates, as a map is wanted."""
     each = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
     return each.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "q"))).alias("languages"))
 
@@ -153,8 +177,12 @@ _LANG = "WITH e AS (SELECT l_orderkey, l_returnflag AS k, sum(l_quantity) AS v F
 
 @query("f15_language_bytes", _LANG + " SELECT o_orderkey, CASE WHEN bytes IS NULL THEN 'unknown' WHEN bytes >= 40 AND bytes <= 90 THEN 'keep' ELSE 'drop' END AS status FROM orders LEFT JOIN m ON o_orderkey = l_orderkey")  # noqa: E501
 def _(t):
-    joined = t.orders.join(languages(t), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return joined.select("o_orderkey", P.language_bytes_status("languages", 40, 90).alias("status"))
+    # the return flags are few and known, so one aggregate makes the map
+    of = [F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity"))) for flag in "ANR"]
+    each = t.lineitem.groupBy("l_orderkey").agg(F.map_from_arrays(F.array(*map(F.lit, "ANR")), F.array(*of)).alias("all"))
+    joined = t.orders.join(each, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    languages = F.map_filter("all", lambda _, n: n.isNotNull())
+    return joined.select("o_orderkey", P.language_bytes_status(languages, 40, 90).alias("status"))
 
 
 @query("f16_has_file", """WITH s AS (SELECT l_orderkey AS k, bool_or(l_returnflag = 'R') AS hit, bool_or(l_linenumber > 6) AS cut FROM lineitem GROUP BY 1)
@@ -195,9 +223,11 @@ def _(t):
     return runs.run_filters(rows, filters)[1]
 
 
-@query("f20_record_only", "SELECT 'min_loc' AS reason, count(*) AS n FROM orders")
+@query("f20_record_only", "SELECT o_orderkey, 'max_loc' AS recorded, true AS incomplete, '`max_loc` is recorded but unenforceable in this run; results are incomplete' AS warning FROM orders")
 def _(t):
-    return runs.warnings_ledger(t.orders.agg(F.count(F.lit(1)).alias("min_loc"), F.count_if(F.lit(False)).alias("max_loc")))
+    marked, warnings = runs.record_only(t.orders, ["max_loc"])
+    joined = marked.select("o_orderkey", F.explode("recorded").alias("recorded"), "incomplete").join(warnings, F.col("recorded") == F.col("filter"))
+    return joined.select("o_orderkey", "recorded", "incomplete", "warning")
 
 
 @query("f21_narrows", "SELECT count(*) AS base, count(*) FILTER (o_totalprice > 1000) AS filtered, count(*) FILTER (o_totalprice > 1000) < count(*) AS narrows FROM orders")
@@ -235,8 +265,8 @@ def _(t):
 
 @query("f24_history_filter", "SELECT o_orderkey, sha256(o_orderkey::VARCHAR) AS h FROM orders WHERE o_orderstatus = 'P' AND sha256(o_orderkey::VARCHAR) LIKE 'a%'")
 def _(t):
-    hashed = t.orders.withColumn("h", F.sha2(F.col("o_orderkey").cast("string"), 256))
-    return hashed.where((F.col("o_orderstatus") == "P") & F.col("h").startswith("a")).select("o_orderkey", "h")
+    hashed = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("h"))
+    return runs.history_filter(hashed, status="P", hash_prefix="a", key="h").select("o_orderkey", "h")
 
 
 @query("f25_column_lists", "SELECT p_partkey AS id, p_brand || '/' || p_name AS full_name, p_type AS language, p_size AS size_kb FROM part")
@@ -318,7 +348,62 @@ def _(t):
     return runs.retry_failed_only(t.orders.select(F.col("o_orderkey").alias("k")), "k", attempt)[0]
 
 
-@query("t06_live_progress", "SELECT user_id, max_by(event_type, event_id) AS phase, max_by((event_id % 100)::INT, event_id) AS done FROM events GROUP BY 1")
+_PROGRESS = """WITH e AS (SELECT user_id, event_id, event_type AS phase, (event_id % 100)::INT AS done, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+l AS (SELECT user_id, max_by(phase, event_id) AS phase, max_by(done, event_id) AS done FROM e GROUP BY 1)
+SELECT l.user_id, l.phase, l.done, (SELECT max(event_id) FROM e WHERE e.user_id = l.user_id AND e.before IS DISTINCT FROM e.phase) AS phase_start FROM l"""
+
+
+def progress_events(df):
+    return df.select("user_id", "event_id", F.col("event_type").alias("phase"), (F.col("event_id") % 100).cast("int").alias("done"), F.lit(100).alias("total"))
+
+
+@query("t06_live_progress", _PROGRESS)
+def _(t):
+    return streams.live_progress(progress_events(t.events), "user_id", "event_id").select("user_id", "phase", "done", "phase_start")
+
+
+@query("t01_stream_upsert", "SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS o_totalprice, max_by(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
+def _(t):
+    target = shared.scratch(t.spark)
+    source = t.stream("orders")
+    streams.stream_upsert(source, f"{target}/table", f"{target}/log", "o_custkey", ["o_totalprice", "o_orderstatus"], "o_orderkey", "o_orderdate").awaitTermination()
+    return streams.latest(t.spark, f"{target}/table").select("o_custkey", "o_totalprice", "o_orderstatus")
+
+
+@query("t02_stream_dedupe", "SELECT event_id, user_id FROM events")
+def _(t):
+    target, at = shared.scratch(t.spark), F.col("ts").cast("timestamp")
+    source = t.stream("events").select("event_id", "user_id", at.alias("ts"))
+    streams.log_sink(streams.stream_dedupe(source.union(source), "event_id", "ts", "10 minutes"), f"{target}/rows", f"{target}/log").awaitTermination()
+    return t.spark.read.parquet(f"{target}/rows").select("event_id", "user_id")
+
+
+@query("t08_log_sink", "SELECT event_id, user_id, event_type, value FROM events")
+def _(t):
+    target = shared.scratch(t.spark)
+    for _ in range(2):  # a second start delivers nothing new
+        streams.log_sink(t.stream("events"), f"{target}/rows", f"{target}/log").awaitTermination()
+    return t.spark.read.parquet(f"{target}/rows").select("event_id", "user_id", "event_type", "value")
+
+
+@query("t09_late_rows", """WITH c AS (SELECT to_timestamp((min(epoch(ts)) + max(epoch(ts))) // 2)::TIMESTAMP AS cut, to_timestamp(floor(max(epoch(ts))))::TIMESTAMP AS last FROM events),
+w AS (SELECT unnest(range((epoch(ts)::BIGINT // 60 - 9) * 60, (epoch(ts)::BIGINT // 60 + 1) * 60, 60)) AS start FROM (SELECT to_timestamp(floor(epoch(ts))) AS ts FROM events, c WHERE events.ts >= cut))
+SELECT start, count(*) AS n FROM w, c WHERE start + 600 <= epoch(last) - 600 GROUP BY 1""")
+def _(t):
+    """The later half of the log comes first, in two batches, so the earlier half is too late and leaves no trace."""
+    target, second = shared.scratch(t.spark), F.unix_timestamp(F.col("ts").cast("timestamp"))
+    log = t.events.select(F.timestamp_seconds(second).alias("ts"), F.lit(200).alias("status"), F.col("value").alias("latency_ms"), F.col("ts").cast("timestamp").alias("at"), "user_id")
+    ends = t.events.agg(F.min(second).alias("a"), F.max(second).alias("b")).first()
+    cut = F.timestamp_seconds(F.lit((ends.a + ends.b) // 2))
+    even = F.col("user_id") % 2 == 0
+    for part in ((F.col("at") >= cut) & even, (F.col("at") >= cut) & ~even, F.col("at") < cut):
+        log.where(part).drop("at", "user_id").coalesce(1).write.mode("append").parquet(f"{target}/in")
+    source = streams.read_stream(t.spark, f"{target}/in", log.drop("at", "user_id").schema)
+    slo = streams.stream_slo(source).select(F.unix_timestamp("start").alias("start"), "n")
+    streams.log_sink(slo, f"{target}/rows", f"{target}/log").awaitTermination()
+    return t.spark.read.parquet(f"{target}/rows")
+
+
+@query("x04_map_batches", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'v' || o_orderkey END AS value, CASE WHEN o_orderkey % 7 = 0 THEN 'no answer' END AS error FROM orders")
 def _(t):
-    rows = t.events.select("user_id", "event_id", F.col("event_type").alias("phase"), (F.col("event_id") % 100).cast("int").alias("done"), F.lit(100).alias("total"))
-    return streams.live_progress(rows, "user_id", "event_id").select("user_id", "phase", "done")
+    return records.map_batches(t.orders, "o_orderkey", lambda keys: {k: f"v{k}" for k in keys if k % 7})

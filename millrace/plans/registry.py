@@ -16,6 +16,11 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream that ends with what is there."""
+        path = f"{self.folder}/{name}.parquet"
+        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{path}*")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

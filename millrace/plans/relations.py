@@ -17,15 +17,15 @@ FIELDS = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 def snapshots(t: Tables):
     """Two runs: the second lacks some orders, has others, and changes prices and statuses."""
-    a = t.orders.where("o_orderkey % 10 <> 0").select("o_orderkey", "o_orderpriority", *FIELDS[:2])
+    a = t.orders.where("o_orderdate < '2000-01-01'").select("o_orderkey", "o_orderpriority", *FIELDS[:2])
     changed = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     status = F.when(F.col("o_orderkey") % 11 == 0, None).otherwise(F.col("o_orderstatus"))
-    b = t.orders.where("o_orderkey % 9 <> 0").select("o_orderkey", "o_orderpriority", status.alias("o_orderstatus"), changed.alias("o_totalprice"))
+    b = t.orders.where("o_orderdate >= '1996-01-01'").select("o_orderkey", "o_orderpriority", status.alias("o_orderstatus"), changed.alias("o_totalprice"))
     return a, b
 
 
-_AB = """a AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0),
-b AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 9 <> 0)"""
+_AB = """a AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate < '2000-01-01'),
+b AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderdate >= '1996-01-01')"""
 
 
 @query("j01_with_owner", "SELECT o_orderkey, o_custkey, c_name AS owner_c_name, c_mktsegment AS owner_c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -33,9 +33,9 @@ def _(t):
     return R.with_owner(t.orders.select("o_orderkey", "o_custkey"), t.customer, "o_custkey", "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@query("j02_items_with_repo", "SELECT l_orderkey, l_linenumber, o_orderstatus AS repo_o_orderstatus FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 0) ON l_orderkey = o_orderkey")
+@query("j02_items_with_repo", "SELECT l_orderkey, l_linenumber, o_orderstatus AS repo_o_orderstatus FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey")
 def _(t):
-    return R.items_with_repo(t.lineitem.select("l_orderkey", "l_linenumber"), t.orders.where("o_orderkey % 4 <> 0"), "l_orderkey", "o_orderkey", ["o_orderstatus"])
+    return R.items_with_repo(t.lineitem.select("l_orderkey", "l_linenumber"), t.orders.where("o_orderstatus <> 'P'"), "l_orderkey", "o_orderkey", ["o_orderstatus"])
 
 
 @query("j03_restrict_to_ids", f"SELECT {_COLS} FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
@@ -57,15 +57,17 @@ def _(t):
 
 _DIFF = f"""WITH {_AB}, j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(a.o_orderpriority, b.o_orderpriority) AS o_orderpriority, a.o_orderkey AS ka, b.o_orderkey AS kb,
   a.o_orderstatus AS sa, b.o_orderstatus AS sb, a.o_totalprice AS pa, b.o_totalprice AS pb FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey AND a.o_orderpriority = b.o_orderpriority)
-SELECT CASE WHEN ka IS NULL THEN 'added' ELSE 'removed' END AS kind, o_orderkey, o_orderpriority, NULL AS field FROM j WHERE ka IS NULL OR kb IS NULL
-UNION ALL SELECT 'changed', o_orderkey, o_orderpriority, 'o_orderstatus' FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND sa IS DISTINCT FROM sb
-UNION ALL SELECT 'changed', o_orderkey, o_orderpriority, 'o_totalprice' FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND pa IS DISTINCT FROM pb"""
+SELECT CASE WHEN ka IS NULL THEN 'added' ELSE 'removed' END AS kind, o_orderkey, o_orderpriority, 0 AS ord, NULL AS field, NULL AS old, NULL AS new FROM j WHERE ka IS NULL OR kb IS NULL
+UNION ALL SELECT 'changed', o_orderkey, o_orderpriority, 0, 'o_orderstatus', sa, sb FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND sa IS DISTINCT FROM sb
+UNION ALL SELECT 'changed', o_orderkey, o_orderpriority, 1, 'o_totalprice', round(pa, 2)::VARCHAR, round(pb, 2)::VARCHAR FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND pa IS DISTINCT FROM pb"""
 
 
 @query("j06_diff_runs", _DIFF)
 def _(t):
     a, b = snapshots(t)
-    return R.diff_runs(a, b, FIELDS[:2], ("o_orderkey", "o_orderpriority")).select("kind", "o_orderkey", "o_orderpriority", "field")
+    changes = R.diff_runs(a, b, FIELDS[:2], ("o_orderkey", "o_orderpriority"))
+    number = lambda c: F.when(F.col("field") == "o_totalprice", F.round(F.col(c).cast("double"), 2).cast("string")).otherwise(F.col(c))
+    return changes.select("kind", "o_orderkey", "o_orderpriority", "ord", "field", number("from").alias("old"), number("to").alias("new"))
 
 
 @query("j06_diff_summary", f"WITH d AS ({_DIFF}) SELECT count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed, count(DISTINCT o_orderkey) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'changed') AS fields_changed FROM d")
@@ -127,18 +129,18 @@ def _(t):
     return R.owners_once(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", lookup).select("o_orderkey", "c_mktsegment")
 
 
-@query("u01_append_history", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey, upper(c_name) || '!' FROM customer WHERE c_custkey % 5 = 0")
+@query("u01_append_history", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 UNION SELECT c_custkey, upper(c_name) || '!' FROM customer WHERE c_acctbal <= 500")
 def _(t):
-    history = t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    again = t.customer.where("c_custkey % 4 = 0").select("c_custkey", F.upper("c_name").alias("c_name"))
-    more = t.customer.where("c_custkey % 5 = 0").select("c_custkey", F.concat(F.upper("c_name"), F.lit("!")).alias("c_name"))
+    history = t.customer.where("c_acctbal > 0").select("c_custkey", "c_name")
+    again = t.customer.where("c_acctbal > 5000").select("c_custkey", F.upper("c_name").alias("c_name"))
+    more = t.customer.where("c_acctbal <= 500").select("c_custkey", F.concat(F.upper("c_name"), F.lit("!")).alias("c_name"))
     return merge.append_history(history, again, more, more, key="c_custkey", name="c_name")
 
 
 @query("u02_merge_results", "SELECT o_custkey, min(o_orderkey) AS position, max_by(o_totalprice, o_orderkey) AS o_totalprice, max(o_orderdate)::DATE::VARCHAR AS pushed FROM orders GROUP BY 1")
 def _(t):
     cols = ["o_custkey", "o_orderkey", "o_totalprice", "o_orderdate"]
-    parts = [t.orders.where(f"o_orderkey % 3 = {k}").select(*cols) for k in range(3)]
+    parts = [t.orders.where(F.col("o_orderstatus") == s).select(*cols) for s in ("F", "O", "P")]
     return merge.merge_results(parts, "o_custkey", "o_orderkey", "o_orderdate").select("o_custkey", "position", "o_totalprice", F.to_date("o_orderdate").cast("string").alias("pushed"))
 
 
@@ -202,14 +204,21 @@ def _(t):
     return R.even_segments(t.orders, "o_custkey", 7)
 
 
-@query("o01_rank_candidates", f"SELECT {_COLS} FROM orders")
+@query("o01_rank_candidates", f"SELECT {_COLS}, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey) AS nth FROM orders")
 def _(t):
-    return R.rank_candidates(t.orders, "o_totalprice", "o_orderdate", "o_orderkey").select(*ORDER)
+    return R.number_rows(R.rank_candidates(t.orders, "o_totalprice", "o_orderdate", "o_orderkey"), "nth").select(*ORDER, "nth")
 
 
-@query("o02_sort_result", f"SELECT {_COLS} FROM orders WHERE o_orderstatus <> 'F'")
+@query("o02_sort_result", f"SELECT {_COLS}, row_number() OVER (ORDER BY o_totalprice, o_orderdate, o_orderkey) AS nth FROM orders WHERE o_orderstatus <> 'F'")
 def _(t):
-    return R.sort_result(t.orders.where("o_orderstatus <> 'F'"), "stars", {"stars": "o_totalprice"}, "o_orderdate", "o_orderkey").select(*ORDER)
+    found = R.sort_result(t.orders.where("o_orderstatus <> 'F'"), "stars", {"stars": "o_totalprice"}, "o_orderdate", "o_orderkey", descending=False)
+    return R.number_rows(found, "nth").select(*ORDER, "nth")
+
+
+@query("o03_page_after", f"SELECT {_COLS} FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 100")
+def _(t):
+    last = R.page_of(t.orders, "stars", {"stars": "o_totalprice"}, "o_orderkey", 1, 100).orderBy("o_totalprice", F.desc("o_orderkey")).select("o_totalprice", "o_orderkey").first()
+    return R.page_after(t.orders, "o_totalprice", "o_orderkey", tuple(last), 100).select(*ORDER)
 
 
 @query("o03_page_of", f"SELECT {_COLS}, 2 AS page, (SELECT ((count(*) + 99) // 100)::INT FROM orders) AS pages FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 100")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import coerce_count, csv_cell, last_segment, parse_ts
+from millrace.functions.scalars import coerce_count, commit_count_of, csv_cell, last_segment, parse_ts
 
 # Names of the raw fields of each kind, and the columns that they become.
 COUNTS = {"stargazers_count": "stargazers", "forks_count": "forks_count", "watchers_count": "watchers", "open_issues_count": "open_issues"}
@@ -25,19 +28,25 @@ def normalize_records(raw: DataFrame, text: str = "value") -> tuple[DataFrame, D
     Rejected: no object, no whole-number id, empty or non-text node_id, full_name or owner login, no owner id, topics that
     aren't a list of texts, a count or size that is no number.
     """
-    v = raw.withColumn("_v", F.try_parse_json(text))
-    at = lambda p, t="string": F.try_variant_get("_v", p, t)
-    kind = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get("_v", p, "variant")), F.lit("VOID"))
+    paths = ["id", "node_id", "full_name", "owner.id", "owner.login", "owner.type", "topics", "size", "name", "language", "license.spdx_id", "visibility", "private", "parent.full_name",
+             "source.full_name", "custom_properties", *COUNTS, *STRINGS, *FLAGS, *TRISTATE, *TIMES]
+    at_name = lambda p: f"_{p.replace('.', '_')}"
+    # each path is taken out of the record once, then each value's type once
+    whole = raw.select(text, F.try_parse_json(text).alias("_v"))
+    taken = whole.select(text, F.schema_of_variant("_v").alias("_kind"), *[F.try_variant_get("_v", f"$.{p}", "variant").alias(at_name(p)) for p in paths])
+    v = taken.select("*", *[F.coalesce(F.schema_of_variant(at_name(p)), F.lit("VOID")).alias(f"{at_name(p)}_kind") for p in paths])
+    at = lambda p, t="string": F.try_variant_get(at_name(p), "$", t)
+    kind = lambda p: F.col(f"{at_name(p)}_kind")
     is_text = lambda p: (kind(p) == "STRING") & (at(p) != "")
     is_id = lambda p: kind(p) == "BIGINT"
-    number = lambda p: F.when(kind(p) == "BOOLEAN", F.lit(None).cast("long")).when(kind(p).isin("VOID"), F.lit(0).cast("long")).otherwise(coerce_count(at(p)))
-    topics_ok = kind("$.topics").isin("VOID", "ARRAY<STRING>", "ARRAY<VOID>") & ~((kind("$.topics") == "ARRAY<VOID>") & (F.size(at("$.topics", "array<string>")) > 0))
+    number = lambda p: F.when(kind(p) == "BOOLEAN", F.lit(None).cast("long")).when(kind(p) == "VOID", F.lit(0).cast("long")).otherwise(coerce_count(at(p), kind(p) == "STRING"))
+    topics_ok = kind("topics").isin("VOID", "ARRAY<STRING>", "ARRAY<VOID>") & ~((kind("topics") == "ARRAY<VOID>") & (F.size(at("topics", "array<string>")) > 0))
     checks = [
-        ("not an object", ~F.coalesce(F.schema_of_variant("_v"), F.lit("VOID")).startswith("OBJECT")),
-        ("id", ~is_id("$.id")), ("node_id", ~is_text("$.node_id")), ("full_name", ~is_text("$.full_name")),
-        ("owner", ~is_id("$.owner.id") | ~is_text("$.owner.login")), ("topics", ~topics_ok),
-        *[(c, number(f"$.{c}").isNull()) for c in COUNTS],
-        ("size", (kind("$.size") != "VOID") & number("$.size").isNull()),
+        ("not an object", ~F.coalesce("_kind", F.lit("VOID")).startswith("OBJECT")),
+        ("id", ~is_id("id")), ("node_id", ~is_text("node_id")), ("full_name", ~is_text("full_name")),
+        ("owner", ~is_id("owner.id") | ~is_text("owner.login")), ("topics", ~topics_ok),
+        *[(c, number(c).isNull()) for c in COUNTS],
+        ("size", (kind("size") != "VOID") & number("size").isNull()),
     ]
     reason = F.coalesce(*[F.when(bad, name) for name, bad in checks])
     marked = v.withColumn("reason", reason)
@@ -45,17 +54,17 @@ def normalize_records(raw: DataFrame, text: str = "value") -> tuple[DataFrame, D
     bool_of = lambda p: F.when(kind(p) == "BOOLEAN", at(p, "boolean"))
     filled = lambda c, other: F.when(F.coalesce(c, F.lit("")) == "", other).otherwise(c)
     clean = marked.where("reason IS NULL").select(
-        at("$.id", "long").alias("id"), at("$.node_id").alias("node_id"), at("$.full_name").alias("full_name"), at("$.owner.id", "long").alias("owner_id"),
-        filled(at("$.name"), last_segment(at("$.full_name"))).alias("name"), *[at(f"$.{c}").alias(c) for c in STRINGS],
-        text_of("$.language").alias("language"), at("$.license.spdx_id").alias("license_spdx"),
-        F.coalesce(at("$.topics", "array<string>"), F.array().cast("array<string>")).alias("topics"),
-        filled(text_of("$.visibility"), F.when(F.coalesce(bool_of("$.private"), F.lit(False)), "private").otherwise("public")).alias("visibility"),
-        at("$.parent.full_name").alias("parent_full_name"), at("$.source.full_name").alias("source_full_name"),
-        *[F.coalesce(bool_of(f"$.{c}"), F.lit(False)).alias(c) for c in FLAGS],
-        F.when(kind("$.size") != "VOID", number("$.size")).alias("size_kb"), *[number(f"$.{c}").alias(n) for c, n in COUNTS.items()],
-        *[bool_of(f"$.{c}").alias(c) for c in TRISTATE],
-        F.coalesce(at("$.custom_properties", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("custom_properties"),
-        *[parse_ts(at(f"$.{c}")).alias(c) for c in TIMES], at("$.owner.login").alias("owner_login"), filled(at("$.owner.type"), F.lit("User")).alias("owner_type"),
+        at("id", "long").alias("id"), at("node_id").alias("node_id"), at("full_name").alias("full_name"), at("owner.id", "long").alias("owner_id"),
+        filled(at("name"), last_segment(at("full_name"))).alias("name"), *[at(c).alias(c) for c in STRINGS],
+        text_of("language").alias("language"), at("license.spdx_id").alias("license_spdx"),
+        F.coalesce(at("topics", "array<string>"), F.array().cast("array<string>")).alias("topics"),
+        filled(text_of("visibility"), F.when(F.coalesce(bool_of("private"), F.lit(False)), "private").otherwise("public")).alias("visibility"),
+        at("parent.full_name").alias("parent_full_name"), at("source.full_name").alias("source_full_name"),
+        *[F.coalesce(bool_of(c), F.lit(False)).alias(c) for c in FLAGS],
+        F.when(kind("size") != "VOID", number("size")).alias("size_kb"), *[number(c).alias(n) for c, n in COUNTS.items()],
+        *[bool_of(c).alias(c) for c in TRISTATE],
+        F.coalesce(at("custom_properties", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("custom_properties"),
+        *[parse_ts(at(c)).alias(c) for c in TIMES], at("owner.login").alias("owner_login"), filled(at("owner.type"), F.lit("User")).alias("owner_type"),
     )
     return clean, marked.where("reason IS NOT NULL").select(F.col(text).alias("raw"), "reason")
 
@@ -85,10 +94,9 @@ def flatten_details(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(flat rows with languages and commit_count, failures) of detail nodes with the requested `key`."""
     whole = df.where(F.col("databaseId").isNotNull())
     branch = F.col("defaultBranchRef")
-    commits = F.when(branch.isNull(), F.lit(0)).otherwise(branch["target"]["history"]["totalCount"])
     rows = whole.select(
         "key", F.col("databaseId").alias("id"), F.col("nameWithOwner").alias("full_name"), F.col("stargazerCount").alias("stargazers"),
-        language_map("languages.edges").alias("languages"), branch["name"].alias("default_branch"), commits.alias("commit_count"),
+        language_map("languages.edges").alias("languages"), branch["name"].alias("default_branch"), commit_count_of(branch).alias("commit_count"),
     )
     return rows, df.where(F.col("databaseId").isNull()).select("key", F.lit("graphql node has no databaseId").alias("error"))
 
@@ -133,6 +141,27 @@ def snapshot_run(items: DataFrame, run_id: int, path: str) -> None:
     items.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def map_batches(df: DataFrame, fetch, schema: str) -> DataFrame:
-    """Enrichment by batches: fetch(iterator of pandas frames) -> iterator of frames with value and error columns."""
-    return df.mapInPandas(fetch, schema)
+def map_batches(df: DataFrame, key: str, fetch: Callable[[list], dict], size: int = 20, value: str = "string") -> DataFrame:
+    """(key, value, error) of each row, by fetch(list of up to `size` keys) -> {key: value or exception}.
+
+    A key that the answer lacks, or whose value is an exception, has an error and no value; an exception raised by fetch is
+    the error of its whole batch. The other batches go on.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys, rows = frame[key].tolist(), []
+            for i in range(0, len(keys), size):
+                batch = keys[i : i + size]
+                try:
+                    got = fetch(batch)
+                except Exception as e:  # noqa: BLE001  it is the batch's result
+                    got = dict.fromkeys(batch, e)
+                for k in batch:
+                    found = got.get(k, KeyError("no answer"))
+                    failed = isinstance(found, Exception)
+                    rows.append((k, None if failed else found, (found.args and str(found.args[0]) or type(found).__name__) if failed else None))
+            yield pd.DataFrame(rows, columns=[key, "value", "error"])
+
+    return df.select(key).mapInPandas(run, f"{key} {kind}, value {value}, error string")

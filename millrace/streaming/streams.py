@@ -12,37 +12,52 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from millrace.operators.logs import QUOTAS, live_slo
 from millrace.operators.merge import dedupe_latest, upsert
 from millrace.operators.windows import TRANSITIONS
+from millrace.sources.shared import listed, materialize, remove
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_upsert(source: DataFrame, target: str, checkpoint: str, key: str, fields: list[str], seq: str, pushed: str) -> StreamingQuery:
-    """Merge each micro-batch into a table of versions: target/v=<batch>. A batch that is delivered again gives the same.
+def stream_upsert(source: DataFrame, target: str, checkpoint: str, key: str, fields: list[str], seq: str, pushed: str, buckets: int = 64) -> StreamingQuery:
+    """Merge each micro-batch into a table of buckets of the key: target/v=<batch>/bucket=<b>.
 
-    The newest version is read, the next written beside it; `latest` returns the newest.
+    A batch rewrites the buckets that it touches, from their newest version below its own number, so a batch that is
+    delivered again gives the same; versions older than that one are deleted. `latest` reads the newest of each bucket.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = dedupe_latest(batch, key, seq, pushed).select(key, *fields)
-        old = latest(spark, target, below=batch_id)
-        merged = new if old is None else upsert(old, new, key, fields).select(key, *fields)
-        merged.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        new = dedupe_latest(batch, key, seq, pushed).select(key, *fields, bucket.alias("bucket"))
+        new = materialize(new)
+        touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # `buckets` at most
+        old = _newest(spark, target, batch_id, touched)
+        if old:
+            known = spark.read.parquet(*[f"{target}/v={v}/bucket={b}" for b, v in old.items()]).select(key, *fields)
+            new = upsert(known, new.drop("bucket"), key, fields).select(key, *fields).withColumn("bucket", bucket)
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={batch_id}")
+        for v in [int(n[2:]) for n in listed(spark, target) if n.startswith("v=")]:
+            for b, keep in old.items():
+                if v < keep:
+                    remove(spark, f"{target}/v={v}/bucket={b}")
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The newest version that stream_upsert wrote, of a batch below `below`."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    versions = [int(n[2:]) for n in names if n.startswith("v=") and (below is None or int(n[2:]) < below)]
-    return spark.read.parquet(f"{target}/v={max(versions)}") if versions else None
+def _newest(spark: SparkSession, target: str, below: int | None = None, of: set[int] | None = None) -> dict[int, int]:
+    """Newest version of each bucket."""
+    out: dict[int, int] = {}
+    for v in sorted(int(n[2:]) for n in listed(spark, target) if n.startswith("v=")):
+        if below is None or v < below:
+            out |= {b: v for n in listed(spark, f"{target}/v={v}") if n.startswith("bucket=") for b in [int(n[7:])] if of is None or b in of}
+    return out
+
+
+def latest(spark: SparkSession, target: str) -> DataFrame | None:
+    """The table that stream_upsert keeps."""
+    parts = _newest(spark, target)
+    return spark.read.parquet(*[f"{target}/v={v}/bucket={b}" for b, v in parts.items()]) if parts else None
 
 
 def stream_dedupe(source: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
@@ -68,17 +83,48 @@ def stream_slo(log: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> Dat
     return live_slo(log.withWatermark(ts, delay), ts)
 
 
+PROGRESS = ["phase", "done", "total"]
+
+
 def live_progress(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """Latest phase, done and total per run, and when the latest phase began. For update or complete mode.
+    """Latest phase, done and total per run, and when the run entered that phase; a phase that recurs starts anew.
 
-    The start of a phase is the earliest event of the phase, so phases must not recur.
+    Rows of one run have different times. A stream gives a run's row after each batch that has events of it.
     """
-    last = F.max_by(F.struct("phase", "done", "total"), ts)
-    begun = F.map_from_entries(F.collect_set(F.struct("phase", "phase_start")))
-    per = events.groupBy(key, "phase").agg(F.min(ts).alias("phase_start"), F.max(ts).alias(ts), F.max_by("done", ts).alias("done"), F.max_by("total", ts).alias("total"))
     if events.isStreaming:
-        return per
-    return per.groupBy(key).agg(last.alias("l"), begun.alias("b")).select(key, "l.*", F.try_element_at("b", "l.phase").alias("phase_start"))
+        keyed = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), *PROGRESS).groupBy("key")
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*PROGRESS).schema)
+        at = events.schema[ts].dataType.simpleString()
+        return keyed.transformWithStateInPandas(Progress(f"ts {at}, {fields}, phase_start {at}"), f"key string, {fields}, phase_start {at}", "Update", "None")
+    by_phase = events.groupBy(key, "phase").agg(F.max(ts).alias("_last"))
+    by_run = by_phase.groupBy(key).agg(F.max_by("phase", "_last").alias("_phase"), F.slice(F.sort_array(F.collect_set("_last"), asc=False), 1, 2).alias("_ends"))
+    joined = events.join(by_run, key)
+    # since the last event of any other phase
+    inside = F.col("phase").eqNullSafe(F.col("_phase")) & (F.get("_ends", 1).isNull() | (F.col(ts) > F.get("_ends", 1)))
+    latest_row = F.max_by(F.struct(*PROGRESS), ts).alias("l")
+    return joined.where(inside).groupBy(key).agg(latest_row, F.min(ts).alias("phase_start")).select(key, "l.*", "phase_start")
+
+
+class Progress(StatefulProcessor):
+    """Newest row of each run and the time at which its phase began. Rows that are not newer change nothing."""
+
+    def __init__(self, schema: str):
+        self.schema = schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("progress", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = tuple(self.state.get()) if self.state.exists() else None
+        for row in pd.concat(list(rows)).sort_values("ts")[["ts", *PROGRESS]].itertuples(index=False):
+            if now is None or row.ts > pd.Timestamp(now[0]):
+                same = now is not None and now[1] == row.phase
+                now = (*row, now[-1] if same else row.ts)
+        self.state.update(now)
+        yield pd.DataFrame([(key[0], *now[1:])], columns=["key", *PROGRESS, "phase_start"])
+
+    def close(self) -> None:
+        pass
 
 
 class WindowStates(StatefulProcessor):

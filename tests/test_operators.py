@@ -1,6 +1,7 @@
 """Literal cases of the operators, and equivalences between them."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -308,3 +309,72 @@ def test_sinks(spark, tmp_path):
     assert records.read_run_items(spark, runs_path, 2).count() == 2 and records.read_run_items(spark, runs_path, 1).count() == 1
     with pytest.raises(ValueError):
         records.read_scope(df, "full_name")
+
+
+def test_coercions_by_json_type(spark):
+    row = lambda v: '{"id": 1, "node_id": "n", "full_name": "a/b", "owner": {"id": 2, "login": "a"}, "stargazers_count": %s}' % v
+    values = ["1", "1.5", "null", '"7"', '" 7 "', '"1.5"', "true", '"x"', "-2"]
+    raw = spark.createDataFrame([(row(v),) for v in values], "value string")
+    clean, rejects = records.normalize_records(raw)
+    assert sorted(r.stargazers for r in clean.collect()) == [-2, 0, 1, 1, 7, 7]
+    assert [r.reason for r in rejects.collect()] == ["stargazers_count"] * 3
+    df = spark.createDataFrame([("1.5", True), ("1.5", False), (None, False), ("true", False)], "v string, t boolean")
+    got = [tuple(r.c) for r in df.select(S.coerce_optional_int("v", F.col("t")).alias("c")).collect()]
+    assert got == [(None, False), (1, True), (None, True), (None, False)]
+
+
+def test_query_hash(spark):
+    params = {"q": 'stars:>4 "x"', "page": "2", "none": None}
+    df = spark.createDataFrame([(params,)], "m map<string,string>")
+    want = hashlib.sha256(json.dumps(params, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert df.select(S.query_hash("m").alias("h")).first().h == want
+
+
+def test_record_only_history_and_counts(spark):
+    df = spark.createDataFrame([(1, "done", "ab"), (2, "failed", "ac"), (3, "done", "b")], "id int, status string, filter_hash string")
+    marked, warnings = runs.record_only(df, ["min_loc"])
+    assert marked.count() == 3 and all(r.recorded == ["min_loc"] and r.incomplete for r in marked.collect())
+    assert [r.filter for r in warnings.collect()] == ["min_loc"] and runs.record_only(df, [])[1].isEmpty()
+    with pytest.raises(ValueError):
+        runs.record_only(df, ["min_stars"])
+    ids = lambda **k: [r.id for r in runs.history_filter(df, **k).collect()]
+    assert ids() == [1, 2, 3] and ids(status="done") == [1, 3] and ids(status="done", hash_prefix="a") == [1]
+    assert runs.count_matches(df, F.col("status") == "done").first().n == 2
+
+
+def test_map_batches_keeps_other_batches(spark):
+    def fetch(keys):
+        if 3 in keys:
+            raise ValueError("boom")
+        return {k: ValueError("bad") if k == 1 else f"v{k}" for k in keys if k != 0}
+
+    df = spark.createDataFrame([(i,) for i in range(6)], "k int").coalesce(1)
+    got = {r.k: (r.value, r.error) for r in records.map_batches(df, "k", fetch, size=2).collect()}
+    assert got == {0: (None, "no answer"), 1: (None, "bad"), 2: (None, "boom"), 3: (None, "boom"), 4: ("v4", None), 5: ("v5", None)}
+
+
+def test_pages_after_a_row(spark):
+    rows = [(i, None if i % 4 == 0 else i % 3) for i in range(25)]
+    df = spark.createDataFrame(rows, "id int, s int")
+    for descending in (True, False):
+        want = [r.id for r in relational.slice_page(df, [F.col("s").desc_nulls_last() if descending else F.col("s").asc_nulls_last(), F.col("id")], 1, 25).collect()]
+        got, last = [], None
+        while page := relational.page_after(df, "s", "id", last, 4, descending).collect():
+            got += [r.id for r in page]
+            last = (page[-1].s, page[-1].id)
+        assert got == want
+
+
+def test_ranks_of_rows(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("k")).repartition(5)
+    assert {r.k: r.n for r in relational.global_rank(df, "k", "n").collect()} == {k: k + 1 for k in range(500)}
+    assert relational.global_rank(df.where("false"), "k", "n").count() == 0
+    assert {r.k: r.n for r in relational.number_rows(df.orderBy(F.desc("k")), "n").collect()} == {k: 500 - k for k in range(500)}
+
+
+def test_dictionaries_of_the_platform(spark):
+    countries = {r.phrase: r.iso for r in geo.country_phrases(spark).collect()}
+    cities = {r.phrase: r.iso for r in geo.city_phrases(spark).collect()}
+    assert len(set(countries.values())) > 240 and len(cities) > 300
+    assert [countries[x] for x in ("canada", "österreich", "brasil", "日本", "de", "uk")] == ["CA", "AT", "BR", "JP", "DE", "GB"]
+    assert [cities[x] for x in ("toronto", "berlin", "sao paulo", "munich")] == ["CA", "DE", "BR", "DE"]

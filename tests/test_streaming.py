@@ -1,10 +1,12 @@
 """Streams give what their batch forms give."""
 
 import datetime as dt
+import os
+import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import logs, merge
+from millrace.operators import logs, merge, windows
 from millrace.plans.registry import Tables
 from millrace.plans.relations import response_log
 from millrace.streaming import streams
@@ -66,6 +68,42 @@ def test_quota_sessions_progress(spark, tmp_path, sf):
     assert (r.phase, r.done, r.total) == ("b", 0, 9)
 
 
+def test_progress_stream_equals_batch(spark, tmp_path):
+    schema = "run int, phase string, done int, total int, ts timestamp"
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    parts = [[(1, "a", 1, 5, at(0)), (1, "b", 2, 5, at(1)), (2, "a", 1, 3, at(0))], [(1, "a", 3, 5, at(2)), (2, "a", 2, 3, at(4))], [(1, "a", 4, 5, at(3)), (1, "b", 9, 9, at(1.5))]]
+    events = spark.createDataFrame([r for p in parts for r in p], schema)
+    want = {(r.run, r.phase, r.done, r.total, r.phase_start) for r in streams.live_progress(events, "run").collect()}
+    assert {(r[0], r[1], r[2]) for r in want} == {(1, "a", 4), (2, "a", 2)} and {r[4].minute for r in want} == {2, 0}
+    source = files(spark, tmp_path, parts, schema)
+    rows = run(streams.live_progress(source, "run"), "update", tmp_path, "progress").collect()
+    last = {}
+    for r in rows:  # a row of each batch; the newest has the most done here
+        last[r.key] = max(last.get(r.key, (0,)), (r.done, r.phase, r.total, r.phase_start))
+    assert {(int(k), p, d, n, s) for k, (d, p, n, s) in last.items()} == want
+
+
+def test_window_states_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(k, i, rng.choice(["pending", "active", "done", "incomplete"])) for k in "abcdefgh" for i in range(9)] + [("x", 1, "done"), ("x", 2, "active"), ("x", 3, "pending")]
+    source = files(spark, tmp_path, [[r for r in rows if r[1] < 4], [r for r in rows if r[1] >= 4]], "k string, seq long, state string")
+    got = run(streams.stream_window_states(source, "k"), "append", tmp_path, "states_again")
+    batch = windows.window_states(spark.createDataFrame(rows, "k string, seq long, state string"), "k", "seq")
+    want = {(r.k, r.seq, r.previous, r.state, r.legal) for r in batch.collect()}
+    assert {tuple(r) for r in got.collect()} == want and ("x", 2, "pending", "active", True) in want
+
+
+def test_upsert_stream_rewrites_touched_buckets_only(spark, tmp_path):
+    schema = "id int, name string, seq int, pushed_at string"
+    parts = [[(i, "a", i, "2024-01-01") for i in range(50)], [(7, "b", 100, None)], [(7, "c", 101, None)]]
+    source, target = files(spark, tmp_path, parts, schema), str(tmp_path / "target")
+    streams.stream_upsert(source, target, str(tmp_path / "cp"), "id", ["name"], "seq", "pushed_at", buckets=8).awaitTermination()
+    table = {r.id: r.name for r in streams.latest(spark, target).collect()}
+    assert table == {i: "c" if i == 7 else "a" for i in range(50)}
+    kept = [len([n for n in os.listdir(f"{target}/v={v}") if n.startswith("bucket=")]) for v in range(3)]
+    assert kept == [7, 1, 1]  # of the bucket that changed twice, the oldest version is gone
+
+
 def test_window_states_stream(spark, tmp_path):
     rows = [("w", 1, "active"), ("w", 2, "done"), ("w", 3, "active"), ("v", 1, "done"), ("v", 2, "active")]
     source = files(spark, tmp_path, [rows[:2], rows[2:]], "k string, seq long, state string")

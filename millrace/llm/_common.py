@@ -22,16 +22,6 @@ def small(written: DataFrame, most: int = 250_000) -> DataFrame:
     return F.broadcast(written) if written.count() <= most else written.hint("merge")
 
 
-def release(*written: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing that is still to run reads it."""
-    for df in written:
-        if not hasattr(df, "written_to"):
-            raise ValueError("not a written table")
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def annotate(docs: DataFrame, inputs: list[str], fields: list[tuple[str, T.DataType]], make: Callable) -> DataFrame:
     """Each row of docs as the struct `row`, and what `make` computes from it as the struct `res`.
 

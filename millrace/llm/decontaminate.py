@@ -1,14 +1,17 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
-Each Spark task cuts its documents into shards of a bounded number of words. A shard gets a word suffix array, and
-every suffix of every benchmark item is looked up in it by binary search, which gives all places where the next
-`window` words occur verbatim. Neighbouring places on one diagonal join into the longest matches. The benchmark is the
-query side: it is shipped to the tasks in blocks of bounded size, one pass over the documents per block, and no
-document is ever shuffled.
+Each Spark task numbers the words of its documents shard by shard and sorts all suffixes of a shard by their first words
+(prefix doubling), whatever the benchmark holds. Every suffix of every benchmark item is then looked up by binary search,
+which gives all places where its next `window` words occur verbatim; places that follow each other on one diagonal join
+into the longest matches. A benchmark of one block is shipped to the tasks and looked up as the arrays are made. For a
+larger one the arrays are written once and read again for each block; the documents themselves are not written or
+shuffled before the matches, which are narrow, are joined to them.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,18 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import annotate, materialize, raw_texts
+from millrace.llm._common import annotate, doc_key, materialize, raw_texts, release
 
 #: Bytes kept as word characters: digits, letters in lower case, and all of non-ASCII UTF-8.
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
-#: Bound of one shipped benchmark block, in characters of item text.
+#: Bound of one shipped benchmark block, in characters of item text; a longer item is a block of its own.
 BLOCK_CHARS = 8_000_000
 #: Words of a shard; a longer document is a shard of its own.
-SHARD_WORDS = 2_000_000
-#: Largest bigram bitmap; beyond it bigrams are looked up by binary search.
-_BITMAP = 1 << 26
+SHARD_WORDS = 1_000_000
 
 MATCH = T.StructType(
     [T.StructField("item_id", T.StringType()), T.StructField("item_pos", T.LongType()), T.StructField("doc_pos", T.LongType()), T.StructField("n_words", T.LongType())]
@@ -44,73 +45,115 @@ def words_of(raw: bytes | None) -> list[bytes]:
 class Probe:
     """The suffixes of one block of benchmark items, ready to be looked up."""
 
-    vocabulary: dict[bytes, int]
+    vocabulary: list[bytes]
     item_ids: list[str]
     item: np.ndarray  # of each test suffix
     item_pos: np.ndarray
     length: np.ndarray  # words that must agree
-    low: np.ndarray  # its first words as a sortable key, padded with the least and the greatest word
-    high: np.ndarray
-    bigrams: np.ndarray
-    least: int
-    window: int
-
-
-def _keys(words: np.ndarray, width: int) -> np.ndarray:
-    return np.ascontiguousarray(words.astype(">u4")).view(f"S{4 * width}").ravel()
+    words: np.ndarray  # its first words, as places in the vocabulary
 
 
-def make_probe(items: list[tuple[str, bytes]], window: int) -> Probe | None:
-    """Index a block of items. None if no item has a word."""
+def make_probe(items: list[tuple[str, bytes]], window: int) -> Probe:
+    """Index a block of items; those without words are left out."""
     vocabulary: dict[bytes, int] = {}
-    ids, item, pos, length, rows, pairs = [], [], [], [], [], set()
+    ids, item, pos, length, rows = [], [], [], [], []
     for item_id, raw in items:
-        w = [vocabulary.setdefault(x, len(vocabulary) + 1) for x in words_of(raw)]
+        w = [vocabulary.setdefault(x, len(vocabulary)) for x in words_of(raw)]
         if not w:
             continue
         ids.append(item_id)
         need = min(window, len(w))
-        pairs.update(zip(w, w[1:]))
         for i in range(len(w) - need + 1):
             item.append(len(ids) - 1)
             pos.append(i)
             length.append(need)
             rows.append(w[i : i + need] + [0] * (window - need))
-    if not rows:
-        return None
-    low = np.array(rows, dtype=np.uint32)
-    lengths = np.array(length)
-    high = np.where(np.arange(window)[None, :] < lengths[:, None], low, np.uint32(0xFFFFFFFF))
-    size = len(vocabulary) + 1
-    codes = np.array(sorted(a * size + b for a, b in pairs), dtype=np.int64)
-    return Probe(vocabulary, ids, np.array(item), np.array(pos), lengths, _keys(low, window), _keys(high, window), codes, int(lengths.min()), window)
+    return Probe(list(vocabulary), ids, np.array(item, dtype=np.int64), np.array(pos, dtype=np.int64), np.array(length, dtype=np.int64), np.array(rows, dtype=np.int64).reshape(-1, window))
 
 
-def _suffixes(stream: np.ndarray, probe: Probe) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's suffix array and the sorted keys of its suffixes.
+def suffix_array(stream: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the stream in the order of the words that start there, by `depth` words at least; nothing is before a word.
 
-    A suffix is left out when one of its first bigrams occurs in no item: such a suffix can't agree with a test suffix.
+    As many words as fit into a key are sorted at first, twice as many with each further sort.
     """
-    size = len(probe.vocabulary) + 1
-    known = stream > 0
-    if probe.least > 1:
-        codes = stream[:-1].astype(np.int64) * size + stream[1:]
-        if size * size <= _BITMAP:
-            bitmap = np.zeros(size * size, dtype=bool)
-            bitmap[probe.bigrams] = True
-            pair = bitmap[codes]
-        else:
-            near = np.minimum(np.searchsorted(probe.bigrams, codes), len(probe.bigrams) - 1)
-            pair = probe.bigrams[near] == codes
-        pair = np.append(pair, False)
-        ends = np.flatnonzero(~pair)  # the first place at or after each word where no known bigram starts
-        run = ends[np.searchsorted(ends, np.arange(len(pair)))] - np.arange(len(pair))
-        known &= run >= probe.least - 1
-    starts = np.flatnonzero(known)
-    padded = np.append(stream, np.zeros(probe.window, dtype=stream.dtype))
-    keys = _keys(padded[starts[:, None] + np.arange(probe.window)], probe.window)
-    order = np.argsort(keys, kind="stable")
-    return starts[order], keys[order]
+    n = len(stream)
+    bits = (int(stream.max(initial=0)) + 1).bit_length()
+    width = max(1, min(depth, 63 // bits))
+    keys = np.zeros(n, dtype=np.int64)
+    for k in range(width):
+        keys <<= bits
+        keys[: max(0, n - k)] += stream[k:] + 1
+    while True:
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        if width >= depth or first.all():
+            return order
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(first)
+        keys = rank * (n + 1)
+        keys[: max(0, n - width)] += rank[width:]
+        width *= 2
+
+
+@dataclass
+class Shard:
+    """Documents as numbered words, 0 standing between them, with their suffix array."""
+
+    vocabulary: dict[bytes, int]
+    starts: np.ndarray  # of each document in the stream
+    stream: np.ndarray
+    suffixes: np.ndarray
+
+    def bisect(self, words: np.ndarray, length: np.ndarray, low: np.ndarray, beyond: bool) -> np.ndarray:
+        """For each row of words the first place of the array, from `low` on, that is not before it (beyond: that is after it)."""
+        low, high = low.copy(), np.full(len(words), len(self.suffixes))
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) // 2
+            before = self.compare(words[open_], length[open_], middle)
+            down = before <= 0 if beyond else before < 0
+            low[open_] = np.where(down, middle + 1, low[open_])
+            high[open_] = np.where(down, high[open_], middle)
+        return low
+
+    def compare(self, words: np.ndarray, length: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the suffix at each place of the array is before the row, agrees with it, or is after it."""
+        at, sign, same = self.suffixes[places], np.zeros(len(words), dtype=np.int64), np.arange(len(words))
+        for k in range(words.shape[1]):
+            same = same[length[same] > k]
+            if not len(same):
+                break
+            where = at[same] + k
+            step = np.where(where < len(self.stream), self.stream[np.minimum(where, len(self.stream) - 1)], -1) - words[same, k]
+            sign[same] = np.sign(step)
+            same = same[step == 0]
+        return sign
+
+    def search(self, probe: Probe) -> list[list[tuple[str, int, int, int]]]:
+        """For each document its maximal matches (item_id, item_pos, doc_pos, n_words)."""
+        out: list[list] = [[] for _ in self.starts]
+        known = np.array([self.vocabulary.get(w, -1) for w in probe.vocabulary], dtype=np.int64)
+        if not len(known) or not len(self.suffixes):
+            return out
+        words = known[probe.words]
+        absent = (words < 0) & (np.arange(words.shape[1]) < probe.length[:, None])
+        tests = np.flatnonzero(~absent.any(axis=1))
+        left = self.bisect(words[tests], probe.length[tests], np.zeros(len(tests), dtype=np.int64), beyond=False)
+        there = left < len(self.suffixes)
+        tests, left = tests[there], left[there]
+        agree = self.compare(words[tests], probe.length[tests], left) == 0
+        tests, left = tests[agree], left[agree]
+        times = self.bisect(words[tests], probe.length[tests], left, beyond=True) - left
+        if not len(tests):
+            return out
+        test = np.repeat(tests, times)
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        place = self.suffixes[np.repeat(left, times) + inside]
+        doc = np.searchsorted(self.starts, place, "right") - 1
+        made = _longest(doc, probe.item[test], probe.item_pos[test], place - self.starts[doc], probe.length[test])
+        for d, i, ip, dp, n in zip(*(x.tolist() for x in made)):
+            out[d].append((probe.item_ids[i], ip, dp, n))
+        return out
 
 
 def _longest(doc, item, item_pos, doc_pos, length):
@@ -125,71 +168,85 @@ def _longest(doc, item, item_pos, doc_pos, length):
     return doc[at], item[at], item_pos[at], doc_pos[at], doc_pos[last] + length[last] - doc_pos[at]
 
 
-def search_shard(docs: list[np.ndarray], probe: Probe) -> list[list[tuple[str, int, int, int]]]:
-    """For each document of a shard its maximal matches (item_id, item_pos, doc_pos, n_words)."""
-    starts = np.cumsum([0] + [len(d) + 1 for d in docs])  # one unknown word stands between documents
-    stream = np.zeros(starts[-1] + 1, dtype=np.uint32)
-    for s, d in zip(starts, docs):
-        stream[s : s + len(d)] = d
-    suffixes, keys = _suffixes(stream, probe)
-    out: list[list] = [[] for _ in docs]
-    if not len(suffixes):
-        return out
-    left = np.searchsorted(keys, probe.low, "left")
-    right = np.searchsorted(keys, probe.high, "right")
-    found = np.flatnonzero(right > left)
-    times = right[found] - left[found]
-    if not times.sum():
-        return out
-    test = np.repeat(found, times)
-    inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    place = suffixes[left[test] + inside]
-    doc = np.searchsorted(starts, place, "right") - 1
-    made = _longest(doc, probe.item[test], probe.item_pos[test], place - starts[doc], probe.length[test])
-    for d, i, ip, dp, n in zip(*(x.tolist() for x in made)):
-        out[d].append((probe.item_ids[i], ip, dp, n))
-    return out
-
-
-def _scan(probe: Probe | None):
-    def make(texts: pa.Array, before: pa.Array | None = None) -> list[pa.Array]:
-        counts, matches, shard, held = [], [], [], 0
-        get = probe.vocabulary.get if probe else None
-
-        def flush():
-            nonlocal shard, held
-            matches.extend(search_shard(shard, probe))
-            shard, held = [], 0
-
-        for raw in raw_texts(texts):
-            w = words_of(raw)
-            counts.append(len(w))
-            if probe:
-                shard.append(np.array([get(x, 0) for x in w], dtype=np.uint32))
-                held += len(w)
-                if held >= SHARD_WORDS:
-                    flush()
-        if probe:
-            flush()
-        else:
-            matches = [[] for _ in counts]
-        if before is not None:
-            matches = [[tuple(x.values()) for x in old] + new for old, new in zip(before.to_pylist(), matches)]
-        hits, items = [], []
-        for found in matches:
-            end = hit = 0
-            for start, n in sorted((x[2], x[3]) for x in found):
-                hit += max(0, start + n - max(end, start))
-                end = max(end, start + n)
-            hits.append(hit)
-            items.append(sorted({x[0] for x in found}))
-        kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_pos", pa.int64()), ("doc_pos", pa.int64()), ("n_words", pa.int64())]))
+def shards(texts: list[bytes | None], depth: int) -> Iterator[tuple[Shard, list[int]]]:
+    """Shards of up to SHARD_WORDS words of these texts in order, with the words of each of their texts."""
+
+    def made() -> tuple[Shard, list[int]]:
+        stream = np.concatenate([np.append(x, 0) for x in held])
+        starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in held])[:-1]]).astype(np.int64)
+        return Shard(dict(numbers), starts, stream, suffix_array(stream, depth)), [len(x) for x in held]
+
+    held, size = [], 0
+    for raw in texts:
+        w = words_of(raw)
+        if held and size + len(w) > SHARD_WORDS:
+            yield made()
+            held, size = [], 0
+        if not held:
+            numbers = defaultdict()
+            numbers.default_factory = lambda known=numbers: len(known) + 1
+        held.append(np.array([numbers[x] for x in w], dtype=np.int64))
+        size += len(w)
+    if held:
+        yield made()
+
+
+def _scan(probe: Probe, window: int):
+    def make(texts: pa.Array) -> list[pa.Array]:
+        counts, matches = [], []
+        for shard, n_words in shards(raw_texts(texts), window):
+            counts += n_words
+            matches += shard.search(probe)
         rows = [[dict(zip(("item_id", "item_pos", "doc_pos", "n_words"), x)) for x in found] for found in matches]
-        return [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(rows, kind)]
+        return [pa.array(counts, pa.int64()), pa.array(rows, _MATCHES)]
 
     return make
 
 
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_pos", pa.int64()), ("doc_pos", pa.int64()), ("n_words", pa.int64())]))
+
+
+def _written_shards(docs: DataFrame, window: int) -> DataFrame:
+    """One row per shard: its documents (doc_id, text_key, n_words), vocabulary, and stream and suffix array as 32-bit numbers."""
+    keyed = docs.select(F.struct(*doc_key()).alias("key"), "text")
+    key = keyed.schema["key"].dataType
+    schema = T.StructType([
+        T.StructField("keys", T.ArrayType(key)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("vocabulary", T.ArrayType(T.BinaryType())),
+        T.StructField("stream", T.BinaryType()), T.StructField("suffixes", T.BinaryType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for shard, lengths in shards(raw_texts(batch.column(1)), window):
+                keys = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), batch.column(0).slice(at, len(lengths)))
+                at += len(lengths)
+                numbers = [x.astype("<i4").tobytes() for x in (shard.stream, shard.suffixes)]
+                columns = [keys, pa.array([lengths], pa.list_(pa.int64())), pa.array([list(shard.vocabulary)], pa.list_(pa.binary())), pa.array(numbers[:1], pa.binary()), pa.array(numbers[1:], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return keyed.mapInArrow(run, schema)
+
+
+def _look_up(arrays: DataFrame, probe: Probe) -> DataFrame:
+    """(key, match) of one block in written shards."""
+    schema = T.StructType([T.StructField("key", arrays.schema["keys"].dataType.elementType), T.StructField("match", MATCH)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, lengths, vocabulary, stream, suffixes = (batch.column(k)[i] for k in range(5))
+                lengths = lengths.as_py()
+                starts = np.concatenate([[0], np.cumsum([n + 1 for n in lengths])[:-1]]).astype(np.int64)
+                numbers = [np.frombuffer(x.as_py(), dtype="<i4").astype(np.int64) for x in (stream, suffixes)]
+                found = Shard({w: j + 1 for j, w in enumerate(vocabulary.as_py())}, starts, *numbers).search(probe)
+                of = [d for d, x in enumerate(found) for _ in x]
+                rows = [dict(zip(("item_id", "item_pos", "doc_pos", "n_words"), x)) for matches in found for x in matches]
+                yield pa.RecordBatch.from_arrays([keys.values.take(pa.array(of, pa.int64())), pa.array(rows, _MATCHES.value_type)], names=["key", "match"])
+
+    return arrays.mapInArrow(run, schema)
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Longest verbatim matches of benchmark items in documents, at least `window` words long (a shorter item: all of it).
 
@@ -199,20 +256,44 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
     equal texts all match; repeated rows of docs each get their own result; an empty benchmark matches nothing.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    size = items.agg(F.sum(F.length("text")).alias("n"), F.max(F.length("text")).alias("most")).first()
-    n_blocks = max(1, -(-(size.n or 0) * 2 // BLOCK_CHARS)) if (size.n or 0) > BLOCK_CHARS else 1
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("matches", T.ArrayType(MATCH))]
-    out = None
-    for k in range(n_blocks):
-        held = [(r.item_id, r.text.encode()) for r in items.where(block == k).collect()]  # bounded: a block
-        probe = make_probe(held, window)
-        if out is None:
-            out = annotate(docs, ["text"], fields, _scan(probe))
-        else:
-            again = materialize(out).select(F.col("row.text").alias("text"), F.col("res.matches").alias("matches"), "row")
-            out = annotate(again, ["text", "matches"], fields, _scan(probe)).select(F.col("row.row").alias("row"), "res")
-    return out
+    blocks = _blocks(items)
+    probe = lambda k: make_probe([(r.item_id, r.text.encode()) for r in items.join(F.broadcast(blocks[k]), ["item_id"]).collect()] if blocks else [], window)
+    if len(blocks) <= 1:
+        fields = [("n_words", T.LongType()), ("matches", T.ArrayType(MATCH))]
+        found = annotate(docs, ["text"], fields, _scan(probe(0), window))
+    else:
+        arrays = materialize(_written_shards(docs, window))
+        parts = [materialize(_look_up(arrays, probe(k))) for k in range(len(blocks))]
+        each = arrays.select(F.explode(F.arrays_zip("keys", "lengths")).alias("d")).select(F.col("d.keys").alias("key"), F.col("d.lengths").alias("n_words")).distinct()
+        matches = parts[0]
+        for part in parts[1:]:
+            matches = matches.union(part)
+        matches = matches.distinct().groupBy("key").agg(F.array_sort(F.collect_list("match")).alias("matches")).withColumnRenamed("key", "found")
+        each = materialize(each.join(matches, F.col("key").eqNullSafe(F.col("found")), "left").select(F.col("key").alias("found"), "n_words", "matches"))
+        release(arrays, *parts)
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(*doc_key()).alias("key"))
+        joined = packed.join(each, F.col("key.doc_id").eqNullSafe(F.col("found.doc_id")) & (F.col("key.text_key") == F.col("found.text_key")), "left")
+        found = joined.select("row", F.struct("n_words", F.coalesce("matches", F.array().cast(T.ArrayType(MATCH))).alias("matches")).alias("res"))
+    spans = F.array_sort(F.transform("res.matches", lambda m: F.struct(m["doc_pos"].alias("start"), (m["doc_pos"] + m["n_words"]).alias("stop"))))
+    nothing = F.struct(F.lit(0).cast("long").alias("stop"), F.lit(0).cast("long").alias("hit"))
+    covered = F.aggregate(spans, nothing, lambda a, x: F.struct(F.greatest(a["stop"], x["stop"]).alias("stop"), (a["hit"] + F.greatest(F.lit(0), x["stop"] - F.greatest(a["stop"], x["start"]))).alias("hit")))
+    names = F.array_sort(F.array_distinct(F.transform("res.matches", lambda m: m["item_id"])))
+    return found.select("row", F.struct("res.n_words", covered["hit"].alias("n_hit"), names.alias("items"), "res.matches").alias("res"))
+
+
+def _blocks(items: DataFrame) -> list[DataFrame]:
+    """Ids of the items of each block: blocks of about BLOCK_CHARS characters. Of the items the driver sees counts alone."""
+    sized = items.groupBy("item_id").agg(F.sum(F.length("text").cast("long")).alias("n"))
+    total = sized.agg(F.sum("n").alias("n")).first().n
+    if total is None:
+        return []
+    if total <= BLOCK_CHARS:
+        return [sized.select("item_id")]
+    n_blocks = -(-total * 2 // BLOCK_CHARS)  # half full on average, so that hardly one is over
+    block = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
+    large = F.col("n") * 4 > BLOCK_CHARS
+    few = [sized.where(~large & (block == k)).select("item_id") for k in range(n_blocks)]
+    return few + [sized.where(F.col("item_id") == r.item_id).select("item_id") for r in sized.where(large).select("item_id").collect()]
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

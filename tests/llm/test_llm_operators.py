@@ -201,6 +201,16 @@ def test_decontamination_equals_brute_force(spark, sf, texts):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == brute_decontaminate(texts[r.doc_id], items)
 
 
+def test_suffix_array():
+    rng = random.Random(14)
+    for words, n in ((3, 400), (50, 300), (100_000, 300), (1, 40)):
+        stream = np.array([rng.randint(0, words) for _ in range(n)], dtype=np.int64)
+        for depth in (1, 4, 10):
+            order = decontaminate.suffix_array(stream, depth)
+            firsts = [stream[i : i + depth].tolist() for i in order]
+            assert sorted(order.tolist()) == list(range(n)) and firsts == sorted(firsts)
+
+
 @pytest.mark.parametrize("block", [10**9, 40])
 def test_decontamination_edges_and_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)

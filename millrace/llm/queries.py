@@ -98,21 +98,30 @@ _WORDS = r"regexp_extract_all(" + _FOLDED + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+
 
 
 def op2_sql() -> str:
-    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES))
     grams = "list_distinct(list_transform(range(1, len(ws)), lambda p: ws[p] || ' ' || ws[p + 1]))"
+    least = f"{license_scan.THRESHOLD} * len(tg) <= {200 - license_scan.THRESHOLD}"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-t AS (SELECT name, {grams} AS tg FROM (SELECT name, {_WORDS % "body"} AS ws FROM (VALUES {rows}) v(i, name, body))),
-u AS (SELECT r, 0 AS line_no, text AS u FROM d WHERE text IS NOT NULL UNION ALL
-      SELECT r, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM d WHERE text IS NOT NULL),
-g AS (SELECT r, line_no, {grams} AS g FROM (SELECT r, line_no, {_WORDS % "u"} AS ws FROM u) WHERE len(ws) > 1),
-m AS (SELECT r, line_no, name, len(g) + len(tg) AS total, len(list_intersect(g, tg)) AS common FROM g, t WHERE len(g) <= 4 * len(tg) AND len(tg) <= 4 * len(g)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT i, name, len(ws) AS k, {grams} AS tg FROM (SELECT i, name, {_WORDS % "body"} AS ws FROM (VALUES {rows}) v(i, name, body))),
+l AS (SELECT r, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM d),
+p AS (SELECT r, line_no, generate_subscripts(ps, 1) AS q, unnest(ps) AS part FROM (SELECT r, line_no, string_split(regexp_replace(line, '([.!?;:])[ \t]+', '\\1' || chr(10), 'g'), chr(10)) AS ps FROM l)),
+w AS (SELECT r, line_no, q, {_WORDS % "part"} AS ws FROM p),
+s AS (SELECT r, line_no, row_number() OVER (PARTITION BY r ORDER BY line_no, q) AS s, len(ws) AS n, sum(len(ws)) OVER (PARTITION BY r ORDER BY line_no, q) AS upto, ws FROM w WHERE len(ws) > 0),
+a AS (SELECT r, flatten(list(ws ORDER BY s)) AS ws, max(s) AS last FROM s GROUP BY r),
+g AS (SELECT r, {grams} AS g FROM a WHERE len(ws) > 1),
+c AS (SELECT r, i, name, k, tg FROM g, t WHERE {least} * len(list_intersect(g, tg))),
+j AS (SELECT c.r, i, name, tg, x.line_no, x.s AS lo, coalesce(min(y.s), any_value(a.last)) AS hi FROM c JOIN a USING (r) JOIN s x ON x.r = c.r LEFT JOIN s y ON y.r = c.r AND y.upto >= x.upto - x.n + c.k GROUP BY ALL),
+u AS (SELECT r, i, name, tg, line_no, lo, hi FROM j UNION SELECT r, i, name, tg, line_no, lo, hi - 1 FROM j WHERE hi > lo),
+b AS (SELECT u.r, u.i, u.name, u.tg, u.line_no, a.ws[(x.upto - x.n + 1)::BIGINT : y.upto::BIGINT] AS ws FROM u JOIN a ON a.r = u.r JOIN s x ON x.r = u.r AND x.s = u.lo JOIN s y ON y.r = u.r AND y.s = u.hi),
+h AS (SELECT r, line_no, name, tg, {grams} AS g FROM b WHERE len(ws) > 1),
+m AS (SELECT r, line_no, name, len(g) + len(tg) AS total, len(list_intersect(g, tg)) AS common FROM h),
 k AS (SELECT r, line_no, name, round(2.0 * common / total, 6) AS dice, 2.0 * common / total AS exact FROM m WHERE 200 * common >= {license_scan.THRESHOLD} * total),
-b AS (SELECT r, first(name ORDER BY exact DESC, line_no, name) AS license_id, first(dice ORDER BY exact DESC, line_no, name) AS dice,
+e AS (SELECT r, first(name ORDER BY exact DESC, line_no, name) AS license_id, first(dice ORDER BY exact DESC, line_no, name) AS dice,
         first(line_no ORDER BY exact DESC, line_no, name) AS line_no, count(*) AS n FROM k GROUP BY r),
-s AS (SELECT r, string_agg(name, ',' ORDER BY name) AS licenses FROM (SELECT DISTINCT r, name FROM k) GROUP BY r)
+f AS (SELECT r, string_agg(name, ',' ORDER BY name) AS licenses FROM (SELECT DISTINCT r, name FROM k) GROUP BY r)
 SELECT doc_id, license_id, dice::DOUBLE AS dice, coalesce(line_no, -1)::BIGINT AS line_no, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_matches
-FROM d LEFT JOIN b USING (r) LEFT JOIN s USING (r)
+FROM d LEFT JOIN e USING (r) LEFT JOIN f USING (r)
 """
 
 

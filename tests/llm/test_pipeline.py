@@ -121,3 +121,24 @@ def test_near_dedup_ties(spark):
     assert len(kept) == 3 and (2, "x y", None) in kept and sum(r[0] == 1 for r in kept) == 1
     again = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.orderBy("source"), "").collect()]
     assert sorted(map(str, kept)) == sorted(map(str, again))
+
+
+def test_large_groups_of_near_copies_stay_whole(spark):
+    rng = random.Random(15)
+    rows, ids = [], iter(rng.sample(range(10_000), 400))
+    for _ in range(2):  # two texts, each with many copies that differ in four words, and so have 0.66 in common with each other
+        words = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(200)]
+        rows.append((next(ids), " ".join(words)))
+        for _ in range(90):
+            copy = [*words]
+            for at in rng.sample(range(6, 194, 12), 4):
+                copy[at] = "changed" + str(rng.randrange(10**6))
+            rows.append((next(ids), " ".join(copy)))
+    marked = [(simhash.fingerprint(t.encode()), near_copies.bands(t.encode()), t) for _, t in rows]
+    marked = materialize(spark.createDataFrame(marked, "fp long, bands array<long>, text string").selectExpr("fp", "bands", "xxhash64(text) as text_key"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = {(r.u, r.v) for r in near_copies.links(docs, marked, max_paired=8).collect()}
+    sets = {simhash.fingerprint(t.encode()): set(near_copies.grams(t.encode()).tolist()) for _, t in rows}
+    exact = {(max(a, b), min(a, b)) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    grouped = lambda edges: {(r.u, r.v) for r in simhash.components(spark.createDataFrame(sorted(edges), "u long, v long")).collect()}
+    assert links <= exact and len(grouped(exact)) > 170 and grouped(links) == grouped(exact)

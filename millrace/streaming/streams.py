@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from millrace.operators.logs import QUOTAS, live_slo
 from millrace.operators.merge import dedupe_latest, upsert
 from millrace.operators.windows import TRANSITIONS
-from millrace.sources.shared import listed, materialize, remove
+from millrace.sources.shared import listed, materialize, release, remove
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -29,14 +29,14 @@ def stream_upsert(source: DataFrame, target: str, checkpoint: str, key: str, fie
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        new = dedupe_latest(batch, key, seq, pushed).select(key, *fields, bucket.alias("bucket"))
-        new = materialize(new)
+        new = staged = materialize(dedupe_latest(batch, key, seq, pushed).select(key, *fields, bucket.alias("bucket")))
         touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # `buckets` at most
         old = _newest(spark, target, batch_id, touched)
         if old:
             known = spark.read.parquet(*[f"{target}/v={v}/bucket={b}" for b, v in old.items()]).select(key, *fields)
             new = upsert(known, new.drop("bucket"), key, fields).select(key, *fields).withColumn("bucket", bucket)
         new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={batch_id}")
+        release(staged)
         for v in [int(n[2:]) for n in listed(spark, target) if n.startswith("v=")]:
             for b, keep in old.items():
                 if v < keep:

@@ -210,7 +210,7 @@ def duration_text(started, finished) -> Column:
     s = F.greatest(_seconds(col(finished), col(started)), F.lit(0.0))
     whole = F.floor(s)
     long = F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), (whole % 60).cast("string"), F.lit("s"))
-    return F.when(s.isNull(), "—").when(s < 60, F.format_string("%.1fs", s)).otherwise(long)
+    return F.when(col(started).isNull() | col(finished).isNull(), "—").when(s < 60, F.format_string("%.1fs", s)).otherwise(long)
 
 
 def span_text(seconds) -> Column:

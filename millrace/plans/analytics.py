@@ -413,13 +413,18 @@ def _(t):
     )
 
 
-@query("c_time_functions", """WITH x AS (SELECT o_orderkey, o_orderdate, epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate) AS s FROM orders)
-SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, (floor(s / 86400)::BIGINT // 30) || 'mo ago' AS ago, floor(s / 60)::BIGINT || 'm 0s' AS took, floor(s / 3600)::BIGINT || 'h 0m' AS span FROM x WHERE s >= 2592000""")
-def _(t):
-    now = F.lit("2002-01-01").cast("timestamp")
-    s = now.cast("long") - F.col("o_orderdate").cast("timestamp").cast("long")
-    rows = t.orders.withColumn("at", F.col("o_orderdate").cast("timestamp")).where(s >= 2592000).withColumn("now", now)
-    return rows.select("o_orderkey", S.iso_utc("at").alias("iso"), S.relative_time("at", now).alias("ago"), S.duration_text("at", "now").alias("took"), S.span_text(s).alias("span"))
+@query("c_time_functions", """WITH x AS (SELECT o_orderkey, o_orderdate, o_orderkey % 7 = 0 AS none, [30, 307, 11100, 345600, 3456000][(o_orderkey % 5 + 1)::INT] AS s FROM orders)
+SELECT o_orderkey, CASE WHEN NOT none THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN '.250000' ELSE '' END || 'Z' END AS iso,
+CASE WHEN none THEN '—' WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 2592000 THEN s // 86400 || 'd ago' ELSE s // 2592000 || 'mo ago' END AS ago,
+CASE WHEN none THEN '—' WHEN s < 60 THEN s || '.0s' ELSE s // 60 || 'm ' || s % 60 || 's' END AS took,
+CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm ' || s % 60 || 's' ELSE s // 3600 || 'h ' || (s // 60) % 60 || 'm' END AS span FROM x""")
+def _(t):
+    k = F.col("o_orderkey")
+    s = F.get(F.array(*[F.lit(x) for x in (30, 307, 11100, 345600, 3456000)]), (k % 5).cast("int"))
+    day = F.col("o_orderdate").cast("timestamp")
+    rows = t.orders.select("o_orderkey", s.alias("s"), F.when(k % 7 != 0, day).alias("at"), F.timestamp_seconds(F.unix_timestamp(day) + s).alias("now"))
+    exact = F.when(k % 2 == 0, F.timestamp_millis(F.unix_timestamp("at") * 1000 + 250)).otherwise(F.col("at"))
+    return rows.select("o_orderkey", S.iso_utc(exact).alias("iso"), S.relative_time("at", F.col("now")).alias("ago"), S.duration_text("at", "now").alias("took"), S.span_text("s").alias("span"))
 
 
 @query("c_url_functions", r"""SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) AS query, CASE lower(regexp_extract(url, '^https?://[^/?#]*\.([a-zA-Z]+)(?:[:/?#]|$)', 1)) WHEN 'de' THEN 'DE' WHEN 'fr' THEN 'FR' WHEN 'es' THEN 'ES' WHEN 'uk' THEN 'GB' WHEN 'in' THEN 'IN' END AS country,

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from pathlib import Path
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ NOTICES = [
     ("proprietary", "All rights reserved."),
 ]
 #: Whole texts, files named after their licence.
-TEXTS = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+TEXTS = [(p.name.removesuffix(".txt"), p.read_text(encoding="utf-8")) for p in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda p: p.name)]
 TEMPLATES = NOTICES + TEXTS
 _SEGMENT = re.compile(rb"(?<=[.!?;:])[ \t]+")
 

@@ -22,28 +22,42 @@ def small(written: DataFrame, most: int = 250_000) -> DataFrame:
     return F.broadcast(written) if written.count() <= most else written.hint("merge")
 
 
-def annotate(docs: DataFrame, inputs: list[str], fields: list[tuple[str, T.DataType]], make: Callable) -> DataFrame:
+#: Rows that a Python function gets at a time, so that its lists stay small.
+SLICE = 2048
+
+
+def annotate(docs: DataFrame, inputs: list[str], fields: list[tuple[str, T.DataType]], make: Callable, keep: list[str] | None = None) -> DataFrame:
     """Each row of docs as the struct `row`, and what `make` computes from it as the struct `res`.
 
-    `make(*arrays)` gets the Arrow arrays of the input columns of one batch and returns a list with one Arrow array
-    per field. All columns of docs stay inside `row`, so no result name can clash with theirs.
+    `make(*arrays)` gets the Arrow arrays of the input columns of up to SLICE rows and returns a list with one Arrow array
+    per field. The columns of docs, or those in `keep`, stay inside `row`, so no result name can clash with theirs; what is
+    not kept isn't sent back from Python.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    res = T.StructType([T.StructField(n, t) for n, t in fields])
-    schema = T.StructType([packed.schema["row"], T.StructField("res", res)])
+    kept = docs.columns if keep is None else keep
+    row = T.StructType([f for f in packed.schema["row"].dataType if f.name in kept])
+    schema = T.StructType([T.StructField("row", row), T.StructField("res", T.StructType([T.StructField(n, t) for n, t in fields]))])
     at = [docs.columns.index(c) for c in inputs]
-    names = [n for n, _ in fields]
+    back = [i for i, c in enumerate(docs.columns) if c in kept]
+    names, docs_columns = [n for n, _ in fields], docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column(0)
-            columns = row.flatten()
-            made = make(*[columns[i] for i in at])
-            yield pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(made, names=names)], names=["row", "res"])
+            for start in range(0, batch.num_rows, SLICE):
+                columns = batch.column(0).slice(start, SLICE).flatten()
+                made = make(*[columns[i] for i in at])
+                of = pa.StructArray.from_arrays([columns[i] for i in back], names=[docs_columns[i] for i in back])
+                yield pa.RecordBatch.from_arrays([of, pa.StructArray.from_arrays(made, names=names)], names=["row", "res"])
 
     return packed.mapInArrow(run, schema)
 
 
+def drop_rows(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows whose doc_id and key stand in the written table gone (at_id, at_key)."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key_id"), key.alias("key"))
+    return packed.join(small(gone), F.col("key_id").eqNullSafe(F.col("at_id")) & (F.col("key") == F.col("at_key")), "left_anti").select("row.*")
+
+
 def raw_texts(texts: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each text."""
     return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import annotate, doc_key, materialize, raw_texts, release
+from millrace.llm._common import annotate, doc_key, drop_rows, materialize, raw_texts, release
 
 #: Bytes kept as word characters: digits, letters in lower case, and all of non-ASCII UTF-8.
 _FOLD = bytes(
@@ -29,7 +29,7 @@ _FOLD = bytes(
 #: Bound of one shipped benchmark block, in characters of item text; a longer item is a block of its own.
 BLOCK_CHARS = 8_000_000
 #: Words of a shard; a longer document is a shard of its own.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 1 << 18
 
 MATCH = T.StructType(
     [T.StructField("item_id", T.StringType()), T.StructField("item_pos", T.LongType()), T.StructField("doc_pos", T.LongType()), T.StructField("n_words", T.LongType())]
@@ -247,10 +247,10 @@ def _look_up(arrays: DataFrame, probe: Probe) -> DataFrame:
     return arrays.mapInArrow(run, schema)
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None) -> DataFrame:
     """Longest verbatim matches of benchmark items in documents, at least `window` words long (a shorter item: all of it).
 
-    Returns the struct `row` (docs as they are) and the struct `res`: n_words, n_hit (words inside matches), items
+    Returns the struct `row` (docs as they are, or the columns in `keep`) and the struct `res`: n_words, n_hit (words inside matches), items
     (ids of items that match, sorted as strings) and matches (item_id, item_pos, doc_pos, n_words; positions in words).
     Null and empty texts have no words and no matches. Items without words or with a null id are left out; items with
     equal texts all match; repeated rows of docs each get their own result; an empty benchmark matches nothing.
@@ -260,7 +260,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
     probe = lambda k: make_probe([(r.item_id, r.text.encode()) for r in items.join(F.broadcast(blocks[k]), ["item_id"]).collect()] if blocks else [], window)
     if len(blocks) <= 1:
         fields = [("n_words", T.LongType()), ("matches", T.ArrayType(MATCH))]
-        found = annotate(docs, ["text"], fields, _scan(probe(0), window))
+        found = annotate(docs, ["text"], fields, _scan(probe(0), window), keep)
     else:
         arrays = materialize(_written_shards(docs, window))
         parts = [materialize(_look_up(arrays, probe(k))) for k in range(len(blocks))]
@@ -271,7 +271,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
         matches = matches.distinct().groupBy("key").agg(F.array_sort(F.collect_list("match")).alias("matches")).withColumnRenamed("key", "found")
         each = materialize(each.join(matches, F.col("key").eqNullSafe(F.col("found")), "left").select(F.col("key").alias("found"), "n_words", "matches"))
         release(arrays, *parts)
-        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(*doc_key()).alias("key"))
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.struct(*doc_key()).alias("key"))
         joined = packed.join(each, F.col("key.doc_id").eqNullSafe(F.col("found.doc_id")) & (F.col("key.text_key") == F.col("found.text_key")), "left")
         found = joined.select("row", F.struct("n_words", F.coalesce("matches", F.array().cast(T.ArrayType(MATCH))).alias("matches")).alias("res"))
     spans = F.array_sort(F.transform("res.matches", lambda m: F.struct(m["doc_pos"].alias("start"), (m["doc_pos"] + m["n_words"]).alias("stop"))))
@@ -297,5 +297,8 @@ def _blocks(items: DataFrame) -> list[DataFrame]:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents that hold no benchmark window, with their columns."""
-    return find_matches(docs, benchmark, window).where(F.col("res.n_hit") == 0).select("row.*")
+    """The documents that hold no benchmark window, with their columns. Nulls, ties and repeats: as find_matches()."""
+    key = F.xxhash64("text")
+    found = find_matches(docs.select("doc_id", "text", key.alias("at_key")), benchmark, window, ["doc_id", "at_key"])
+    gone = found.where(F.col("res.n_hit") > 0).select(F.col("row.doc_id").alias("at_id"), "row.at_key").distinct()
+    return drop_rows(docs, materialize(gone), key)

@@ -133,4 +133,4 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         return [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int64(), pa.string(), pa.int64()))]
 
     fields = [("license_id", T.StringType()), ("dice", T.DoubleType()), ("line_no", T.LongType()), ("licenses", T.StringType()), ("n_matches", T.LongType())]
-    return annotate(docs.select("doc_id", "text"), ["text"], fields, make).select("row.doc_id", "res.*")
+    return annotate(docs.select("doc_id", "text"), ["text"], fields, make, ["doc_id"]).select("row.doc_id", "res.*")

@@ -34,8 +34,8 @@ GRAIN = 8
 #: Sequences of a bucket of left pieces, about; tokens between the places where one may be cut.
 BUCKET, CUT = 200, 32
 END_ID = 1
-#: Parts of texts kept in the cache at most, and the characters of the longest one kept: some 60 MB.
-_CACHE, _LONGEST = 300_000, 32
+#: Parts of texts kept in the cache at most, and the characters of the longest one kept: some 20 MB.
+_CACHE, _LONGEST = 100_000, 32
 #: Text that the rank file's pattern and the library split alike, with white space only as single blanks or newlines.
 _PLAIN = re.compile(r"[\n -~¡-ɏ‐-‧€]*")
 _RUNS = re.compile(r"[ \n](?=[ \n])")
@@ -201,7 +201,7 @@ def tokenize_pieces(docs: DataFrame, json_path: str, rank_path: str, window: int
         return [pa.array(totals, pa.int64()), pa.array(rows, pa.list_(piece))]
 
     kind = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))])
-    made = annotate(docs.select("doc_id", "text"), ["text"], [("doc_tokens", T.LongType()), ("pieces", T.ArrayType(kind))], make)
+    made = annotate(docs.select("doc_id", "text"), ["text"], [("doc_tokens", T.LongType()), ("pieces", T.ArrayType(kind))], make, ["doc_id"])
     return made.select("row.doc_id", "res.doc_tokens", F.explode("res.pieces").alias("p")).select("doc_id", "p.*", "doc_tokens")
 
 

@@ -106,7 +106,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         rows = np.array([measure(r) for r in raw_texts(texts)], dtype=np.int64).reshape(-1, len(MEASURES))
         return [pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(MEASURES))]
 
-    made = annotate(docs.select("doc_id", "text"), ["text"], [(m, T.LongType()) for m in MEASURES], make).select("row.doc_id", "res.*")
+    made = annotate(docs.select("doc_id", "text"), ["text"], [(m, T.LongType()) for m in MEASURES], make, ["doc_id"]).select("row.doc_id", "res.*")
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES])
     return made.withColumn("failed", bits)
 

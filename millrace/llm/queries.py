@@ -30,7 +30,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
         "row.doc_id", "res.n_words", "res.n_hit", F.size("res.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("res.items", ","), 256).alias("items_sha256"), (F.col("res.n_hit") > 0).alias("contaminated"),

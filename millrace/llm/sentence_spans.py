@@ -146,7 +146,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
         return [join(counts, pa.int64()), join(inside, pa.bool_()), *lists]
 
     keyed = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return annotate(keyed, ["text"], fields, make).select("row.doc_id", "row.text_key", "res.*")
+    return annotate(keyed, ["text"], fields, make, ["doc_id", "text_key"]).select("row.doc_id", "row.text_key", "res.*")
 
 
 def _repeated(hashed: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
                     removed[i] = int(gone.sum())
         return [pa.array(kept, pa.string()), pa.array(removed, pa.int64()), pa.array(own, pa.bool_())]
 
-    made = annotate(joined, ["text", "inside", "gone"], [("text", T.StringType()), ("n_removed", T.LongType()), ("own", T.BooleanType())], make)
+    made = annotate(joined, ["text", "inside", "gone"], [("text", T.StringType()), ("n_removed", T.LongType()), ("own", T.BooleanType())], make, ["doc_id", "n_sentences", "firsts"])
     own = F.when(F.col("res.own"), F.array("row.doc_id")).otherwise(F.array().cast(T.ArrayType(docs.schema["doc_id"].dataType)))
     firsts = F.when(F.col("row.firsts").isNull(), own).otherwise(F.array_union("row.firsts", own))
     return made.select("row.doc_id", "res.text", "row.n_sentences", "res.n_removed", F.array_sort(F.array_compact(firsts)).alias("repeats_of"))

@@ -46,8 +46,8 @@ def fingerprint(raw: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Structs `row` (docs) and `res` (fp: signed 64-bit fingerprint)."""
-    return annotate(docs, ["text"], [("fp", T.LongType())], lambda texts: [pa.array([fingerprint(r) for r in raw_texts(texts)], pa.int64())])
+    """Structs `row` (doc_id) and `res` (fp: signed 64-bit fingerprint)."""
+    return annotate(docs, ["text"], [("fp", T.LongType())], lambda texts: [pa.array([fingerprint(r) for r in raw_texts(texts)], pa.int64())], ["doc_id"])
 
 
 def _hamming(a: Column, b: Column) -> Column:
@@ -135,7 +135,7 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4, ja
         return made if jaccard is None else [*made, pa.array([near_copies.bands(r) for r in raw], pa.list_(pa.int64()))]
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    marked = materialize(annotate(keyed, ["text"], fields, make).select("row.doc_id", "row.text_key", "res.*"))
+    marked = materialize(annotate(keyed, ["text"], fields, make, ["doc_id", "text_key"]).select("row.*", "res.*"))
     more = None if jaccard is None else near_copies.links(docs, marked, jaccard)
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     keys = marked.groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).join(_classes(nodes, distance, blocks, more), "fp")

@@ -79,6 +79,6 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
         count = counter(model_path).count
         return [pa.array([count(t or "") for t in texts.to_pylist()], pa.int64())]
 
-    made = annotate(docs.select("doc_id", "text"), ["text"], [("n_tokens", T.LongType())], make)
-    n_bytes = F.coalesce(F.octet_length("row.text").cast("long"), F.lit(0).cast("long"))
-    return made.select("row.doc_id", n_bytes.alias("n_bytes"), "res.n_tokens", (F.col("res.n_tokens") > limit).alias("over_limit"))
+    n_bytes = F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long"))
+    made = annotate(docs.select("doc_id", "text", n_bytes.alias("n_bytes")), ["text"], [("n_tokens", T.LongType())], make, ["doc_id", "n_bytes"])
+    return made.select("row.doc_id", "row.n_bytes", "res.n_tokens", (F.col("res.n_tokens") > limit).alias("over_limit"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import annotate, materialize
+from millrace.llm._common import annotate, drop_rows, materialize, release
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -240,8 +240,8 @@ def calibrate(scored: DataFrame, labels: DataFrame, model: Classifier | None, le
     return {r.lang: r.bin / BINS for r in best.collect()}
 
 
-def score_documents(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """Structs `row` (docs) and `res` (score, 0 to 1; empty texts get the score of no words). Without a model: 0."""
+def score_documents(docs: DataFrame, model: Classifier | None, keep: list[str] | None = None) -> DataFrame:
+    """Structs `row` (docs, or the columns in `keep`) and `res` (score, 0 to 1; empty texts get the score of no words). Without a model: 0."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     scorers: dict = {}
 
@@ -251,7 +251,7 @@ def score_documents(docs: DataFrame, model: Classifier | None) -> DataFrame:
         scorer = scorers.get("own") or scorers.setdefault("own", Scorer(shipped.value))
         return [pa.array([scorer.score(t) for t in texts.to_pylist()], pa.float64())]
 
-    return annotate(docs, ["text"], [("score", T.DoubleType())], make)
+    return annotate(docs, ["text"], [("score", T.DoubleType())], make, keep)
 
 
 def threshold(thresholds: dict[str, float], lang: Column) -> Column:
@@ -269,7 +269,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     language, or with too few toxic texts in it, a row is held against the threshold of all languages, or 0.5.
     """
     model = train(docs, labels)
-    scored = materialize(score_documents(docs.select("doc_id", "text", "lang"), model).select("row.doc_id", "row.lang", "res.score"))
+    scored = materialize(score_documents(docs.select("doc_id", "text", "lang"), model, ["doc_id", "lang"]).select("row.*", "res.score"))
     limit = threshold(calibrate(scored, labels, model), F.col("lang"))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= limit).alias("rejected")
@@ -281,7 +281,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null, empty and repeated rows are scored as classify() does; without labels nothing is dropped.
     """
-    model = train(docs, labels)
-    scored = materialize(score_documents(docs, model))
-    limit = threshold(calibrate(scored.select("row.doc_id", "row.lang", "res.score"), labels, model), F.col("row.lang"))
-    return scored.where(F.col("res.score") < limit).select("row.*")
+    model, key = train(docs, labels), F.xxhash64("text", "lang")
+    keyed = docs.select("doc_id", "text", "lang", key.alias("at_key"))
+    scored = materialize(score_documents(keyed, model, ["doc_id", "lang", "at_key"]).select("row.*", "res.score"))
+    limit = threshold(calibrate(scored, labels, model), F.col("lang"))
+    gone = materialize(scored.where(F.col("score") >= limit).select(F.col("doc_id").alias("at_id"), "at_key").distinct())
+    release(scored)
+    return drop_rows(docs, gone, key)

@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over whole tables, the pipeline, and their SQL."""
+"""Queries op1 to op13 over whole tables, the pipeline, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, license_scan, line_chunks, packing, quality_rules, sentence_spans, sharding, simhash, token_counts, toxicity
+from millrace.llm import bin_packing, decontaminate, license_scan, line_chunks, packing, quality_rules, sentence_spans, sharding, simhash, token_counts, toxicity
 from millrace.llm._common import table
 
 
@@ -66,10 +66,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "row.text", "res.*")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack_whole_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_quality_rules, op2_license_scan, op3_sharding, op4_decontamination, op5_toxicity, op6_token_counts, op7_packing,
-        op8_substring_dedup, op9_simhash, op10_line_dedup,
+        op8_substring_dedup, op9_simhash, op10_line_dedup, op11_best_fit_packing,
     ]
     return {f.__name__: f for f in ops}
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bin_packing, decontaminate, license_scan, line_chunks, packing, quality_rules, sentence_spans, sharding, simhash, token_counts, toxicity
+from millrace.llm import bin_packing, conversation_repair, decontaminate, license_scan, line_chunks, packing, quality_rules, sentence_spans, sharding, simhash, token_counts, toxicity
 from millrace.llm._common import table
 
 
@@ -70,10 +70,14 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_whole_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_quality_rules, op2_license_scan, op3_sharding, op4_decontamination, op5_toxicity, op6_token_counts, op7_packing,
-        op8_substring_dedup, op9_simhash, op10_line_dedup, op11_best_fit_packing,
+        op8_substring_dedup, op9_simhash, op10_line_dedup, op11_best_fit_packing, op12_conversation_repair,
     ]
     return {f.__name__: f for f in ops}
 
@@ -145,5 +149,44 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
 
 
+#: One row: the table of the CRC-32 polynomial.
+_CRC_TABLE = """tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+_CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP12_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes FROM conversations),
+d AS (SELECT conv_id, turn, role, text, {_CRC.format(bytes="bytes")} % 20 AS chance FROM c, tab),
+m AS (SELECT conv_id, turn, CASE chance WHEN 4 THEN 'user' ELSE role END AS role, CASE chance WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE chance WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE chance <> 0),
+o AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed FROM m),
+s AS (SELECT *, count(*) OVER (PARTITION BY g, role, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier, left(role, 1) AS r,
+        lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS q FROM o),
+f AS (SELECT *, CASE WHEN trimmed = '' THEN 1 WHEN earlier > 0 THEN 2 WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM s),
+-- states: 0 nothing, 1 system, 2 user, 3 assistant; what can be inserted, with its cost
+ins(a, st, label, extra, lines) AS (VALUES (0, 0, '', 0, ''), (0, 2, 'I', 2, chr(10) || 'user:'), (0, 3, 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, '', 0, ''),
+  (1, 2, 'I', 2, chr(10) || 'user:'), (1, 3, 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, '', 0, ''), (2, 3, 'I', 2, chr(10) || 'assistant:'), (3, 3, '', 0, ''), (3, 2, 'I', 2, chr(10) || 'user:')),
+p AS (
+  SELECT g, 0::BIGINT AS i, st, extra AS cost, label AS audit, lines FROM (SELECT DISTINCT g FROM f), ins WHERE a = 0
+  UNION ALL
+  SELECT g, i, st, cost, audit, lines FROM (
+    SELECT w.g, w.i, ins.st, w.cost + ins.extra AS cost, w.audit || ins.label AS audit, w.lines || ins.lines AS lines FROM (
+      SELECT p.g, f.i, e.st, p.cost + e.cost AS cost, p.audit || e.label AS audit, p.lines || e.lines AS lines FROM p JOIN f ON f.g = p.g AND f.i = p.i + 1,
+        LATERAL (SELECT p.st AS st, 3 AS cost, 'D' AS label, '' AS lines
+          UNION ALL SELECT CASE p.st WHEN 2 THEN 3 ELSE 2 END, 2 + (fault = 3)::INT, 'R', chr(10) || CASE p.st WHEN 2 THEN 'assistant:' ELSE 'user:' END || text WHERE fault NOT IN (1, 2)
+          UNION ALL SELECT CASE r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, (fault = 3)::INT, 'K', chr(10) || role || ':' || text
+            WHERE fault NOT IN (1, 2) AND ((r = 's' AND p.st = 0) OR (r = 'u' AND p.st <> 2) OR (r = 'a' AND p.st = 2))) e) w JOIN ins ON ins.a = w.st)
+  QUALIFY row_number() OVER (PARTITION BY g, st ORDER BY cost, audit) = 1),
+n AS (SELECT g, any_value(conv_id) AS conv_id, max(i) AS i, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate,
+        count_if(fault = 3) AS truncated, count_if(q IS NOT NULL AND q || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g),
+b AS (SELECT n.*, cost, audit, lines FROM n JOIN p USING (g, i) WHERE st IN (0, 3) QUALIFY row_number() OVER (PARTITION BY g ORDER BY cost, audit) = 1)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_license_scan": op2_sql(), "op4_decontamination": OP4_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_license_scan": op2_sql(), "op4_decontamination": OP4_SQL, "op12_conversation_repair": OP12_SQL}

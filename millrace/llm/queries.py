@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bin_packing, conversation_repair, decontaminate, license_scan, line_chunks, packing, quality_rules, sentence_spans, sharding, simhash, token_counts, toxicity
+from millrace.llm import bin_packing, conversation_repair, decontaminate, license_scan, line_chunks, packing, quality_rules, sentence_spans, sharding, simhash, spelling_variants, token_counts, toxicity
 from millrace.llm._common import table
 
 
@@ -74,10 +74,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_spellings(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_quality_rules, op2_license_scan, op3_sharding, op4_decontamination, op5_toxicity, op6_token_counts, op7_packing,
-        op8_substring_dedup, op9_simhash, op10_line_dedup, op11_best_fit_packing, op12_conversation_repair,
+        op8_substring_dedup, op9_simhash, op10_line_dedup, op11_best_fit_packing, op12_conversation_repair, op13_spelling_variants,
     ]
     return {f.__name__: f for f in ops}
 
@@ -188,5 +192,27 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON a.conv_id IS
 """
 
 
+_CODES = "flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))"
+
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED % "text"}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, k, {_CRC.format(bytes=_CODES)} AS h FROM k, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+i AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+s AS (SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS pattern FROM i),
+d AS (SELECT DISTINCT word, n, left(word, i) || substr(word, i + 2) AS less FROM i),
+p AS (SELECT a.word, b.word AS other, b.n FROM s a JOIN s b ON a.pattern = b.pattern AND a.word <> b.word
+      UNION ALL SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word UNION ALL SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+f AS (SELECT v.word, v.n, count(*) AS n_near, first(other ORDER BY p.n DESC, other) AS other, max(p.n) AS other_n FROM p JOIN v ON p.word = v.word GROUP BY v.word, v.n),
+l AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM v LEFT JOIN f USING (word)),
+c AS (SELECT word, word AS at FROM l UNION ALL SELECT c.word, l.form FROM c JOIN l ON l.word = c.at WHERE l.form IS NOT NULL),
+e AS (SELECT c.word, c.at AS root FROM c JOIN l ON l.word = c.at WHERE l.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM l JOIN e USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_license_scan": op2_sql(), "op4_decontamination": OP4_SQL, "op12_conversation_repair": OP12_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_license_scan": op2_sql(), "op4_decontamination": OP4_SQL, "op12_conversation_repair": OP12_SQL, "op13_spelling_variants": OP13_SQL}

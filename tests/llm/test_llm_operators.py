@@ -690,52 +690,39 @@ def test_simhash_edges(spark):
 # op10
 
 
-def brute_chunks(spark, docs):
-    """Removed line places by (id, text), with the operator's line hash but plain Python for all else."""
-    lines = sorted({x for _, t in docs if t is not None for x in t.split("\n")})
-    df = spark.createDataFrame([(x,) for x in lines], "x string").selectExpr("x", "xxhash64(x) as h")
-    h = {r.x: r.h for r in df.collect()}
-    rolled = {}
-    pairs = {(a, b) for _, t in docs if t is not None for a, b in zip([None, *t.split("\n")], t.split("\n"))}
-    made = spark.createDataFrame([(a, b, h.get(b), h.get(a) if a is not None else None) for a, b in pairs], "a string, b string, hb long, ha long")
-    for r in made.selectExpr("a", "b", f"pmod(xxhash64(hb, ha), {line_chunks.MEAN_LINES}) = 0 as ends").collect():
-        rolled[(r.a, r.b)] = r.ends
-    seen, gone = set(), {}
-    for d, t in docs:
-        if t is None:
+def brute_runs(spark, docs):
+    """Removed line places by (id, text): the operator's line hash, plain Python for all else."""
+    filled = {(d, t): [(i, x) for i, x in enumerate(t.split("\n")) if re.search(r"[^ \t\n\x0b\f\r]", x)] for d, t in docs if t is not None}
+    lines = sorted({x for f in filled.values() for _, x in f})
+    h = {r.x: r.h for r in spark.createDataFrame([(x,) for x in lines], "x string").selectExpr("x", "xxhash64(x) as h").collect()}
+    first, chunks, gone = {}, [], defaultdict(set)
+    for key, f in filled.items():
+        hs, texts = [h[x] for _, x in f], [x for _, x in f]
+        for sign in (1, -1):
+            starts = [i for i in range(len(f)) if i == 0 or 2 <= i <= len(f) - 2 and sign * hs[i] < sign * hs[i - 1] and sign * hs[i] < sign * hs[i + 1]]
+            for k, (i, j) in enumerate(zip(starts, [*starts[1:], len(f)])) if len(f) > 1 else ():
+                around = (starts[k - 1] if k else 0, [*starts[2:], len(f), len(f)][k])
+                chunks.append((tuple(texts[i:j]), key, i, j, around))
+    for chunk, key, i, j, around in chunks:
+        if chunk not in first or (key, i) < first[chunk][:2]:
+            first[chunk] = (key, i, j, around)
+    for chunk, key, i, j, (lo, hi) in chunks:
+        at, a, b, (low, high) = first[chunk]
+        if (key, i) == (at, a):
             continue
-        rows, start = t.split("\n"), 0
-        out = set()
-        for i in range(len(rows)):
-            last = i == len(rows) - 1
-            if last or rolled[(rows[i - 1] if i else None, rows[i])]:
-                chunk = tuple(rows[start : i + 1])
-                if len(chunk) >= line_chunks.MIN_LINES:
-                    if chunk in seen:
-                        out.update(range(start, i + 1))
-                    seen.add(chunk)
-                start = i + 1
-        gone[(d, t)] = out
-    return gone
-
-
-def brute_pairs(docs):
-    """Removed line places by (id, text): each two neighbouring lines, blank ones aside, that stand together before."""
-    first, gone = {}, defaultdict(set)
-    for d, t in docs:
-        filled = [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip()]
-        for (i, x), (j, y) in zip(filled, filled[1:]):
-            at = first.setdefault((x, y), (d, i, j))
-            if at[0] != d or i > at[2]:
-                gone[(d, t)].update(range(i, j + 1))
+        mine, its = [x for _, x in filled[key]], [x for _, x in filled[at]]
+        if key != at:
+            while i > lo and a > low and mine[i - 1] == its[a - 1]:
+                i, a = i - 1, a - 1
+            while j < hi and b < high and mine[j] == its[b]:
+                j, b = j + 1, b + 1
+        gone[key].update(range(filled[key][i][0], filled[key][j - 1][0] + 1))
     return gone
 
 
 def test_line_dedup_equals_brute_force(spark, sf, texts):
     order = sorted(texts.items())
-    chunks, pairs = brute_chunks(spark, order), brute_pairs(order)
-    gone = {k: chunks[k] | pairs[k] for k in chunks}
-    assert any(chunks.values())
+    gone = brute_runs(spark, order)
     rows = {r.doc_id: r for r in queries.op10_line_dedup(spark, sf).collect()}
     assert len(rows) == len(texts) and any(gone.values())
     for d, t in order:
@@ -744,6 +731,23 @@ def test_line_dedup_equals_brute_force(spark, sf, texts):
         assert rows[d].text == "\n".join(x for i, x in enumerate(lines) if i not in gone[(d, t)])
 
 
+def test_line_dedup_comes_through_chunks(spark, monkeypatch):
+    rng = random.Random(10)
+    words = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(n))
+    passages = [[words(8) for _ in range(12)] for _ in range(20)]
+    rows = [(i, "\n".join([words(7), *p, words(7)])) for i, p in enumerate(passages)]
+    rows += [(100 + i, "\n".join([words(6), words(6), *p[:5], "", *p[5:], words(6)])) for i, p in enumerate(passages)]
+    rows += [(200 + i, "\n".join(p)) for i, p in enumerate(passages)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = lambda: {r.row.doc_id: r.res.n_removed for r in line_chunks.dedup_lines(docs).collect()}
+    by, gone = removed(), brute_runs(spark, rows)
+    assert by == {i: len(gone[(i, t)]) for i, t in rows}
+    # shifted passages of 12 lines go as a whole, the lines around them stay, and so does what comes first
+    assert all(by[i] == 0 and by[100 + i] == 13 for i in range(20)) and sum(by[200 + i] == 12 for i in range(20)) == 20
+    monkeypatch.setattr(line_chunks, "_chunks", lambda text: line_chunks.F.expr("array_remove(array(named_struct('h', 0L, 'n', 2, 'at', 0, 'back', 0, 'ahead', 0)), named_struct('h', 0L, 'n', 2, 'at', 0, 'back', 0, 'ahead', 0))"))
+    assert set(removed().values()) == {0}  # without chunks nothing goes
+
+
 def test_line_dedup_edges(spark):
     block = "\n".join(f"line number {i}" for i in range(30))
     docs = edge_docs(spark, [(30, block), (31, f"first line\n{block}\nlast line"), (32, "\n".join(["many"] * 9))])

@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from millrace.llm import near_copies, simhash, toxicity
 from millrace.llm._common import materialize
-from test_llm_operators import brute_chunks, brute_decontaminate, brute_fingerprint, brute_pairs, check_packed
+from test_llm_operators import brute_decontaminate, brute_fingerprint, brute_runs, check_packed
 from tokenizers import Tokenizer
 
 
@@ -18,8 +18,8 @@ def brute_pipeline(spark, sf):
     docs = {d: t for d, t in docs.items() if d not in rejected}
     yield "toxicity", docs
     order = sorted(docs.items())
-    chunks, pairs = brute_chunks(spark, order), brute_pairs(order)
-    docs = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in chunks[(d, t)] | pairs[(d, t)]) for d, t in order}
+    gone = brute_runs(spark, order)
+    docs = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[(d, t)]) for d, t in order}
     yield "line_dedup", docs
     prints, shingles = {d: brute_fingerprint(t) for d, t in docs.items()}, {}
     for d, t in docs.items():
@@ -83,15 +83,13 @@ def test_stages_on_empty_and_repeated_rows(spark):
             d = materialize(stage(spark, d, sf))
 
 
-def test_line_dedup_leaves_no_repeat(spark):
+def test_line_dedup_rows(spark):
     lines = [f"line {i} of the passage" for i in range(9)]
-    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (9, "x\nx\nx\nx"), (10, "lone line"), (11, "lone line"), (12, None)]
-    rows += [(3 + i, f"before {i}\n{lines[i]}\n\n{lines[i + 1]}\nafter {i}") for i in range(6)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (None, "first\n" + "\n".join(lines)), (10, "lone line"), (11, "lone line"), (12, None), (13, "x\ny"), (14, "x\n\ny"), (15, "y\nx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
-    assert out.pop(1) == "\n".join(lines) and out.pop(2) == "" and out.pop(9) == "x\nx"
-    assert out.pop(10) == out.pop(11) == "lone line" and out.pop(12) is None
-    assert out == {3 + i: f"before {i}\nafter {i}" for i in range(6)}
+    assert out.pop(None) == rows[2][1] and out.pop(1) == "" and out.pop(2) == ""
+    assert out == {10: "lone line", 11: "lone line", 12: None, 13: "x\ny", 14: "", 15: "y\nx"}
 
 
 def test_near_dedup_drops_near_copies_beyond_two_bits(spark):

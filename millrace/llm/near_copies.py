@@ -1,9 +1,12 @@
 """Links between near copies: MinHash bands over 5-word shingles, then the exact Jaccard similarity of the shingle sets.
 
 Texts with JACCARD share a band with a probability of 0.9998. Groups of up to MAX_PAIRED texts in a band give all their
-pairs; in a larger one each text is held against the middle one, which has most texts in the groups of its other bands:
-edited copies of a text have less in common with each other than with the text. So rows grow in proportion to texts.
-Only the texts of candidate pairs are read again.
+pairs. In a larger group each text is first held against the middle one, which has most texts in the groups of its other
+bands, and texts that turn out linked, however indirectly, need not be compared with each other. What is still apart in
+such a group is compared exactly: shingles are put in order, rarest first, and a pair with the similarity has its first
+common shingle near the start of both texts (prefix and position filters), so texts are joined on these few shingles.
+That is certain to find every pair that is left, whatever the texts have in common besides; only pairs of texts that
+aren't linked yet are formed. Only the texts of candidate pairs are read again.
 """
 
 from __future__ import annotations
@@ -11,11 +14,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm._common import annotate, materialize, raw_texts, release, small
+from millrace.llm.components import components
 
 SHINGLE = 5
 JACCARD = 0.8
@@ -47,8 +51,54 @@ def bands(raw: bytes | None) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text_key, grams), written, of the texts in the written table wanted."""
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(small(wanted), "text_key").dropDuplicates(["text_key"])
+    made = annotate(texts, ["text"], [("grams", LONGS)], lambda texts: [pa.array([grams(r).view(np.int64) for r in raw_texts(texts)], pa.list_(pa.int64()))], ["text_key"])
+    return materialize(made.select("row.text_key", "res.grams"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """(u, v), written: the fingerprints of the pairs of nodes whose shingle sets have that similarity."""
+    of = lambda k: sets.select(F.col("text_key").alias(f"{k}_key"), F.col("grams").alias(f"{k}_grams")).hint("merge")
+    both = pairs.select("u", "v", F.col("u.text_key").alias("u_key"), F.col("v.text_key").alias("v_key")).join(of("u"), "u_key").join(of("v"), "v_key")
+    n, total = F.size(F.array_intersect("u_grams", "v_grams")), F.size("u_grams") + F.size("v_grams")
+    return materialize(both.where(n >= F.lit(jaccard) * (total - n)).select(F.col("u.fp").alias("u"), F.col("v.fp").alias("v")))
+
+
+def _apart(hot: DataFrame, found: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """(u, v), written: pairs of nodes of the groups hot (key, node) that found doesn't link and that may be similar."""
+    roots = components(found.distinct())
+    named = hot.join(roots.withColumnsRenamed({"u": "fp", "v": "root"}).hint("merge"), F.col("node.fp") == F.col("fp"), "left")
+    named = materialize(named.select("key", "node", F.coalesce("root", "node.fp").alias("root")))
+    # a pair that is apart has a text outside the largest set of linked texts of some group
+    counts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("sets"))
+    counts = materialize(counts.where("sets > 1").select("key", "main"))
+    nodes = named.join(counts.hint("merge"), "key").groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("lone"))
+    nodes = materialize(nodes.select("node", "root", "lone", F.col("node.text_key").alias("text_key")))
+    each = nodes.join(sets.hint("merge"), "text_key").select("node", "root", "lone", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    each = materialize(each)
+    shared = materialize(each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    # shingles of no other text come first; then by how many texts have them
+    of_text = Window.partitionBy("node")
+    place = F.col("size") - F.count(F.lit(1)).over(of_text) + F.row_number().over(of_text.orderBy("texts", "gram")) - 1
+    placed = each.join(shared.hint("merge"), "gram").withColumn("place", place)
+    least = lambda share: F.ceil(F.col("size") * share - 1e-9)  # noqa: E731  shingles that a pair must have in common, for the size of one text
+    as_long, as_short = F.col("size") - least(jaccard), F.col("size") - least(2 * jaccard / (1 + jaccard))
+    placed = materialize(placed.where(F.col("place") <= as_long).withColumn("early", F.col("place") <= as_short))
+    short, long = placed.where("early").alias("a"), placed.alias("b")
+    left: Column = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    fits = (F.col("a.size") <= F.col("b.size")) & (F.col("b.size") * jaccard <= F.col("a.size") + 1e-9) & (left + 1e-9 >= (F.col("a.size") + F.col("b.size")) * (jaccard / (1 + jaccard)))
+    met = lambda a, b, one: a.join(b, "gram").where((F.col("a.root") != F.col("b.root")) & fits & one).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+    # one of the two is outside the largest set: join those with all, never the largest set with itself
+    pairs = met(short.where("lone"), long, F.lit(True)).union(met(short.where("NOT lone"), long.where("lone"), F.lit(True)))
+    out = materialize(pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    release(roots, named, counts, nodes, each, shared, placed)
+    return out
+
+
 def links(docs: DataFrame, marked: DataFrame, jaccard: float = JACCARD, max_paired: int = MAX_PAIRED) -> DataFrame:
-    """Edges (u, v), u > v, between the fingerprints of texts with that similarity. marked: text_key, fp, bands of the rows of docs."""
+    """Edges (u, v), u > v, that connect the fingerprints of texts with that similarity. marked: text_key, fp, bands of the rows of docs."""
     node = F.struct("fp", "text_key").alias("node")
     keyed = materialize(marked.select(node, F.explode("bands").alias("key")).distinct())
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -61,13 +111,12 @@ def links(docs: DataFrame, marked: DataFrame, jaccard: float = JACCARD, max_pair
     star = hot.join(middle.hint("merge"), "key").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))
     pairs = a.join(b, "key").select("u", "v").union(star).where((F.col("u") > F.col("v")) & (F.col("u.fp") != F.col("v.fp")))
     pairs = materialize(pairs.distinct())
-    wanted = materialize(pairs.select(F.explode(F.array("u.text_key", "v.text_key")).alias("text_key")).distinct())
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(small(wanted), "text_key").dropDuplicates(["text_key"])
-    sets = annotate(texts, ["text"], [("grams", LONGS)], lambda texts: [pa.array([grams(r).view(np.int64) for r in raw_texts(texts)], pa.list_(pa.int64()))], ["text_key"])
-    sets = materialize(sets.select("row.text_key", "res.grams"))
-    of = lambda k: sets.select(F.col("text_key").alias(f"{k}_key"), F.col("grams").alias(f"{k}_grams"))
-    both = pairs.select("u", "v", F.col("u.text_key").alias("u_key"), F.col("v.text_key").alias("v_key")).join(of("u"), "u_key").join(of("v"), "v_key")
-    n, total = F.size(F.array_intersect("u_grams", "v_grams")), F.size("u_grams") + F.size("v_grams")
-    found = materialize(both.where(n >= F.lit(jaccard) * (total - n)).select(F.col("u.fp").alias("u"), F.col("v.fp").alias("v")))
-    release(keyed, sizes, shared, middle, pairs, wanted, sets)
-    return found
+    wanted = pairs.select(F.explode(F.array("u.text_key", "v.text_key")).alias("text_key")).union(hot.select("node.text_key"))
+    wanted = materialize(wanted.distinct())
+    sets = _shingle_sets(docs, wanted)
+    found = _similar(pairs, sets, jaccard)
+    apart = _apart(hot.select("key", "node"), found, sets, jaccard)
+    more = _similar(apart, sets, jaccard)
+    out = materialize(found.union(more).distinct())
+    release(keyed, sizes, shared, middle, pairs, wanted, sets, found, apart, more)
+    return out

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import near_copies
-from millrace.llm._common import annotate, materialize, raw_texts, release, shared_dir, small
+from millrace.llm._common import annotate, materialize, raw_texts, release, small
+from millrace.llm.components import components
 
 SEED = 42
 SHINGLE = 3
@@ -55,7 +56,7 @@ def _hamming(a: Column, b: Column) -> Column:
 
 
 def links(nodes: DataFrame, distance: int = 2, blocks: int = 4, max_paired: int = MAX_PAIRED) -> DataFrame:
-    """Edges (u, v), u > v, that connect all fingerprints `fp` of nodes within `distance` (2 at most) bits."""
+    """Edges (u, v), u > v, written, that connect all fingerprints `fp` of nodes within `distance` (2 at most) bits."""
     if not 0 < distance <= 2 or blocks <= distance:
         raise ValueError("distance must be 1 or 2, and blocks more than that")
     width = 64 // blocks
@@ -63,37 +64,23 @@ def links(nodes: DataFrame, distance: int = 2, blocks: int = 4, max_paired: int
     kept = [reduce(or_, chosen) for chosen in combinations(masks, blocks - distance)]
     signed = [m - (1 << 64) if m >> 63 else m for m in kept]
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("part", "key"))
-    sizes = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["part", "key"])
+    # written tables: both sides of the joins are then plain exchanges, whose hot partitions Spark splits
+    sizes = materialize(keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = materialize(keyed.join(sizes.hint("merge"), ["part", "key"]))
     few = shared.where(F.col("n") <= max_paired)
     a, b = few.select("part", "key", F.col("fp").alias("u")), few.select("part", "key", F.col("fp").alias("v"))
     paired = a.join(b, ["part", "key"]).where((F.col("u") > F.col("v")) & (_hamming(F.col("u"), F.col("v")) <= distance)).select("u", "v")
     hot = shared.where(F.col("n") > max_paired).select("fp").distinct()
     one_bit = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)]]
     meets = hot.select("fp", F.explode(F.array(*one_bit)).alias("z"))
-    least = meets.groupBy("z").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = meets.join(least, "z").where((F.col("fp") != F.col("v")) & (_hamming(F.col("fp"), F.col("v")) <= 2))
+    least = materialize(meets.groupBy("z").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    met = meets.join(least.hint("merge"), "z").where((F.col("fp") != F.col("v")) & (_hamming(F.col("fp"), F.col("v")) <= 2))
     if distance == 1:
         # the least node met may lie 2 bits away: link along single changed bits between nodes instead
         met = meets.join(hot.select(F.col("fp").alias("v")), F.col("z") == F.col("v")).where("fp > v")
-    return paired.union(met.select(F.col("fp").alias("u"), "v")).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): every node that is not the least of its component, with that least node, by alternating stars."""
-    shared_dir(edges.sparkSession)
-    edges, state = edges.checkpoint(), None
-    while True:
-        found = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if found.n == 0 or (found.n, found.h) == state:
-            return edges
-        state = (found.n, found.h)
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = small.distinct().checkpoint()
+    out = materialize(paired.union(met.select(F.col("fp").alias("u"), "v")).distinct())
+    release(sizes, shared, least)
+    return out
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:
@@ -105,17 +92,20 @@ def near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4) -> Data
     """
     marked = materialize(fingerprints(docs.select("doc_id", "text")).select("row.doc_id", "res.fp"))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # a written table: both sides of the join are then plain exchanges, whose hot partitions Spark splits
-    classes = materialize(_classes(nodes, distance, blocks)).hint("merge")
+    classes = _classes(nodes, distance, blocks).hint("merge")
     return marked.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def _classes(nodes: DataFrame, distance: int, blocks: int, more: DataFrame | None = None) -> DataFrame:
-    """(fp, root, component_id) of each node (fp, least); more: edges besides those of links()."""
+    """(fp, root, component_id), written, of each node (fp, least); more: edges besides those of links()."""
     edges = links(nodes, distance, blocks)
-    stars = components(edges if more is None else edges.union(more).distinct()).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    stars = components(edges if more is None else edges.union(more).distinct())
+    rooted = nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
+    rooted = materialize(rooted.withColumn("root", F.coalesce("root", "fp")))
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    out = materialize(rooted.join(least.hint("merge"), "root").select("fp", "root", "component_id"))
+    release(edges, stars, rooted, least)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4, jaccard: float | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import corpus_pipeline
 import public_tokenizers
+import pytest
 from millrace.llm import near_copies, simhash, toxicity
 from millrace.llm._common import materialize
 from test_llm_operators import brute_decontaminate, brute_fingerprint, brute_runs, check_packed
@@ -108,7 +109,8 @@ def test_near_dedup_drops_near_copies_beyond_two_bits(spark):
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == {*range(0, 60, 2), 90, 91, 92}
     marked = [(simhash.fingerprint(t.encode()), near_copies.bands(t.encode()), t) for _, t in rows]
     marked = materialize(spark.createDataFrame(marked, "fp long, bands array<long>, text string").selectExpr("fp", "bands", "xxhash64(text) as text_key"))
-    assert {(r.u, r.v) for r in near_copies.links(docs, marked).collect()} == {(r.u, r.v) for r in near_copies.links(docs, marked, max_paired=1).collect()}
+    whole = {(r.u, r.v) for r in simhash.components(near_copies.links(docs, marked)).collect()}
+    assert whole and whole == {(r.u, r.v) for r in simhash.components(near_copies.links(docs, marked, max_paired=1)).collect()}
 
 
 def test_near_dedup_ties(spark):
@@ -121,22 +123,77 @@ def test_near_dedup_ties(spark):
     assert sorted(map(str, kept)) == sorted(map(str, again))
 
 
-def test_large_groups_of_near_copies_stay_whole(spark):
+def marked_texts(spark, rows):
+    marked = [(simhash.fingerprint(t.encode()), near_copies.bands(t.encode()), t) for _, t in rows]
+    return materialize(spark.createDataFrame(marked, "fp long, bands array<long>, text string").selectExpr("fp", "bands", "xxhash64(text) as text_key"))
+
+
+def exact_groups(spark, rows):
+    """Linked fingerprints with the least of their group, from all pairs."""
+    sets = {simhash.fingerprint(t.encode()): set(near_copies.grams(t.encode()).tolist()) for _, t in rows}
+    exact = [(max(a, b), min(a, b)) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return set(exact), grouped(spark.createDataFrame(exact, "u long, v long"))
+
+
+def grouped(edges):
+    return {(r.u, r.v) for r in simhash.components(edges).collect()}
+
+
+def random_words(rng, n, of=900):
+    return [rng.choice("abcdefgh") + str(rng.randrange(of)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("max_paired", [8, 64])
+def test_large_groups_of_near_copies_stay_whole(spark, max_paired):
     rng = random.Random(15)
     rows, ids = [], iter(rng.sample(range(10_000), 400))
     for _ in range(2):  # two texts, each with many copies that differ in four words, and so have 0.66 in common with each other
-        words = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(200)]
+        words = random_words(rng, 200)
         rows.append((next(ids), " ".join(words)))
         for _ in range(90):
             copy = [*words]
             for at in rng.sample(range(6, 194, 12), 4):
                 copy[at] = "changed" + str(rng.randrange(10**6))
             rows.append((next(ids), " ".join(copy)))
-    marked = [(simhash.fingerprint(t.encode()), near_copies.bands(t.encode()), t) for _, t in rows]
-    marked = materialize(spark.createDataFrame(marked, "fp long, bands array<long>, text string").selectExpr("fp", "bands", "xxhash64(text) as text_key"))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    links = {(r.u, r.v) for r in near_copies.links(docs, marked, max_paired=8).collect()}
-    sets = {simhash.fingerprint(t.encode()): set(near_copies.grams(t.encode()).tolist()) for _, t in rows}
-    exact = {(max(a, b), min(a, b)) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    grouped = lambda edges: {(r.u, r.v) for r in simhash.components(spark.createDataFrame(sorted(edges), "u long, v long")).collect()}
-    assert links <= exact and len(grouped(exact)) > 170 and grouped(links) == grouped(exact)
+    found = near_copies.links(spark.createDataFrame(rows, "doc_id long, text string"), marked_texts(spark, rows), max_paired=max_paired)
+    exact, want = exact_groups(spark, rows)
+    assert {(r.u, r.v) for r in found.collect()} <= exact and len(want) > 170 and grouped(found) == want
+
+
+@pytest.mark.parametrize("max_paired", [4, 64, 10**6])
+def test_pairs_in_a_common_template_are_found(spark, max_paired):
+    # 100 pairs of texts that share most of their words with all others: pairs have 0.8 in common, texts of two pairs less
+    rng = random.Random(16)
+    template, rows = random_words(rng, 435), []
+    for i in range(100):
+        own = random_words(rng, 65, 10**6)
+        near = [*own]
+        near[rng.randrange(65)] = "changed"
+        rows += [(2 * i, " ".join([*template, *own])), (2 * i + 1, " ".join([*template, *near]))]
+    # texts of other lengths, some of which are near to several
+    for i, cut in enumerate((40, 60, 80, 90, 100, 110)):
+        rows += [(300 + i, " ".join(template[cut:] + random_words(rng, 30, 10**6))), (400 + i, " ".join(template + random_words(rng, cut, 10**6)))]
+    found = near_copies.links(spark.createDataFrame(rows, "doc_id long, text string"), marked_texts(spark, rows), max_paired=max_paired)
+    exact, want = exact_groups(spark, rows)
+    assert {(r.u, r.v) for r in found.collect()} <= exact and len(want) >= 100 and grouped(found) == want
+
+
+def test_near_copies_of_random_edits_equal_all_pairs(spark):
+    rng = random.Random(17)
+    rows = []
+    for g in range(3):
+        base = random_words(rng, 120)
+        for i in range(60):
+            copy = base[rng.choice([0, 0, 3, 8]) : 120 - rng.choice([0, 0, 5, 10])]
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+                copy[rng.randrange(len(copy))] = "edit" + str(rng.randrange(50))
+            rows.append((100 * g + i, " ".join(copy)))
+    found = near_copies.links(spark.createDataFrame(rows, "doc_id long, text string"), marked_texts(spark, rows), max_paired=5)
+    exact, want = exact_groups(spark, rows)
+    assert {(r.u, r.v) for r in found.collect()} <= exact and grouped(found) == want
+
+
+def test_components_of_a_star(spark):
+    edges = spark.range(1, 100_001).selectExpr("id as u", "0L as v")
+    found = simhash.components(edges)
+    assert found.count() == 100_000 and found.agg({"v": "max"}).first()[0] == 0

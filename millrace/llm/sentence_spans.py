@@ -150,17 +150,15 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(hashed: DataFrame) -> DataFrame:
-    """(doc_id, gone, firsts): the runs (h1) of a document that one with a smaller doc_id holds, and those doc_ids."""
-    runs = hashed.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("r")).select("doc_id", "r.*")
-    least, missing = F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull().cast("int")).alias("missing")
-    known = runs.groupBy("h1", "h2").agg(least, F.max("doc_id").alias("greatest"), missing)
-    known = known.where((F.col("least") < F.col("greatest")) | ((F.col("missing") == 1) & F.col("least").isNotNull()))
-    first = F.when(F.col("missing") == 0, F.col("least"))
+    """(doc_id, text_key, gone, firsts), written: the runs (h1, h2) of a document that an earlier one holds, and the doc_ids of the earliest."""
+    place = F.struct("doc_id", "text_key").alias("place")
+    runs = hashed.select(place, F.explode(F.arrays_zip("h1", "h2")).alias("r")).select("place", "r.*")
+    known = runs.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("greatest")).where("first < greatest")
     # a written table: both sides of the join are then plain exchanges, whose hot partitions Spark splits, at every size
-    known = materialize(known.select("h1", "h2", first.alias("first")))
-    later = runs.join(known.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = later.groupBy("doc_id").agg(F.collect_set("h1").alias("gone"), F.array_sort(F.collect_set("first")).alias("firsts"))
-    gone = materialize(gone)
+    known = materialize(known.select("h1", "h2", "first"))
+    later = runs.join(known.hint("merge"), ["h1", "h2"]).where("place <> first")
+    firsts = F.array_sort(F.collect_set("first.doc_id")).alias("firsts")
+    gone = materialize(later.groupBy("place.doc_id", "place.text_key").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"), firsts))
     release(known)
     return gone
 
@@ -168,17 +166,17 @@ def _repeated(hashed: DataFrame) -> DataFrame:
 def dedup_sentences(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, text (without the removed sentences), n_sentences, n_removed, repeats_of (sorted doc_ids).
 
-    The first occurrence of a run is that of the smallest doc_id (a null doc_id comes first), in it the first place.
-    Rows with one doc_id are versions of one document: they don't count as repeats of each other, so rows that are
-    equal are treated alike. repeats_of holds the documents of the first occurrences, the document's own id for a repeat
+    The first occurrence of a run is that of the smallest doc_id (a null doc_id comes first; of several texts with one
+    doc_id, that of the smallest hash of the text), in it the first place. Rows are told apart by doc_id and text: rows
+    equal in both are one document and are treated alike. repeats_of holds the documents of the first occurrences, the document's own id for a repeat
     inside it, and no nulls. Null texts stay null with 0 sentences; a text of white space alone has none either; a text
     may become empty. An empty table gives no rows.
     """
     hashed = materialize(_hashed(docs))
     gone = _repeated(hashed)
     each = hashed.groupBy("doc_id", "text_key").agg(F.max("n_sentences").alias("n_sentences"), F.max("inside").alias("inside"))
-    found = gone.withColumnRenamed("doc_id", "gone_id")
-    each = each.join(found, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
+    found = gone.withColumnsRenamed({"doc_id": "gone_id", "text_key": "gone_key"})
+    each = each.join(found, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left").drop("gone_id", "gone_key")
     each = materialize(each.withColumnsRenamed({"doc_id": "at_id", "text_key": "at_key"}))
     release(hashed, gone)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
@@ -196,7 +194,8 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
             for k, words in enumerate(chunk):
                 i = next(touched)
                 of = slice(int(ends[k] - s.sentences[k]), int(ends[k]))
-                gone, own[i] = _covered(s, slice(at[k], at[k + 1]), of, set(starts[i] or ()))
+                known = {(r["h1"], r["h2"]) for r in starts[i] or ()}
+                gone, own[i] = _covered(s, slice(at[k], at[k + 1]), of, known)
                 if gone.any():
                     cut = [0, *(s.ends[of] - base[k]).tolist()]
                     kept[i] = "".join(["".join(words[a:b]) for a, b, g in zip(cut, cut[1:], gone.tolist()) if not g])
@@ -209,12 +208,12 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
     return made.select("row.doc_id", "res.text", "row.n_sentences", "res.n_removed", F.array_sort(F.array_compact(firsts)).alias("repeats_of"))
 
 
-def _covered(s: Spans, runs: slice, sentences: slice, gone: set[int]) -> tuple[np.ndarray, bool]:
+def _covered(s: Spans, runs: slice, sentences: slice, gone: set[tuple[int, int]]) -> tuple[np.ndarray, bool]:
     """Which of a text's sentences stand in one of its runs that is in `gone` or comes again in it; whether one comes again."""
     drop, seen, repeats = np.zeros(sentences.stop - sentences.start, dtype=bool), set(), False
     first, last = s.first[runs] - sentences.start, s.last[runs] - sentences.start
     for h1, h2, i, j in zip(s.h1[runs].tolist(), s.h2[runs].tolist(), first.tolist(), last.tolist()):
-        if h1 in gone:
+        if (h1, h2) in gone:
             drop[i:j] = True
         elif (h1, h2) in seen:
             drop[i:j] = repeats = True

@@ -609,6 +609,19 @@ def test_substring_dedup_keeps_repeats_inside_the_first_place(spark):
     assert out[1].text == f"{run} Between these two here. " and out[1].repeats_of == [1] and out[2].repeats_of == []
 
 
+def test_substring_dedup_tells_rows_without_an_id_and_versions_apart(spark):
+    run = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. A b c d e f g h."
+    rows = [(None, f"{x} {run}") for x in ("First row.", "Second row.", "Third row.")] + [(5, f"{x} {run}") for x in ("Old.", "New.")] + [(5, f"Old. {run}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in sentence_spans.dedup_sentences(docs).select("doc_id", "text", "n_removed").collect()]
+    assert len(out) == 6 and sum(t.endswith(run) for _, t, _ in out) == 1
+    assert sum(d is None and n > 0 for d, _, n in out) == 2 and all(n > 0 for d, _, n in out if d == 5)
+    versions = docs.where("doc_id = 5")
+    out = sorted(tuple(r) for r in sentence_spans.dedup_sentences(versions).select("text", "n_removed").collect())
+    # equal rows are alike; of two versions one keeps the passage
+    assert len({t for t, _ in out}) == 2 and {n > 0 for _, n in out} == {False, True}
+
+
 def test_substring_dedup_takes_the_end_of_a_copy(spark):
     text = "".join(f"Sentence {i} has these six words. " for i in range(4)) + "Short end. Last."
     assert sentence_spans.spans([sentence_spans.words_of(text)]).last[-1] == 6
@@ -690,7 +703,7 @@ def test_simhash_edges(spark):
 # op10
 
 
-def brute_runs(spark, docs):
+def brute_line_runs(spark, docs):
     """Removed line places by (id, text): the operator's line hash, plain Python for all else."""
     filled = {(d, t): [(i, x) for i, x in enumerate(t.split("\n")) if re.search(r"[^ \t\n\x0b\f\r]", x)] for d, t in docs if t is not None}
     lines = sorted({x for f in filled.values() for _, x in f})
@@ -722,7 +735,7 @@ def brute_runs(spark, docs):
 
 def test_line_dedup_equals_brute_force(spark, sf, texts):
     order = sorted(texts.items())
-    gone = brute_runs(spark, order)
+    gone = brute_line_runs(spark, order)
     rows = {r.doc_id: r for r in queries.op10_line_dedup(spark, sf).collect()}
     assert len(rows) == len(texts) and any(gone.values())
     for d, t in order:
@@ -740,7 +753,7 @@ def test_line_dedup_comes_through_chunks(spark, monkeypatch):
     rows += [(200 + i, "\n".join(p)) for i, p in enumerate(passages)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     removed = lambda: {r.row.doc_id: r.res.n_removed for r in line_chunks.dedup_lines(docs).collect()}
-    by, gone = removed(), brute_runs(spark, rows)
+    by, gone = removed(), brute_line_runs(spark, rows)
     assert by == {i: len(gone[(i, t)]) for i, t in rows}
     # shifted passages of 12 lines go as a whole, the lines around them stay, and so does what comes first
     assert all(by[i] == 0 and by[100 + i] == 13 for i in range(20)) and sum(by[200 + i] == 12 for i in range(20)) == 20

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from millrace.llm import near_copies, simhash, toxicity
 from millrace.llm._common import materialize
-from test_llm_operators import brute_decontaminate, brute_fingerprint, brute_runs, check_packed
+from test_llm_operators import brute_decontaminate, brute_fingerprint, brute_line_runs, check_packed
 from tokenizers import Tokenizer
 
 
@@ -19,7 +19,7 @@ def brute_pipeline(spark, sf):
     docs = {d: t for d, t in docs.items() if d not in rejected}
     yield "toxicity", docs
     order = sorted(docs.items())
-    gone = brute_runs(spark, order)
+    gone = brute_line_runs(spark, order)
     docs = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[(d, t)]) for d, t in order}
     yield "line_dedup", docs
     prints, shingles = {d: brute_fingerprint(t) for d, t in docs.items()}, {}

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.selection import SORTED, Order, first_rows, orders, slice_rows
 from millrace.sources.shared import materialize
 
 
@@ -103,18 +104,21 @@ def sort_result(df: DataFrame, sort: str, columns: dict[str, str], pushed: str,
 
 def page_of(df: DataFrame, sort: str, columns: dict[str, str], key: str, page: int, per_page: int, descending: bool = True) -> DataFrame:
     """A page; numbers past the ends are clamped; nulls last, ties by ascending id. Carries `page` and `pages`."""
-    order = F.col(columns[sort]).desc_nulls_last() if descending else F.col(columns[sort]).asc_nulls_last()
     pages = max(1, -(-df.count() // per_page))
     page = min(max(1, page), pages)
-    return slice_page(df, [order, F.col(key)], page, per_page).withColumns({"page": F.lit(page), "pages": F.lit(pages)})
+    return slice_page(df, [Order(columns[sort], descending), Order(key)], page, per_page).withColumns({"page": F.lit(page), "pages": F.lit(pages)})
 
 
 def slice_page(df: DataFrame, order: list, page: int, per_page: int) -> DataFrame:
-    """A page without clamping; one past the end is empty.
+    """A page without clamping, by names (ascending, nulls first) or Order keys; one past the end is empty.
 
-    A top-k of the rows up to the page's end, for pages near the start. `page_after` goes on from any page at the cost of one.
+    A top-k of the rows up to the page's end for pages near the start; the rows of a deeper page are found by their place
+    (see selection). `page_after` goes on from any page at the cost of one.
     """
-    return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
+    stop = page * per_page
+    if stop > SORTED:
+        return slice_rows(df, order, stop - per_page, stop)
+    return df.orderBy(*[k.sorted for k in orders(order)]).offset(stop - per_page).limit(per_page)
 
 
 def page_after(df: DataFrame, column: str, key: str, last: tuple | None, per_page: int, descending: bool = True) -> DataFrame:
@@ -134,12 +138,14 @@ def page_after(df: DataFrame, column: str, key: str, last: tuple | None, per_pag
 def cap(df: DataFrame, order: list, max_rows: int, max_detail: int) -> tuple[DataFrame, DataFrame]:
     """(the first max_rows rows, one row with the numbers of dropped rows and of kept rows beyond max_detail).
 
-    The limit is a top-k: max_rows, a parameter of tens of thousands, bounds what the last task sees.
+    A small cap is a top-k. For a larger one the rows, written once, are filtered by the key of the last row that stays.
     """
+    if max_rows > SORTED:
+        df = materialize(df)
     n = F.count(F.lit(1))
     kept = F.least(n, F.lit(max_rows))
     counts = df.agg((n - kept).alias("dropped"), F.greatest(kept - max_detail, F.lit(0)).cast("long").alias("not_detailed"))
-    return df.orderBy(*order).limit(max_rows), counts
+    return (first_rows(df, order, max_rows) if max_rows > SORTED else df.orderBy(*[k.sorted for k in orders(order)]).limit(max_rows)), counts
 
 
 def top_items(df: DataFrame, stars: str, key: str, n: int) -> DataFrame:

@@ -12,6 +12,7 @@ from millrace.functions.predicates import DROP, KEEP, UNKNOWN
 from millrace.functions.scalars import epoch_s, iso_utc, span_text
 from millrace.operators.merge import dedupe_latest
 from millrace.operators.relational import cap, latest_ready, sort_result
+from millrace.operators.selection import Order
 from millrace.sources.shared import materialize
 
 # Cost of each filter; those above PAGE_COST aren't run at depth "page".
@@ -233,7 +234,7 @@ def build_corpus(records: DataFrame, spec: CorpusSpec) -> tuple[DataFrame, DataF
     """(items, funnel, warnings): collect, dedupe by id, rank, cap, filter, sort."""
     c = spec.columns
     found = dedupe_latest(records.where(spec.predicate), c["id"], c["seq"], c["pushed"])
-    order = [F.coalesce(F.col(c["stars"]), F.lit(0)).desc(), F.coalesce(F.col(c["pushed"]).cast("string"), F.lit("")).desc(), F.col("position")]
+    order = [Order(F.coalesce(F.col(c["stars"]), F.lit(0)), True), Order(F.coalesce(F.col(c["pushed"]).cast("string"), F.lit("")), True), Order("position")]
     kept, counts = cap(found, order, spec.max_candidates, spec.max_detail)
     survivors, funnel = run_filters(kept, spec.filters, spec.depth)
     unknown = funnel.agg(F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown"))

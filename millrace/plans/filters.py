@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from millrace.functions import predicates as P
 from millrace.functions import scalars as S
 from millrace.operators import geo, lint, relational, runs, windows
 from millrace.plans.registry import Tables, query
-from millrace.sources import records, shared
+from millrace.sources import records, shared, snapshots
 from millrace.streaming import streams
 
 ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
@@ -38,7 +41,8 @@ def _(t):
     run = F.when(F.col("o_orderstatus") == "P", 7).otherwise(8)
     items = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").alias("stargazers"), F.col("o_orderkey").alias("repo_id"), run.alias("run_id"))
     path = shared.scratch(t.spark)
-    items.write.partitionBy("run_id").parquet(path)
+    for run_id in (7, 8):
+        snapshots.snapshot_run(items.where(F.col("run_id") == run_id).drop("run_id"), run_id, path)
     found = relational.number_rows(records.read_run_items(t.spark, path, 7), "nth")
     return found.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("stargazers").alias("o_totalprice"), "nth")
 
@@ -72,8 +76,23 @@ def _(t):
     path = shared.scratch(t.spark)
     items = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
     for run_id, flag in ((1, "N"), (2, "A"), (1, "R")):  # run 1 is written again, run 2 stays
-        records.snapshot_run(items.where(F.col("l_returnflag") == flag).drop("l_returnflag"), run_id, path)
-    return t.spark.read.parquet(path)
+        snapshots.snapshot_run(items.where(F.col("l_returnflag") == flag).drop("l_returnflag"), run_id, path)
+    return snapshots.read_snapshots(t.spark, path)
+
+
+@query("s10_empty_and_failed_runs", "SELECT l_orderkey, l_linenumber, 3 AS run_id FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, l_linenumber, 4 FROM lineitem WHERE l_returnflag = 'R'")
+def _(t):
+    path = shared.scratch(t.spark)
+    items = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
+    of = lambda flag: items.where(F.col("l_returnflag") == flag).drop("l_returnflag")
+    for run_id, flag in ((2, "N"), (3, "A"), (4, "R")):
+        snapshots.snapshot_run(of(flag), run_id, path, "first")
+    snapshots.snapshot_run(of("none"), 2, path)  # run 2 becomes empty
+    stops = F.when(F.col("l_orderkey") % 50 == 33, F.raise_error(F.lit("stopped"))).otherwise(F.col("l_linenumber"))
+    with contextlib.suppress(PySparkException):  # run 3 stays as it was
+        snapshots.snapshot_run(of("N").withColumn("l_linenumber", stops), 3, path)
+    snapshots.snapshot_run(of("N"), 4, path, "first")  # the same attempt again changes nothing
+    return snapshots.read_snapshots(t.spark, path)
 
 
 @query("s11_read_paths", "SELECT DISTINCT page_id % 20 AS repo_id, regexp_replace(url, '[?#].*$', '') AS path, false AS truncated FROM pages WHERE page_id % 3 <> 0")

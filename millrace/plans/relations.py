@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from millrace.functions import predicates as P
-from millrace.operators import logs, merge, relational as R, runs, windows
+from millrace.operators import logs, merge, relational as R, runs, selection, windows
+from millrace.operators.selection import Order
 from millrace.plans.filters import ORDER
 from millrace.plans.registry import Tables, query
 
@@ -233,10 +234,25 @@ def _(t):
 
 @query("o05_cap", "SELECT greatest(count(*) - 1000, 0) AS dropped, greatest(least(count(*), 1000) - 400, 0) AS not_detailed, 0 + (SELECT sum(k) FROM (SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000))::BIGINT AS keys FROM orders")
 def _(t):
-    kept, counts = R.cap(t.orders, [F.desc("o_totalprice"), "o_orderkey"], 1000, 400)
+    kept, counts = R.cap(t.orders, [Order("o_totalprice", descending=True), Order("o_orderkey")], 1000, 400)
     return counts.crossJoin(kept.agg(F.sum("o_orderkey").alias("keys")))  # one row each
 
 
+@query("o03_deep_page", """WITH s AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS i, count(*) OVER () AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM s WHERE i >= n * 2 // 3 AND i < n * 2 // 3 + 200""")
+def _(t):
+    """A page from the second third on, found by place; ties of day and price are told apart by the key."""
+    keys = [Order("l_shipdate"), Order("l_extendedprice", descending=True), Order("l_orderkey"), Order("l_linenumber")]
+    start = t.lineitem.count() * 2 // 3
+    return selection.slice_rows(t.lineitem, keys, start, start + 200, most=1000).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("o05_large_cap", """WITH s AS (SELECT *, row_number() OVER (ORDER BY l_quantity DESC, l_extendedprice, l_orderkey, l_linenumber) AS i, count(*) OVER () AS n FROM lineitem) SELECT l_orderkey, l_linenumber, l_quantity FROM s WHERE i <= n // 2""")
+def _(t):
+    keys = [Order("l_quantity", descending=True), Order("l_extendedprice"), Order("l_orderkey"), Order("l_linenumber")]
+    return selection.first_rows(t.lineitem, keys, t.lineitem.count() // 2, most=1000).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 @query("o06_top_items", f"SELECT {_COLS} FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100")
 def _(t):
     return R.top_items(t.orders, "o_totalprice", "o_orderkey", 100).select(*ORDER)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import coerce_count, commit_count_of, csv_cell, last_segment, parse_ts
+from millrace.sources.snapshots import read_snapshots
 
 # Names of the raw fields of each kind, and the columns that they become.
 COUNTS = {"stargazers_count": "stargazers", "forks_count": "forks_count", "watchers_count": "watchers", "open_issues_count": "open_issues"}
@@ -111,7 +112,7 @@ def read_scope(df: DataFrame, owner_col: str, org: str | None = None, user: str
 
 def read_run_items(spark: SparkSession, path: str, run_id: int) -> DataFrame:
     """Frozen items of a run, most stars first, then by id."""
-    return spark.read.parquet(path).where(F.col("run_id") == run_id).orderBy(F.desc_nulls_last("stargazers"), "repo_id")
+    return read_snapshots(spark, path, [run_id]).orderBy(F.desc_nulls_last("stargazers"), "repo_id")
 
 
 def csv_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -136,11 +137,6 @@ def write_bundle(items: DataFrame, manifest: dict, path: str, raw: str | None, c
     reduce(lambda d, kv: d.withColumn(kv[0], F.lit(kv[1])), manifest.items(), stats).coalesce(1).write.json(f"{path}/manifest")
 
 
-def snapshot_run(items: DataFrame, run_id: int, path: str) -> None:
-    """Replace the items of one run; those of other runs stay."""
-    items.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
-
-
 def map_batches(df: DataFrame, key: str, fetch: Callable[[list], dict], size: int = 20, value: str = "string") -> DataFrame:
     """(key, value, error) of each row, by fetch(list of up to `size` keys) -> {key: value or exception}.
 

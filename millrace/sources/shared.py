@@ -55,3 +55,9 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty file, which is there whole or not at all."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True).close()

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import predicates as P
 from millrace.functions import scalars as S
-from millrace.operators import geo, lint, logs, merge, relational, runs, windows
-from millrace.sources import records
+from millrace.operators import geo, lint, logs, merge, relational, runs, selection, windows
+from millrace.sources import records, snapshots
 
 
 def ts(text):
@@ -305,7 +305,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{bundle}/items").count() == 2 and spark.read.json(f"{bundle}/manifest").first()["items"] == 2
     runs_path = str(tmp_path / "runs")
     for run in (1, 2, 1):
-        records.snapshot_run(df.where("repo_id = 1") if run == 1 else df, run, runs_path)
+        snapshots.snapshot_run(df.where("repo_id = 1") if run == 1 else df, run, runs_path)
     assert records.read_run_items(spark, runs_path, 2).count() == 2 and records.read_run_items(spark, runs_path, 1).count() == 1
     with pytest.raises(ValueError):
         records.read_scope(df, "full_name")
@@ -357,7 +357,7 @@ def test_pages_after_a_row(spark):
     rows = [(i, None if i % 4 == 0 else i % 3) for i in range(25)]
     df = spark.createDataFrame(rows, "id int, s int")
     for descending in (True, False):
-        want = [r.id for r in relational.slice_page(df, [F.col("s").desc_nulls_last() if descending else F.col("s").asc_nulls_last(), F.col("id")], 1, 25).collect()]
+        want = [r.id for r in relational.slice_page(df, [selection.Order("s", descending), "id"], 1, 25).collect()]
         got, last = [], None
         while page := relational.page_after(df, "s", "id", last, 4, descending).collect():
             got += [r.id for r in page]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import epoch_s
+from millrace.operators.slices import BLOCK, over_last, running
 
 # Fixed values: (direction, warn, fail) of each metric.
 THRESHOLDS = {
@@ -63,10 +64,13 @@ def nearest_rank_p95(log: DataFrame, value: str, order: list[str], n: int = 50)
     return last.agg(nearest_rank(F.sort_array(F.collect_list(value))).alias("p95"), F.count(F.lit(1)).alias("n"))
 
 
-def sliding_p95(log: DataFrame, key: str, value: str, order: list[str], n: int = 50) -> DataFrame:
-    """Each row with the nearest-rank p95 of the n samples of its key up to it."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return log.withColumn("p95", nearest_rank(F.sort_array(F.collect_list(value).over(w))))
+def sliding_p95(log: DataFrame, key: str, value: str, order: list[str], n: int = 50, block: int = BLOCK) -> DataFrame:
+    """Each row with the nearest-rank p95 of the n samples of its key up to it.
+
+    A key's rows go in blocks, each with the n - 1 rows before it.
+    """
+    last = lambda w: nearest_rank(F.sort_array(F.collect_list(value).over(w.rowsBetween(-(n - 1), 0))))
+    return over_last(log, key, order, n - 1, {"p95": last}, max(block, n)).drop("_i")
 
 
 def points_by_phase(log: DataFrame, phase: str = "phase", cost: str = "cost") -> DataFrame:
@@ -78,18 +82,20 @@ def fold_budget(log: DataFrame, cost: str = "cost", used: str = "used", remainin
     return log.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("cost"), F.max(used).alias("used"), F.min(remaining).alias("remaining"))
 
 
-def hit_streaks(log: DataFrame, key: str, order: list[str], status: str = "status", ts: str = "ts", gap: int = 600) -> DataFrame:
-    """Throttle hits (403, 429) with `streak` and `total` per key; a longer gap or a success starts the streak anew."""
-    w = Window.partitionBy(key).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+def hit_streaks(log: DataFrame, key: str, order: list[str], status: str = "status", ts: str = "ts", gap: int = 600, block: int = BLOCK) -> DataFrame:
+    """Throttle hits (403, 429) with `streak` and `total` per key; a longer gap or a success starts the streak anew.
+
+    A hit is fresh if the response before it is a success or is too long ago. The total is a running count of hits, and
+    the streak counts on from the total at the last fresh hit; both go in blocks of a key's rows.
+    """
     hit = F.col(status).isin(403, 429)
     ended = log.where(hit | F.col(status).between(200, 299) | (F.col(status) == 304)).withColumn("_hit", hit)
-    hits = ended.withColumn("_ok", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(upto)).where("_hit")
-    before, ok = F.lag(ts).over(w), F.lag("_ok").over(w)
-    fresh = before.isNull() | (ok != F.col("_ok")) | (epoch_s(ts) - epoch_s(before) > gap)
-    marked = hits.withColumn("_new", F.when(fresh, 1).otherwise(0)).withColumn("total", F.count(F.lit(1)).over(upto))
-    marked = marked.withColumn("_run", F.sum("_new").over(upto))
-    return marked.withColumn("streak", F.row_number().over(Window.partitionBy(key, "_run").orderBy(*order))).drop("_hit", "_ok", "_new", "_run")
+    back = lambda c: lambda w: F.lag(c).over(w)
+    seen = over_last(ended, key, order, 1, {"_before": back(ts), "_was_hit": back("_hit")}, block)
+    fresh = F.col("_hit") & ~F.coalesce(F.col("_was_hit") & (epoch_s(ts) - epoch_s("_before") <= gap), F.lit(False))
+    counted = running(seen.withColumn("_fresh", fresh), key, {"total": ("sum", F.col("_hit").cast("long"))}, block)
+    counted = running(counted, key, {"_since": ("max", F.when(F.col("_fresh"), F.col("total")))}, block)
+    return counted.where("_hit").withColumn("streak", F.col("total") - F.col("_since") + 1).drop("_hit", "_before", "_was_hit", "_fresh", "_since", "_i")
 
 
 def response_triage(log: DataFrame) -> DataFrame:

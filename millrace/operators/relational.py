@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.selection import SORTED, Order, first_rows, orders, slice_rows
+from millrace.operators.slices import BLOCK, over_last
 from millrace.sources.shared import materialize
 
 
@@ -166,14 +167,14 @@ def latest_ready(df: DataFrame, key: str, order: list[str], status: str, ready:
     return latest_per_key(df.where(F.col(status).isin(ready)), key, order)
 
 
-def previous_runs(df: DataFrame, key: str, at: str, id_: str, n: int = 3) -> DataFrame:
+def previous_runs(df: DataFrame, key: str, at: str, id_: str, n: int = 3, block: int = BLOCK) -> DataFrame:
     """(row id, previous row id, rank 1..n) of the rows of one key before each row, newest first.
 
-    A key's rows, the runs of one filter, meet in one task in order of time; it holds n of them at a time.
+    A key's rows go in blocks, each with the n rows before it.
     """
-    w = Window.partitionBy(key).orderBy(at, id_)
-    lags = F.array(*[F.lag(id_, k).over(w) for k in range(1, n + 1)])
-    return df.withColumn("_lags", lags).select(id_, F.posexplode("_lags").alias("rank", "previous")).where("previous IS NOT NULL").select(id_, "previous", (F.col("rank") + 1).alias("rank"))
+    lags = lambda w: F.array(*[F.lag(id_, k).over(w) for k in range(1, n + 1)])
+    found = over_last(df.select(key, at, id_), key, [at, id_], n, {"_lags": lags}, max(block, n))
+    return found.select(id_, F.posexplode("_lags").alias("rank", "previous")).where("previous IS NOT NULL").select(id_, "previous", (F.col("rank") + 1).alias("rank"))
 
 
 def last_n_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from millrace.functions import predicates as P
-from millrace.operators import logs, merge, relational as R, runs, selection, windows
+from millrace.operators import logs, merge, relational as R, runs, selection, slices, windows
 from millrace.operators.selection import Order
 from millrace.plans.filters import ORDER
 from millrace.plans.registry import Tables, query
@@ -115,6 +115,23 @@ def _(t):
     return R.assign_windows(t.orders, months, "o_orderdate").select("o_orderkey", F.col("window_lo").cast("string").alias("window_lo"))
 
 
+_RANGES = "WITH r AS (SELECT o_custkey AS k, row_number() OVER (ORDER BY o_custkey) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders)), s AS (SELECT k, CASE WHEN i < (n // 7 + 1) * (n % 7) THEN i // (n // 7 + 1) ELSE n % 7 + (i - (n // 7 + 1) * (n % 7)) // (n // 7) END AS segment FROM r) SELECT o_orderkey, segment::INT AS segment FROM orders JOIN s ON o_custkey = k WHERE segment <> 3"  # noqa: E501
+
+
+@query("j11_assign_ranges", _RANGES)
+def _(t):
+    """Orders in the even segments of customers, but for the middle one."""
+    segments = R.even_segments(t.orders, "o_custkey", 7).where("segment <> 3")
+    return slices.assign_ranges(t.orders, segments, "o_custkey").select("o_orderkey", "segment")
+
+
+@query("j11_many_ranges", "SELECT l_orderkey, l_linenumber, c_custkey FROM lineitem JOIN customer ON l_partkey > c_custkey * 3 - 3 AND l_partkey <= c_custkey * 3 - 1")
+def _(t):
+    """As many ranges as customers, sorted together with the rows."""
+    ranges = t.customer.select("c_custkey", (F.col("c_custkey") * 3 - 3).alias("after"), (F.col("c_custkey") * 3 - 1).alias("upto"))
+    return slices.assign_ranges(t.lineitem, ranges, "l_partkey", most=0).select("l_orderkey", "l_linenumber", "c_custkey")
+
+
 @query("j12_purge_cascade", "SELECT l_orderkey % 100 AS g, count(o_orderkey) AS kept_refs, count(*) AS items FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderdate < '1996-01-01')) ON l_orderkey = o_orderkey GROUP BY 1")  # noqa: E501
 def _(t):
     deleted = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))

@@ -14,6 +14,8 @@ from millrace.operators import geo, logs, merge, runs, windows
 from millrace.plans.filters import languages
 from millrace.plans.registry import Tables, query
 from millrace.plans.relations import _RUNS, LOG, response_log, run_rows, snapshots, _AB
+from millrace.sources import shared
+from millrace.streaming import slo, streams
 
 L = "WITH " + LOG + " "
 
@@ -23,16 +25,20 @@ def _(t):
     return logs.count_by(t.orders.withColumnRenamed("o_orderstatus", "status"), "status", ["F", "O", "X"])
 
 
-@query("a02_slo_snapshot", L + """, n AS (SELECT * FROM lg ORDER BY ts DESC, id DESC LIMIT 1000)
+_SLO = L + """, n AS (SELECT * FROM lg ORDER BY ts DESC, id DESC LIMIT 1000)
 SELECT max_by(remaining, (ts, id)) FILTER (resource = 'graphql') AS graphql_remaining, round(count(*) FILTER (incomplete) / count(incomplete), 6) AS incomplete_results_ratio, round(count(*) FILTER (status = 422) / count(*), 6) AS rate_422,
 round(count(*) FILTER (status IN (403, 429)) / count(*), 6) AS rate_403_429, round(quantile_cont(latency_ms, 0.95), 4) AS p95_latency_ms,
-(SELECT round(count(*) FILTER (o_orderstatus <> 'P') / count(*), 6) FROM orders) AS shard_coverage, (SELECT round(count(*) FILTER (c_custkey % 3 = 0) / count(*), 6) FROM customer) AS geo_unmatched_rate FROM n""")
+(SELECT round(count(*) FILTER (o_orderstatus <> 'P') / count(*), 6) FROM orders) AS shard_coverage, (SELECT round(count(*) FILTER (c_custkey % 3 = 0) / count(*), 6) FROM customer) AS geo_unmatched_rate FROM n"""
+
+
+def rounded_slo(s):
+    ratios = [F.round(c, 6).alias(c) for c in ("incomplete_results_ratio", "rate_422", "rate_403_429")]
+    return s.select("graphql_remaining", *ratios, F.round("p95_latency_ms", 4).alias("p95_latency_ms"), *[F.round(c, 6).alias(c) for c in ("shard_coverage", "geo_unmatched_rate")])
+
+
+@query("a02_slo_snapshot", _SLO)
 def _(t):
-    states = t.orders.select(F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("state"))
-    owners = t.customer.select(F.when(F.col("c_custkey") % 3 == 0, "unmatched").otherwise("name").alias("confidence"))
-    s = logs.slo_snapshot(response_log(t), states, owners)
-    return s.select("graphql_remaining", *[F.round(c, 6).alias(c) for c in ("incomplete_results_ratio", "rate_422", "rate_403_429")], F.round("p95_latency_ms", 4).alias("p95_latency_ms"),
-                    *[F.round(c, 6).alias(c) for c in ("shard_coverage", "geo_unmatched_rate")])
+    return rounded_slo(logs.slo_snapshot(response_log(t), **slo_tables(t)))
 
 
 @query("a03_nearest_rank_p95", L + ", n AS (SELECT latency_ms AS v FROM lg ORDER BY ts DESC, id DESC LIMIT 50) SELECT list_sort(list(v))[ceil(count(*) * 95 / 100)::INT] AS p95, count(*) AS n FROM n")
@@ -379,10 +385,37 @@ def _(t):
     return s.select("token", "hits", F.round(S.epoch_s("first")).cast("long").alias("first"), F.round(S.epoch_s("last")).cast("long").alias("last"))
 
 
-@query("t05_live_slo", L + ", w AS (SELECT unnest(range((epoch(ts)::BIGINT // 60 - 9) * 60, (epoch(ts)::BIGINT // 60 + 1) * 60, 60)) AS start, * FROM (SELECT to_timestamp(floor(epoch(ts))) AS ts, status, latency_ms FROM lg)) SELECT start, count(*) AS n, count(*) FILTER (status IN (403, 429)) AS throttled, round(sum(latency_ms), 2) AS latency FROM w GROUP BY 1")
+_PANES = ", w AS (SELECT unnest(range((epoch(ts)::BIGINT // 60 - 9) * 60, (epoch(ts)::BIGINT // 60 + 1) * 60, 60)) AS start, * FROM (SELECT * REPLACE (to_timestamp(floor(epoch(ts))) AS ts) FROM lg))"
+
+
+@query("t05_live_slo", L + _PANES + """ SELECT start, count(*) AS n, count(*) FILTER (status IN (403, 429)) AS throttled, round(avg(latency_ms), 4) AS mean_latency,
+max_by(remaining, (ts, id)) FILTER (resource = 'graphql')::BIGINT AS graphql_remaining, round(count(*) FILTER (incomplete) / nullif(count(incomplete), 0), 6) AS incomplete_results_ratio,
+round(count(*) FILTER (status = 422) / count(*), 6) AS rate_422, round(count(*) FILTER (status IN (403, 429)) / count(*), 6) AS rate_403_429, list_sort(list(latency_ms))[ceil(count(latency_ms) * 0.95)::INT] AS p95_latency_ms FROM w GROUP BY 1""")
+def _(t):
+    log = response_log(t)
+    found = logs.live_slo(log.withColumn("ts", F.timestamp_seconds(F.floor(S.epoch_s("ts")))))
+    ratios = [F.round(c, 6).alias(c) for c in ("incomplete_results_ratio", "rate_422", "rate_403_429")]
+    return found.select(F.round(S.epoch_s("start")).cast("long").alias("start"), "n", "throttled", F.round("mean_latency", 4).alias("mean_latency"), "graphql_remaining", *ratios, "p95_latency_ms")
+
+
+def slo_tables(t: Tables):
+    """States of windows and confidences of owners."""
+    states = t.orders.select(F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("state"))
+    owners = t.customer.select(F.when(F.col("c_custkey") % 3 == 0, "unmatched").otherwise("name").alias("confidence"))
+    return {"windows": states, "owners": owners}
+
+
+@query("t05_last_n", _SLO)
 def _(t):
-    slo = logs.live_slo(response_log(t))
-    return slo.select(F.round(S.epoch_s("start")).cast("long").alias("start"), "n", "throttled", F.round(F.col("mean_latency") * F.col("n"), 2).alias("latency"))
+    """The metrics of the newest 1,000 responses, folded over a stream of four batches, old responses among the last."""
+    target, log = shared.scratch(t.spark), response_log(t)
+    log = log.withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(4):
+        log.where(F.pmod(F.xxhash64("id"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{target}/in")
+    source = streams.read_stream(t.spark, f"{target}/in", log.schema)
+    slo.stream_last_n(source, f"{target}/out", f"{target}/log", tables=lambda spark: slo_tables(t)).awaitTermination()
+    found = slo.read_last_n(t.spark, f"{target}/out")
+    return rounded_slo(found.orderBy(F.desc("v")).limit(1))
 
 
 _STATES = "['done', 'pending', 'active', 'pending', 'incomplete', 'active', 'pending', 'done', 'active', 'active', 'done', 'active'][(event_id * 7 % 12 + 1)::INT]"

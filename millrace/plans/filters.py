@@ -12,7 +12,7 @@ from millrace.functions import scalars as S
 from millrace.operators import geo, lint, relational, runs, windows
 from millrace.plans.registry import Tables, query
 from millrace.sources import records, shared, snapshots
-from millrace.streaming import streams
+from millrace.streaming import slo, streams
 
 ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 _COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
@@ -418,8 +418,8 @@ def _(t):
     for part in ((F.col("at") >= cut) & even, (F.col("at") >= cut) & ~even, F.col("at") < cut):
         log.where(part).drop("at", "user_id").coalesce(1).write.mode("append").parquet(f"{target}/in")
     source = streams.read_stream(t.spark, f"{target}/in", log.drop("at", "user_id").schema)
-    slo = streams.stream_slo(source).select(F.unix_timestamp("start").alias("start"), "n")
-    streams.log_sink(slo, f"{target}/rows", f"{target}/log").awaitTermination()
+    windows = slo.stream_slo(source).select(F.unix_timestamp("start").alias("start"), "n")
+    streams.log_sink(windows, f"{target}/rows", f"{target}/log").awaitTermination()
     return t.spark.read.parquet(f"{target}/rows")
 
 

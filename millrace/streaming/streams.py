@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from millrace.operators.logs import QUOTAS, live_slo
+from millrace.operators.logs import QUOTAS
 from millrace.operators.merge import dedupe_latest, upsert
 from millrace.operators.windows import TRANSITIONS
 from millrace.sources.shared import listed, materialize, release, remove
@@ -78,11 +78,6 @@ def stream_sessions(log: DataFrame, key: str, ts: str = "ts", gap: str = "600 se
     return hits.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("hits"), F.min(ts).alias("first"), F.max(ts).alias("last")).drop("w")
 
 
-def stream_slo(log: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Sliding metrics; rows later than the delay are dropped."""
-    return live_slo(log.withWatermark(ts, delay), ts)
-
-
 PROGRESS = ["phase", "done", "total"]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import logs, merge, windows
 from millrace.plans.registry import Tables
 from millrace.plans.relations import response_log
-from millrace.streaming import streams
+from millrace.streaming import slo, streams
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
 
@@ -43,8 +43,8 @@ def test_dedupe_sink_and_late_rows(spark, tmp_path):
     parts = [[(1, at(0), 200, 1.0), (1, at(1), 200, 1.0)], [(2, at(60), 403, 2.0)], [(5, at(61), 200, 2.0)], [(3, at(0), 200, 9.0), (4, at(200), 200, 3.0)]]
     source = files(spark, tmp_path, parts, "id int, ts timestamp, status int, latency_ms double")
     assert sorted(r.id for r in run(streams.stream_dedupe(source, "id", "ts", "10 minutes"), "append", tmp_path, "deduped").collect()) == [1, 2, 4, 5]
-    slo = run(streams.stream_slo(source), "append", tmp_path, "slo").collect()
-    assert sum(r.n for r in slo) == 10 * 4 and not any(r.mean_latency == 9.0 for r in slo)  # id 3 came too late, id 4 is still open
+    rows = run(slo.stream_slo(source), "append", tmp_path, "slo").collect()
+    assert sum(r.n for r in rows) == 10 * 4 and not any(r.mean_latency == 9.0 for r in rows)  # id 3 came too late, id 4 is still open
     out = str(tmp_path / "out")
     for _ in range(2):
         streams.log_sink(source, out, str(tmp_path / "sink")).awaitTermination()

@@ -25,6 +25,7 @@ SHINGLE = 5
 JACCARD = 0.8
 BANDS, ROWS = 16, 4
 MAX_PAIRED = 64
+BEFORE = 8
 _CHUNK = 1 << 13
 _FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LONGS = T.ArrayType(T.LongType())
@@ -82,13 +83,15 @@ def _apart(hot: DataFrame, found: DataFrame, sets: DataFrame, jaccard: float) ->
     # shingles of no other text come first; then by how many texts have them
     of_text = Window.partitionBy("node")
     place = F.col("size") - F.count(F.lit(1)).over(of_text) + F.row_number().over(of_text.orderBy("texts", "gram")) - 1
-    placed = each.join(shared.hint("merge"), "gram").withColumn("place", place)
+    # the shared shingles just before: where two texts have one of these in common, they have met on it
+    before = F.collect_list("gram").over(of_text.orderBy("texts", "gram").rowsBetween(-BEFORE, -1))
+    placed = each.join(shared.hint("merge"), "gram").withColumns({"place": place, "before": before})
     least = lambda share: F.ceil(F.col("size") * share - 1e-9)  # noqa: E731  shingles that a pair must have in common, for the size of one text
     as_long, as_short = F.col("size") - least(jaccard), F.col("size") - least(2 * jaccard / (1 + jaccard))
     placed = materialize(placed.where(F.col("place") <= as_long).withColumn("early", F.col("place") <= as_short))
     short, long = placed.where("early").alias("a"), placed.alias("b")
     left: Column = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
-    fits = (F.col("a.size") <= F.col("b.size")) & (F.col("b.size") * jaccard <= F.col("a.size") + 1e-9) & (left + 1e-9 >= (F.col("a.size") + F.col("b.size")) * (jaccard / (1 + jaccard)))
+    fits = ~F.arrays_overlap("a.before", "b.before") & (F.col("a.size") <= F.col("b.size")) & (F.col("b.size") * jaccard <= F.col("a.size") + 1e-9) & (left + 1e-9 >= (F.col("a.size") + F.col("b.size")) * (jaccard / (1 + jaccard)))
     met = lambda a, b, one: a.join(b, "gram").where((F.col("a.root") != F.col("b.root")) & fits & one).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
     # one of the two is outside the largest set: join those with all, never the largest set with itself
     pairs = met(short.where("lone"), long, F.lit(True)).union(met(short.where("NOT lone"), long.where("lone"), F.lit(True)))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import epoch_s
-from millrace.operators.slices import BLOCK, over_last, running
+from millrace.operators.slices import BLOCK, number_in_key, over_last, running
+from millrace.sources.shared import materialize
 
 # Fixed values: (direction, warn, fail) of each metric.
 THRESHOLDS = {
@@ -136,6 +137,37 @@ def quota_windows(log: DataFrame, quotas: DataFrame, ts: str = "ts") -> DataFram
     return used.select("resource", "token", "start", "used", F.greatest(F.col("quota") - F.col("used"), F.lit(0)).alias("remaining"), (F.col("used") >= F.col("quota")).alias("exhausted"))
 
 
+def first_use_windows(log: DataFrame, quotas: DataFrame, ts: str = "ts", block: int = BLOCK) -> DataFrame:
+    """Per resource, token and window: used, remaining, exhausted. A window begins with the first use after the last one ended.
+
+    Each time of use is linked to the first one that is a window's length later; the windows are the chain of links from a
+    token's first use, found by following 1, 2, 4, ... links at once. Nulls in resource, token or time don't count.
+    """
+    timed = log.join(F.broadcast(quotas), "resource").where(F.col("token").isNotNull() & F.col(ts).isNotNull())
+    key = F.to_json(F.struct("resource", "token"))
+    uses = materialize(timed.groupBy(key.alias("_who"), "resource", "token", "quota", "seconds", F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("n")))
+    # backwards in time, the last use seen is the first one at that time or later; at one time uses come before the ends of windows
+    point, end = F.lit(0), F.lit(1)
+    back = uses.select("_who", (-F.unix_micros("_t")).alias("_at"), point.alias("_kind"), F.unix_micros("_t").alias("_of"))
+    ends = uses.select("_who", (-(F.unix_micros("_t") + F.col("seconds") * 1_000_000)).alias("_at"), end.alias("_kind"), F.unix_micros("_t").alias("_of"))
+    placed = number_in_key(back.union(ends), "_who", ["_at", "_kind", "_of"])
+    seen = running(placed, "_who", {"_next": ("max", F.when(F.col("_kind") == 0, -F.col("_of")))}, block).where("_kind = 1")
+    links = materialize(seen.select("_who", F.col("_of").alias("_from"), (-F.col("_next")).alias("_to")).where("_to IS NOT NULL"))
+    starts = materialize(uses.groupBy("_who").agg(F.min(F.unix_micros("_t")).alias("_from")))
+    while True:
+        further = starts.join(links.hint("merge"), ["_who", "_from"]).select("_who", F.col("_to").alias("_from"))
+        grown = materialize(starts.union(further).distinct())
+        if grown.count() == starts.count():
+            break
+        second = links.select("_who", F.col("_from").alias("_to"), F.col("_to").alias("_then")).hint("merge")
+        links, starts = materialize(links.join(second, ["_who", "_to"]).select("_who", "_from", F.col("_then").alias("_to"))), grown
+    marked = uses.withColumn("_from", F.unix_micros("_t")).join(starts.withColumn("_start", F.col("_from")).hint("merge"), ["_who", "_from"], "left")
+    inside = running(number_in_key(marked, "_who", ["_t"]), "_who", {"_start_of": ("max", F.col("_start"))}, block)
+    used = inside.groupBy("resource", "token", "_start_of", "quota").agg(F.sum("n").alias("used"))
+    rest = F.greatest(F.col("quota") - F.col("used"), F.lit(0)).alias("remaining")
+    return used.select("resource", "token", F.timestamp_micros("_start_of").alias("start"), "used", rest, (F.col("used") >= F.col("quota")).alias("exhausted"))
+
+
 def throttle_sessions(log: DataFrame, key: str, ts: str = "ts", gap: str = "600 seconds") -> DataFrame:
     """Runs of 403 and 429 whose gaps are at most `gap`."""
     hits = log.where(F.col("status").isin(403, 429))

@@ -212,24 +212,9 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
 
 
 def global_rank(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df in ascending order of key with `name`: 1, 2, ... over all rows; no single task sorts them all.
-
-    Values of key are counted; the counts, one row a value, are cut at quantiles of the values (the only thing the driver
-    sees) into ranges, and each range adds up its own counts after those of the ranges before it. Equal values are told
-    apart inside the range of a value alone. Nothing is kept: both readings give the same ranges.
-    """
-    spark = df.sparkSession
-    n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.select(F.approx_percentile(key, [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges).alias("q")).first().q if n_ranges > 1 else []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<long>")
-    part = F.size(F.filter(bounds, lambda b: b < F.col(key)))
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_p", part)
-    sums = counts.groupBy("_p").agg(F.sum("_n").alias("_all"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
-    inside = F.sum("_n").over(Window.partitionBy("_p").orderBy(key)) - F.col("_n")
-    starts = counts.join(F.broadcast(sums.drop("_all")), "_p").select(F.col(key).alias("_key"), (F.col("_before") + inside).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    return df.join(starts, F.col(key) == F.col("_key")).withColumn(name, (F.col("_start") + nth).cast("long")).drop("_key", "_start")
+    """df with `name`: 1, 2, ... over all rows in ascending order of key, by one sort; equal keys needn't share a partition."""
+    spread = df.withColumn("_tie", F.monotonically_increasing_id())
+    return number_rows(spread.orderBy(key, "_tie").drop("_tie"), name)
 
 
 def even_segments(df: DataFrame, key: str, n: int) -> DataFrame:

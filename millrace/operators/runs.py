@@ -12,7 +12,7 @@ from millrace.functions.predicates import DROP, KEEP, UNKNOWN
 from millrace.functions.scalars import epoch_s, iso_utc, span_text
 from millrace.operators.merge import dedupe_latest
 from millrace.operators.relational import cap, latest_ready, sort_result
-from millrace.operators.selection import Order
+from millrace.operators.selection import Order, first_rows
 from millrace.sources.shared import materialize
 
 # Cost of each filter; those above PAGE_COST aren't run at depth "page".
@@ -59,6 +59,59 @@ def run_filters(df: DataFrame, filters: dict[str, Column], depth: str = "page",
     return marked.where(F.col("_left").isNull()).drop("_left"), funnel
 
 
+@dataclass(frozen=True)
+class Handler:
+    """A filter that asks for something: check(rows) -> (key, status[, cost]), and what a row costs at most."""
+
+    name: str
+    check: Callable[[DataFrame], DataFrame]
+    price: int = 1
+
+
+LEDGER = "step int, filter string, checked long, kept long, dropped long, unknown long, cost long, requeues int"
+
+
+def run_handlers(df: DataFrame, key: str, handlers: list[Handler], order: list, budget: int | None = None, max_requeues: int = 1) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(survivors, ledger with a row for each handler, warnings): handlers in the given order, each over what the last one kept.
+
+    A handler gets a table of rows and may join it with anything; its answer is written before the next one starts, so
+    nothing is asked twice. A row without an answer is unknown. Where the budget doesn't pay for all rows, the first by
+    `order` are asked and the rest is unknown; the cost is the sum of the answer's `cost` column, else price times rows.
+    A handler that fails is tried again; after max_requeues more failures all its rows are unknown, with a warning.
+    """
+    spark, left, rows, ledger, warnings = df.sparkSession, budget, df, [], []
+    for step, h in enumerate(handlers):
+        n = rows.count()
+        asked, n_asked = rows, n
+        if left is not None and h.price and left // h.price < n:
+            n_asked = left // h.price
+            asked = materialize(first_rows(rows, order, n_asked))  # a choice between equal rows is made once
+            warnings.append(f"{h.name}: the budget pays for {n_asked} of {n} rows")
+        requeues, answers = 0, None
+        while answers is None and n_asked:
+            try:
+                answers = materialize(h.check(asked))
+            except Exception as e:  # noqa: BLE001  whatever a handler does is its result
+                if requeues == max_requeues:
+                    warnings.append(f"{h.name}: no answer for {n_asked} rows after {requeues} more tries: {type(e).__name__}")
+                    break
+                requeues += 1
+        if answers is None:
+            ledger.append((step, h.name, n, 0, 0, n, 0, requeues))
+            rows = df.limit(0)
+            continue
+        status = answers.groupBy(F.col(key).alias("_key")).agg(F.min(F.coalesce("status", F.lit(UNKNOWN))).alias("_status"))
+        told = materialize(asked.join(status, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("_status", F.coalesce("_status", F.lit(UNKNOWN))))
+        counts = {r["_status"]: r["count"] for r in told.groupBy("_status").count().collect()}
+        paid = F.sum("cost") if "cost" in answers.columns else F.lit(h.price * n_asked)
+        cost = int(answers.agg(F.coalesce(paid, F.lit(0)).alias("c")).first().c)
+        left = None if left is None else max(0, left - cost)
+        kept, dropped = counts.get(KEEP, 0), counts.get(DROP, 0)
+        ledger.append((step, h.name, n, kept, dropped, n - kept - dropped, cost, requeues))
+        rows = told.where(F.col("_status") == KEEP).drop("_status")
+    return rows, spark.createDataFrame(ledger, LEDGER), warnings
+
+
 def narrows(df: DataFrame, predicate: Column) -> DataFrame:
     """One row: base and filtered counts, and whether the filter strictly narrows."""
     n = F.count_if(F.coalesce(predicate, F.lit(False)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.relational import global_rank
+from millrace.operators.selection import SORTED, first_rows
 
 # States that a window may go to from each state.
 TRANSITIONS = [("pending", "active"), ("active", "done"), ("active", "incomplete"), ("active", "pending")]
@@ -93,7 +94,7 @@ def scan_since(df: DataFrame, key: str, since: int, stop_after: int, page_size:
     """
     above = df.select(key).where(F.col(key) > since)
     if max_pages is not None:
-        above = above.orderBy(key).limit(page_size * max_pages)
+        above = first_rows(above, [key], page_size * max_pages) if page_size * max_pages > SORTED else above.orderBy(key).limit(page_size * max_pages)
     last = above.where(F.col(key) <= stop_after).count() // page_size
     beyond = above.where(F.col(key) > stop_after).orderBy(key).limit(page_size)
     ranked = global_rank(above.where(F.col(key) <= stop_after).union(beyond), key, "_r")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from millrace.functions import predicates as P
 from millrace.functions import scalars as S
 from millrace.operators import geo, logs, merge, runs, windows
+from millrace.operators.selection import Order
 from millrace.plans.filters import languages
 from millrace.plans.registry import Tables, query
 from millrace.plans.relations import _RUNS, LOG, response_log, run_rows, snapshots, _AB
@@ -318,6 +319,38 @@ def _(t):
     return out.select("id", "country", "confidence")
 
 
+_HANDLERS = """WITH a AS (SELECT c_custkey, c_nationkey, c_acctbal, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') AS ordered FROM customer),
+k AS (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS i, count(*) OVER () AS n, (SELECT count(*) FROM a) AS every FROM a WHERE ordered),
+b AS (SELECT *, i * 3 <= greatest(every + 600 - every, 0) AS paid, n_regionkey IN (1, 3) AS near FROM k JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _handlers(t):
+    """Customers with open orders (a price of 1 each), then those in two regions (a price of 3), with a budget for 200 of these."""
+    opened = t.orders.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"), F.lit(P.KEEP).alias("status")).distinct()
+
+    def ordered(rows):
+        return rows.select("c_custkey").join(opened, "c_custkey", "left").select("c_custkey", F.coalesce("status", F.lit(P.DROP)).alias("status"))
+
+    def near(rows):
+        regions = rows.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        return regions.select("c_custkey", F.when(F.col("n_regionkey").isin(1, 3), P.KEEP).otherwise(P.DROP).alias("status"), F.lit(2).alias("cost"))
+
+    customers = t.customer.select("c_custkey", "c_nationkey", "c_acctbal")
+    steps = [runs.Handler("ordered", ordered), runs.Handler("near", near, price=3)]
+    return runs.run_handlers(customers, "c_custkey", steps, [Order("c_acctbal", descending=True), Order("c_custkey")], budget=customers.count() + 600)
+
+
+@query("x03_handlers", _HANDLERS + " SELECT c_custkey, c_nationkey, c_acctbal FROM b WHERE paid AND near")
+def _(t):
+    return _handlers(t)[0]
+
+
+@query("x03_handler_ledger", _HANDLERS + """ SELECT 0 AS step, 'ordered' AS filter, any_value(every) AS checked, any_value(n) AS kept, any_value(every) - any_value(n) AS dropped, 0 AS unknown, any_value(every) AS cost FROM b
+UNION ALL SELECT 1, 'near', count(*), count(*) FILTER (paid AND near), count(*) FILTER (paid AND NOT near), count(*) FILTER (NOT paid), 2 * count(*) FILTER (paid) FROM b""")
+def _(t):
+    return _handlers(t)[1].drop("requeues")
+
+
 @query("x01_extra_cities", f"WITH {_LOC} SELECT location, CASE id % 15 WHEN 3 THEN 'GR' WHEN 4 THEN 'XX' ELSE c END AS country, CASE WHEN id % 15 = 3 THEN 'gazetteer-city' ELSE coalesce(tier, 'unmatched') END AS confidence FROM r WHERE location IS NOT NULL")
 def _(t):
     extra = geo.load_phrases(t.spark, ["GR atlantis", "XX berlin"], False)
@@ -376,6 +409,21 @@ def _(t):
     return used.withColumn("start", F.round(S.epoch_s("start")).cast("long")).withColumn("remaining", F.col("remaining").cast("long"))
 
 
+_FIRST_USE = L.replace("WITH lg", "WITH RECURSIVE lg") + """, q AS (SELECT resource, token, epoch_us(ts) AS t, CASE WHEN resource IN ('search', 'code_search') THEN 60 ELSE 3600 END * 1000 AS s, CASE resource WHEN 'search' THEN 3 WHEN 'code_search' THEN 1 ELSE 500 END AS quota FROM lg),
+p AS (SELECT DISTINCT resource, token, t, s FROM q), l AS (SELECT resource, token, t, s, (SELECT min(b.t) FROM p b WHERE b.resource = a.resource AND b.token = a.token AND b.t >= a.t + a.s * 1000000) AS following FROM p a),
+c AS (SELECT resource, token, min(t) AS t FROM p GROUP BY 1, 2 UNION ALL SELECT c.resource, c.token, l.following FROM c JOIN l ON l.resource = c.resource AND l.token = c.token AND l.t = c.t WHERE l.following IS NOT NULL)
+SELECT resource, token, start::BIGINT AS start, count(*) AS used, greatest(any_value(quota) - count(*), 0)::BIGINT AS remaining, count(*) >= any_value(quota) AS exhausted
+FROM (SELECT q.resource, q.token, q.quota, c.t AS start FROM q ASOF JOIN c ON q.resource = c.resource AND q.token = c.token AND q.t >= c.t) GROUP BY 1, 2, 3"""
+
+
+@query("t03_first_use_windows", _FIRST_USE)
+def _(t):
+    """Windows a thousand times as long as the quotas', as the log is sparse."""
+    quotas = logs.quota_table(t.spark).select("resource", F.floor(F.col("quota") / 10).cast("int").alias("quota"), (F.col("seconds") * 1000).alias("seconds"))
+    used = logs.first_use_windows(response_log(t), quotas)
+    return used.select("resource", "token", F.unix_micros("start").alias("start"), "used", F.col("remaining").cast("long").alias("remaining"), "exhausted")
+
+
 _SESSION = ", h AS (SELECT token, ts, id, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts) - epoch(lag(ts) OVER w) > 86400 THEN 1 ELSE 0 END AS fresh FROM lg WHERE status IN (403, 429) WINDOW w AS (PARTITION BY token ORDER BY ts, id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY token ORDER BY ts, id) AS g FROM h) SELECT token, count(*) AS hits, epoch(min(ts))::BIGINT AS first, epoch(max(ts))::BIGINT AS last FROM s GROUP BY token, g"  # noqa: E501
 
 

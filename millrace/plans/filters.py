@@ -11,7 +11,7 @@ from millrace.functions import predicates as P
 from millrace.functions import scalars as S
 from millrace.operators import geo, lint, relational, runs, windows
 from millrace.plans.registry import Tables, query
-from millrace.sources import records, shared, snapshots
+from millrace.sources import cursor, records, shared, snapshots
 from millrace.streaming import slo, streams
 
 ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
@@ -36,6 +36,16 @@ def _(t):
     return windows.scan_since(t.orders, "o_orderkey", since=100, stop_after=4000, page_size=500)
 
 
+@query("s05_resumed_scan", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 700 % 2)::BIGINT AS page, o_totalprice FROM orders")
+def _(t):
+    """The whole table, two pages a call, each call from the cursor that the last one stored."""
+    path, orders = shared.scratch(t.spark), t.orders.select("o_orderkey", "o_totalprice", (F.col("o_orderkey") + 1).alias("id"))  # ids above 0
+    calls = -(-orders.count() // 1400)
+    for _ in range(calls):
+        cursor.resume_scan(orders, "id", path, page_size=700, max_pages=2)
+    return cursor.scanned(t.spark, path).select("o_orderkey", "page", "o_totalprice")
+
+
 @query("s06_ordered_items", f"SELECT {_COLS}, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS nth FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
     run = F.when(F.col("o_orderstatus") == "P", 7).otherwise(8)

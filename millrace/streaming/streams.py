@@ -72,6 +72,63 @@ def stream_quota(log: DataFrame, resource: str, ts: str = "ts", delay: str = "1
     return used.select("token", F.col("w.start").alias("start"), "used", F.greatest(F.lit(quota) - F.col("used"), F.lit(0)).alias("remaining"), (F.col("used") >= quota).alias("exhausted"))
 
 
+class FirstUseWindows(StatefulProcessor):
+    """One open window for each key: when it began, and its uses. It is given when a later use or the watermark ends it."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", "start long, used long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        window, over = tuple(self.open.get()) if self.open.exists() else None, []
+        before = window
+        for at in sorted(pd.concat(list(rows))["at"].tolist()):
+            if window is not None and at >= window[0] + self.seconds * 1_000_000:
+                over.append(window)
+                window = None
+            window = (at, 1) if window is None else (window[0], window[1] + 1)
+        self.open.update(window)
+        if before is None or before[0] != window[0]:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(self._end(window))
+        yield self._rows(key, over)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        window = tuple(self.open.get()) if self.open.exists() else None
+        over = window is not None and self._end(window) <= expiredTimerInfo.getExpiryTimeInMs()
+        if over:
+            self.open.clear()
+        yield self._rows(key, [window] if over else [])
+
+    def _end(self, window: tuple[int, int]) -> int:
+        """Milliseconds, at or after the window's end."""
+        return -(-(window[0] + self.seconds * 1_000_000) // 1000)
+
+    def _rows(self, key, over: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], start, used) for start, used in over], columns=["token", "start", "used"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_first_use(log: DataFrame, resource: str, ts: str = "ts", delay: str = "1 minute") -> DataFrame:
+    """Use of one resource's quota per token in windows that begin with their first use, when they are over.
+
+    Uses are taken in order of time inside a batch; those of a later batch should not be earlier, as a window that has
+    begun keeps its start. Needs the RocksDB state store.
+    """
+    quota, seconds = next((q, s) for r, q, s in QUOTAS if r == resource)
+    uses = log.where((F.col("resource") == resource) & F.col("token").isNotNull()).withWatermark(ts, delay)
+    uses = uses.select(F.col("token").cast("string").alias("token"), F.unix_micros(ts).alias("at"), F.col(ts).alias("_ts"))
+    schema = "token string, start long, used long"
+    found = uses.groupBy("token").transformWithStateInPandas(FirstUseWindows(seconds), schema, "Append", "EventTime")
+    rest = F.greatest(F.lit(quota) - F.col("used"), F.lit(0)).alias("remaining")
+    return found.select("token", F.timestamp_micros("start").alias("start"), "used", rest, (F.col("used") >= quota).alias("exhausted"))
+
+
 def stream_sessions(log: DataFrame, key: str, ts: str = "ts", gap: str = "600 seconds", delay: str = "10 minutes") -> DataFrame:
     """Sessions of throttle hits."""
     hits = log.where(F.col("status").isin(403, 429)).withWatermark(ts, delay)
@@ -122,6 +179,62 @@ class Progress(StatefulProcessor):
         pass
 
 
+#: Phases that end a run.
+ENDED = ("done", "failed", "cancelled", "partial")
+
+
+class ThrottledProgress(StatefulProcessor):
+    """The newest row of each run, given at once where the phase changes or the run ends, else every `interval_ms` at most.
+
+    What comes in between is kept, and given by a timer once the interval is over.
+    """
+
+    def __init__(self, schema: str, interval_ms: int):
+        self.schema, self.interval = schema, interval_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("last", f"ts timestamp, {self.schema}, given long, waits boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, state = timerValues.getCurrentProcessingTimeInMs(), tuple(self.state.get()) if self.state.exists() else None
+        newest = pd.concat(list(rows)).sort_values("ts")[["ts", *PROGRESS]].iloc[-1]
+        row = (newest["ts"], newest["phase"], *(int(newest[c]) for c in PROGRESS[1:]))
+        if state is not None and row[0] <= pd.Timestamp(state[0]):
+            yield self._rows(key, [])
+            return
+        at_once = state is None or state[1] != row[1] or row[1] in ENDED or now - state[-2] >= self.interval
+        if at_once:
+            self.state.update((*row, now, False))
+        else:
+            if not state[-1]:
+                self.handle.registerTimer(state[-2] + self.interval)
+            self.state.update((*row, state[-2], True))
+        yield self._rows(key, [row] if at_once else [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = tuple(self.state.get()) if self.state.exists() else None
+        waits = state is not None and state[-1]
+        if waits:
+            self.state.update((*state[:-2], timerValues.getCurrentProcessingTimeInMs(), False))
+        yield self._rows(key, [state[:-2]] if waits else [])
+
+    def _rows(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r[1:]) for r in rows], columns=["key", *PROGRESS])
+
+    def close(self) -> None:
+        pass
+
+
+def throttled_progress(events: DataFrame, key: str, ts: str = "ts", interval_ms: int = 1000) -> DataFrame:
+    """(key, phase, done, total) of a stream of progress events, one row a second for each run at most, and one when it ends.
+
+    Needs the RocksDB state store; rows that wait are given in the batch after their time.
+    """
+    keyed = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.col("phase"), F.col("done").cast("long"), F.col("total").cast("long")).groupBy("key")
+    fields = "phase string, done long, total long"
+    return keyed.transformWithStateInPandas(ThrottledProgress(fields, interval_ms), f"key string, {fields}", "Update", "ProcessingTime")
+
+
 class WindowStates(StatefulProcessor):
     """State of each window; steps that aren't allowed are reported and leave the state as it is."""
 

@@ -43,14 +43,31 @@ def load_phrases(spark: SparkSession, lines: list[str], codes: bool) -> DataFram
     return spark.createDataFrame(sorted(made.items()), "phrase string, iso string")
 
 
+_names: list[tuple[str, str]] = []
+
+
+def _country_names(spark: SparkSession) -> list[tuple[str, str]]:
+    """(name, code) of all ISO countries; taken from the platform once a process, as it takes a thousand calls."""
+    if not _names:
+        locales = spark._jvm.java.util.Locale
+        named = lambda code, language: (locales.Builder().setRegion(code).build().getDisplayCountry(language), code)
+        codes = list(locales.getISOCountries())
+        known = set(codes)
+        _names.extend([(c, c) for c in codes] + [named(c, locales.ENGLISH) for c in codes])
+        _names.extend(sorted({named(c, x) for x in locales.getAvailableLocales() if (c := x.getCountry()) in known}))
+    return _names
+
+
+def read_phrases(spark: SparkSession, path: str) -> DataFrame:
+    """(phrase, iso) of a file of `code phrase|phrase` lines, such as demonyms or further cities; of several codes the least."""
+    line = F.trim("value")
+    parts = spark.read.text(path).where(line.rlike(r"^\S+ ")).select(F.substring_index(line, " ", 1).alias("iso"), F.explode(F.split(F.expr("substr(trim(value), instr(trim(value), ' ') + 1)"), r"\|")).alias("name"))
+    return parts.select(normalize_location("name").alias("phrase"), "iso").where("phrase != ''").groupBy("phrase").agg(F.min("iso").alias("iso"))
+
+
 def country_phrases(spark: SparkSession, more: list[str] = COUNTRIES) -> DataFrame:
     """(phrase, iso) of all ISO countries: codes, names in English and in the languages of the country; `more` goes first."""
-    locales = spark._jvm.java.util.Locale
-    named = lambda code, language: (locales.Builder().setRegion(code).build().getDisplayCountry(language), code)
-    codes = list(locales.getISOCountries())
-    names = [(c, c) for c in codes] + [named(c, locales.ENGLISH) for c in codes]
-    names += sorted({named(c, x) for x in locales.getAvailableLocales() if (c := x.getCountry()) in set(codes)})
-    return _phrases(load_phrases(spark, more, codes=True), names)
+    return _phrases(load_phrases(spark, more, codes=True), _country_names(spark))
 
 
 def city_phrases(spark: SparkSession, more: list[str] = CITIES) -> DataFrame:
@@ -89,14 +106,15 @@ def resolve_locations(
     nfc = F.when(F.col(location).rlike(r"[^\x00-\x7F]"), composed(F.col(location))).otherwise(F.col(location))
     texts = texts.withColumn("_nfc", nfc).withColumn("_flag", flag_to_iso("_nfc")).withColumn("_parts", split_candidates("_nfc"))
     cands = texts.where(F.col("_flag").isNull()).select(location, F.posexplode("_parts").alias("cand", "phrase"))
-    longer = cands.select(location, "cand", F.posexplode(prefix_phrases("phrase")).alias("cut", "phrase"))
-    places = cities.select("phrase", "iso", F.lit(1).alias("prio"))
+    # each candidate as a whole and each of its prefixes, looked up once in all dictionaries
+    cut = F.transform(prefix_phrases("phrase"), lambda p, i: F.struct(i.alias("cut"), p.alias("key"), F.lit(False).alias("whole")))
+    whole = F.array(F.struct(F.lit(0).alias("cut"), F.col("phrase").alias("key"), F.lit(True).alias("whole")))
+    keys_of = cands.select(location, "cand", F.explode(F.concat(whole, cut)).alias("k")).select(location, "cand", "k.*")
+    entries = countries.select("phrase", "iso", F.lit(0).alias("prio"), F.lit(1).alias("_tier")).union(cities.select("phrase", "iso", F.lit(1), F.lit(3)))
     if extra is not None:
-        places = places.union(extra.select("phrase", "iso", F.lit(0)))
-    exact = lambda table, tier: cands.join(table, "phrase").select(location, F.lit(tier).alias("tier"), "cand", F.lit(0).alias("cut"), "prio", "iso")
-    prefix = lambda table, tier, least: longer.where(F.length("phrase") >= least).join(table, "phrase").select(location, F.lit(tier), "cand", "cut", "prio", "iso")
-    names = countries.select("phrase", "iso", F.lit(0).alias("prio"))
-    hits = exact(names, 1).union(prefix(names, 2, 3)).union(exact(places, 3)).union(prefix(places, 4, 1))
+        entries = entries.union(extra.select("phrase", "iso", F.lit(0), F.lit(3)))
+    found = keys_of.join(entries, F.col("key") == F.col("phrase")).where("whole OR _tier = 3 OR length(phrase) >= 3")
+    hits = found.select(location, (F.col("_tier") + F.when(F.col("whole"), 0).otherwise(1)).alias("tier"), "cand", "cut", "prio", "iso")
     best = hits.groupBy(location).agg(F.min(F.struct("tier", "cand", "cut", "prio", "iso")).alias("_hit"))
     out = rows.join(texts.select(location, "_flag"), location, "left").join(best, location, "left")
     coded = F.lit(None).cast("string")

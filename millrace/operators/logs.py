@@ -145,11 +145,11 @@ def first_use_windows(log: DataFrame, quotas: DataFrame, ts: str = "ts", block:
     """
     timed = log.join(F.broadcast(quotas), "resource").where(F.col("token").isNotNull() & F.col(ts).isNotNull())
     key = F.to_json(F.struct("resource", "token"))
-    uses = materialize(timed.groupBy(key.alias("_who"), "resource", "token", "quota", "seconds", F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("n")))
+    uses = materialize(timed.groupBy(key.alias("_who"), "resource", "token", "quota", "seconds", F.col(ts).cast("timestamp").alias("_t")).agg(F.count(F.lit(1)).alias("n")))
     # backwards in time, the last use seen is the first one at that time or later; at one time uses come before the ends of windows
     point, end = F.lit(0), F.lit(1)
     back = uses.select("_who", (-F.unix_micros("_t")).alias("_at"), point.alias("_kind"), F.unix_micros("_t").alias("_of"))
-    ends = uses.select("_who", (-(F.unix_micros("_t") + F.col("seconds") * 1_000_000)).alias("_at"), end.alias("_kind"), F.unix_micros("_t").alias("_of"))
+    ends = uses.select("_who", (-(F.unix_micros("_t") + F.col("seconds").cast("long") * 1_000_000)).alias("_at"), end.alias("_kind"), F.unix_micros("_t").alias("_of"))
     placed = number_in_key(back.union(ends), "_who", ["_at", "_kind", "_of"])
     seen = running(placed, "_who", {"_next": ("max", F.when(F.col("_kind") == 0, -F.col("_of")))}, block).where("_kind = 1")
     links = materialize(seen.select("_who", F.col("_of").alias("_from"), (-F.col("_next")).alias("_to")).where("_to IS NOT NULL"))

@@ -105,11 +105,11 @@ def upsert_owners(existing: DataFrame, incoming: DataFrame, key: str = "id", log
     """Owners merged by id, with unique logins (whatever their case).
 
     The holder of a login that another id brings in becomes login~holderid. Of several incoming ids with one login the
-    least keeps it, the others get ~id.
+    least keeps it, the others get ~id. Owners without a login stay without one.
     """
-    rank = F.row_number().over(Window.partitionBy(F.lower(login)).orderBy(key))
-    wanted = incoming.withColumn("_rank", rank)
-    wanted = wanted.withColumn(login, F.when(F.col("_rank") > 1, F.concat_ws("~", login, F.col(key).cast("string"))).otherwise(F.col(login))).drop("_rank")
+    least = incoming.where(F.col(login).isNotNull()).groupBy(F.lower(login).alias("_name")).agg(F.min(key).alias("_least"))
+    wanted = incoming.join(least, F.lower(login) == F.col("_name"), "left")
+    wanted = wanted.withColumn(login, F.when(F.col(key) > F.col("_least"), F.concat_ws("~", login, F.col(key).cast("string"))).otherwise(F.col(login))).drop("_name", "_least")
     taken = wanted.select(F.lower(login).alias("_fold"), F.col(key).alias("_by"), F.col(login).alias("_login"))
     kept = existing.join(wanted.select(key), key, "left_anti").withColumn("_fold", F.lower(login)).join(taken, "_fold", "left")
     moved = F.col("_by").isNotNull()

@@ -23,6 +23,8 @@ FILTER_COSTS = {
 PAGE_COST = 2
 # Filters that are recorded but can't be checked.
 RECORD_ONLY = ("min_loc", "max_loc")
+# Fixed value: the warning for each of them.
+RECORDED = "`{}` is recorded but unenforceable in this run; results are incomplete"
 # Share of the size that each way of copying takes, and megabytes left free.
 MODE_FACTORS = {"shallow": 1.0, "file_only": 0.25, "windowed": 0.5}
 
@@ -204,11 +206,11 @@ def change_log(before: DataFrame, after: DataFrame, key: str, fields: list[str])
     return out.withColumn("hash", F.sha2(F.concat_ws("\n", "before", "after"), 256))
 
 
-def retry_failed_only(df: DataFrame, key: str, attempt: Callable[[DataFrame], DataFrame], max_attempts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(results, unresolved) of attempt(rows) -> rows with key, value and error; only failed keys are tried again."""
+def retry_failed_only(df: DataFrame, key: str, attempt: Callable[[DataFrame, int], DataFrame], max_attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(results, unresolved) of attempt(rows, number of the try) -> rows with key, value and error; only failed keys are tried again."""
     rows, good = df, None
-    for _ in range(max_attempts):
-        tried = materialize(attempt(rows))  # an attempt is made once, whatever is lost later
+    for n in range(max_attempts):
+        tried = materialize(attempt(rows, n))  # an attempt is made once, whatever is lost later
         won = tried.where(F.col("error").isNull()).drop("error")
         good = won if good is None else good.unionByName(won)
         failed = tried.where(F.col("error").isNotNull())
@@ -239,8 +241,7 @@ def record_only(df: DataFrame, asked: list[str]) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"not record-only: {unknown}")
     names = [n for n in RECORD_ONLY if n in asked]
     marked = df.withColumn("recorded", F.array(*[F.lit(n) for n in names]).cast("array<string>")).withColumn("incomplete", F.lit(bool(names)))
-    rows = [(n, f"`{n}` is recorded but unenforceable in this run; results are incomplete") for n in names]
-    return marked, df.sparkSession.createDataFrame(rows, "filter string, warning string")
+    return marked, df.sparkSession.createDataFrame([(n, RECORDED.format(n)) for n in names], "filter string, warning string")
 
 
 def freeze(corpora: DataFrame, runs: DataFrame, items: DataFrame, run_id, name: str, frozen_at: Column, note: str | None = None) -> DataFrame:

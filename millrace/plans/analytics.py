@@ -409,7 +409,7 @@ def _(t):
     return used.withColumn("start", F.round(S.epoch_s("start")).cast("long")).withColumn("remaining", F.col("remaining").cast("long"))
 
 
-_FIRST_USE = L.replace("WITH lg", "WITH RECURSIVE lg") + """, q AS (SELECT resource, token, epoch_us(ts) AS t, CASE WHEN resource IN ('search', 'code_search') THEN 60 ELSE 3600 END * 1000 AS s, CASE resource WHEN 'search' THEN 3 WHEN 'code_search' THEN 1 ELSE 500 END AS quota FROM lg),
+_FIRST_USE = L.replace("WITH lg", "WITH RECURSIVE lg") + """, q AS (SELECT resource, token, epoch_us(ts) AS t, CASE WHEN resource IN ('search', 'code_search') THEN 60 ELSE 3600 END::BIGINT * 1000 AS s, CASE resource WHEN 'search' THEN 3 WHEN 'code_search' THEN 1 ELSE 500 END AS quota FROM lg),
 p AS (SELECT DISTINCT resource, token, t, s FROM q), l AS (SELECT resource, token, t, s, (SELECT min(b.t) FROM p b WHERE b.resource = a.resource AND b.token = a.token AND b.t >= a.t + a.s * 1000000) AS following FROM p a),
 c AS (SELECT resource, token, min(t) AS t FROM p GROUP BY 1, 2 UNION ALL SELECT c.resource, c.token, l.following FROM c JOIN l ON l.resource = c.resource AND l.token = c.token AND l.t = c.t WHERE l.following IS NOT NULL)
 SELECT resource, token, start::BIGINT AS start, count(*) AS used, greatest(any_value(quota) - count(*), 0)::BIGINT AS remaining, count(*) >= any_value(quota) AS exhausted

@@ -275,7 +275,7 @@ def test_retry_freeze_replay(spark):
     df = spark.range(10).withColumnRenamed("id", "k")
     tries = []
 
-    def attempt(rows):
+    def attempt(rows, n):
         tries.append(rows.count())
         return rows.select("k", F.lit(1).alias("value"), F.when((F.col("k") % 3 == 0) & F.lit(len(tries) < 2) | (F.col("k") == 9), "timeout").alias("error"))
 

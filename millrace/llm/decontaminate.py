@@ -1,7 +1,7 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
 Each Spark task numbers the words of its documents shard by shard and sorts all suffixes of a shard by their first words
-(prefix doubling), whatever the benchmark holds. Every suffix of every benchmark item is then looked up by binary search,
+(prefix doubling, up to the words of a window), whatever the benchmark holds. Every suffix of every benchmark item is then looked up by binary search,
 which gives all places where its next `window` words occur verbatim; places that follow each other on one diagonal join
 into the longest matches. A benchmark of one block is shipped to the tasks and looked up as the arrays are made. For a
 larger one the arrays are written once and read again for each block; the documents themselves are not written or

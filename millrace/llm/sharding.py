@@ -2,9 +2,9 @@
 
 Groups that must stay together are taken from the largest to the smallest and each goes to the least-loaded shard of a
 heap. Groups of one size are alike, so the driver sees only how many groups there are of each size and hands out runs of
-equal groups; within a run the groups take their places by a distributed rank. The result is that of scheduling the
-groups one by one. Groups above EXACT bytes are taken together where their sizes differ by less than one in STEPS, and
-count with their mean size; so the driver sees EXACT + some 20,000 rows at most, whatever the input.
+equal groups; within a run the groups take their places by a distributed rank. For groups of up to EXACT bytes the
+result is that of scheduling them one by one. Groups above EXACT bytes are taken together where their sizes differ by less
+than one in STEPS, and count with their mean size, which is near to that but not the same; so the driver sees EXACT + some 20,000 rows at most, whatever the input.
 """
 
 from __future__ import annotations

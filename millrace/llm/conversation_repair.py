@@ -160,24 +160,26 @@ def _to_end(v: list[int], end: list[int]) -> list[int]:
     return [min(NEVER, *(v[4 * i + k] + end[k] for k in range(4))) for i in range(4)]
 
 
-def _faults(rows: DataFrame) -> DataFrame:
-    """rows, sorted and numbered over the table as `n`, with `fault` (an index of FAULTS)."""
+def _faults(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows in order, numbered over the table as `n`; narrow rows conv_id, n, initial, fault), fault an index of FAULTS."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     plain = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"))
     # equal rows are told apart by where they were read, so that no range of the sort holds too many
     keyed = plain.withColumns({"key": F.sha2("text", 256), "tie": F.monotonically_increasing_id()})
     ordered = number_rows(keyed.orderBy("conv_id", "turn", "role", "key", "tie"), "n")
-    first = ordered.groupBy("conv_id", "role", "key").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    trimmed = F.rtrim("text", F.lit(BLANKS))
+    own = F.when(trimmed == "", 1).when(~F.right(trimmed, F.lit(1)).isin(".", "!", "?"), 3).otherwise(0)
+    narrow = ordered.select("conv_id", "n", "role", "key", own.alias("own"))
+    first = narrow.groupBy("conv_id", "role", "key").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     # a written table: both sides of the join are then plain exchanges, whose hot partitions Spark splits
     first = materialize(first.select(F.col("conv_id").alias("at_id"), F.col("role").alias("at_role"), F.col("key").alias("at_key"), "first")).hint("merge")
     same = F.col("conv_id").eqNullSafe(F.col("at_id")) & (F.col("role") == F.col("at_role")) & (F.col("key") == F.col("at_key"))
-    trimmed = F.rtrim("text", F.lit(BLANKS))
-    fault = F.when(trimmed == "", 1).when(F.col("n") > F.col("first"), 2).when(~F.right(trimmed, F.lit(1)).isin(".", "!", "?"), 3).otherwise(0)
-    return ordered.join(first, same, "left").select("conv_id", "n", "turn", "role", "text", fault.alias("fault"))
+    fault = F.when((F.col("own") != 1) & (F.col("n") > F.col("first")), 2).otherwise(F.col("own"))
+    return ordered, narrow.join(first, same, "left").select("conv_id", "n", F.left("role", F.lit(1)).alias("initial"), fault.alias("fault"))
 
 
 def _cells(rows: Column) -> Column:
-    leads = lambda r: F.when(r["role"].startswith("s"), SYSTEM).when(r["role"].startswith("u"), USER).when(r["role"].startswith("a"), ASSISTANT).otherwise(0)
+    leads = lambda r: F.when(r["initial"] == "s", SYSTEM).when(r["initial"] == "u", USER).when(r["initial"] == "a", ASSISTANT).otherwise(0)
     return F.transform(rows, lambda r: leads(r) + F.when(r["fault"].isin(1, 2), 4).when(r["fault"] == 3, 8).otherwise(0))
 
 
@@ -206,13 +208,13 @@ def repair_conversations(rows: DataFrame, segment: int = SEGMENT, fan: int = FAN
     rows. A null role or text is one space, a null conv_id is a conversation like any other, an empty table gives no
     rows. Texts count as equal if their SHA-256 is.
     """
-    faulty = _faults(rows)
+    ordered, faulty = _faults(rows)
     place = F.floor(F.col("n") / segment)
     # the last row of a segment is also shown to the next one, for the pair of roles that they form
     shown = faulty.withColumn("segment", F.explode(F.when((F.col("n") + 1) % segment == 0, F.array(place, place + 1)).otherwise(F.array(place))))
     own = place == F.col("segment")
-    row = F.struct("n", F.col("turn").cast("long").alias("turn"), "role", "text", "fault")
-    parts = shown.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.when(own, row))).alias("rows"), F.min(F.when(~own, F.left("role", F.lit(1)))).alias("before"))
+    rows_of = F.sort_array(F.collect_list(F.when(own, F.struct("n", "initial", "fault"))))
+    parts = shown.groupBy("conv_id", "segment").agg(rows_of.alias("rows"), F.min(F.when(~own, F.col("initial"))).alias("before"))
     parts = materialize(parts.where(F.size("rows") > 0).withColumn("cells", _cells(F.col("rows"))))
     bounds = materialize(parts.groupBy("conv_id").agg(F.min("segment").alias("first"), F.max("segment").alias("last")).where("first < last"))
     bounds = bounds.withColumnRenamed("conv_id", "at_id")
@@ -248,18 +250,26 @@ def repair_conversations(rows: DataFrame, segment: int = SEGMENT, fan: int = FAN
     states = materialize(numbered(states, "state").drop("closes"))
     placed = traced.join(states.hint("merge"), here, "left").drop("at_id", "at")
 
-    def edit(rows: pa.Array, before: pa.Array, audits: pa.Array, v: pa.Array, closes: pa.Array, state: pa.Array) -> list[pa.Array]:
+    # texts meet the plans of their segments in one aggregation
+    plan = F.struct("audits", "v", "closes", "state", F.transform("rows", lambda r: r["fault"].cast("long")).alias("faults"), F.transform("rows", lambda r: r["initial"]).alias("initials"), "before")
+    plans = placed.select("conv_id", "segment", plan.alias("plan"))
+    row = F.struct("n", F.col("turn").cast("long").alias("turn"), "role", "text")
+    texts = ordered.select("conv_id", place.alias("segment"), row.alias("row"))
+    every = texts.unionByName(plans, allowMissingColumns=True).groupBy("conv_id", "segment")
+    every = every.agg(F.sort_array(F.collect_list("row")).alias("rows"), F.first("plan", ignorenulls=True).alias("plan"))
+
+    def edit(rows: pa.Array, plans: pa.Array) -> list[pa.Array]:
         edits, faults, initials = [], [], []
-        for r, b, a, after, last, s in zip(*(x.to_pylist() for x in (rows, before, audits, v, closes, state))):
-            s = s[0] if s else START
-            edits.append(apply_edits(r, a[s] + ("" if last is False else TAIL[after[s]]), s))
-            faults.append([x["fault"] for x in r])
-            initials.append(([] if b is None else [b]) + [x["role"][:1] for x in r])
+        for r, p in zip(rows.to_pylist(), plans.to_pylist()):
+            s = p["state"][0] if p["state"] else START
+            edits.append(apply_edits(r, p["audits"][s] + ("" if p["closes"] is False else TAIL[p["v"][s]]), s))
+            faults.append(p["faults"])
+            initials.append(([] if p["before"] is None else [p["before"]]) + p["initials"])
         return [pa.array(edits, pa.list_(pa.struct(EDIT))), lists(faults), pa.array(initials, pa.list_(pa.string()))]
 
     struct = T.StructType([T.StructField(n, T.LongType() if n == "turn" else T.StringType()) for n, _ in EDIT])
     fields = [("edits", T.ArrayType(struct)), ("faults", longs), ("initials", T.ArrayType(T.StringType()))]
-    made = annotate(placed, ["rows", "before", "audits", "v", "closes", "state"], fields, edit, ["conv_id", "segment"])
+    made = annotate(every, ["rows", "plan"], fields, edit, ["conv_id", "segment"])
     out = materialize(made.select("row.*", "res.*"))
     release(parts, matrices, ends, traced, many, states)
     return out

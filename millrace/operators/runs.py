@@ -17,8 +17,8 @@ from millrace.sources.shared import materialize
 
 # Cost of each filter; those above PAGE_COST aren't run at depth "page".
 FILTER_COSTS = {
-    "min_stars": 0, "team_topic": 0, "owner_country": 1, "min_geo_confidence": 1, "has_dockerfile": 2, "min_commits": 2, "max_commits": 2,
-    "min_language_bytes": 2, "max_language_bytes": 2, "funding": 3, "discussions": 3, "sponsors": 3, "coverage": 4, "ci": 4, "loc": 4, "min_loc": 4, "max_loc": 4,
+    "min_stars": 0, "team_topic": 0, "owner_country": 1, "min_geo_confidence": 1, "has_dockerfile": 2, "funding": 3, "discussions": 3, "sponsors": 3, "coverage": 4, "ci": 4, "loc": 4,
+    "min_loc": 4, "max_loc": 4, "min_commits": 2, "max_commits": 2, "min_language_bytes": 2, "max_language_bytes": 2,
 }
 PAGE_COST = 2
 # Filters that are recorded but can't be checked.

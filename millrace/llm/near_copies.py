@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,8 @@ SHINGLE = 5
 JACCARD = 0.8
 BANDS, ROWS = 16, 4
 MAX_PAIRED = 64
-BEFORE = 8
+#: Shingles of so many texts at most count as rare; shared shingles in front of one that are looked at.
+RARE, BEFORE = 64, 8
 _CHUNK = 1 << 13
 _FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LONGS = T.ArrayType(T.LongType())
@@ -77,18 +78,26 @@ def _apart(hot: DataFrame, found: DataFrame, sets: DataFrame, jaccard: float) ->
     counts = materialize(counts.where("sets > 1").select("key", "main"))
     nodes = named.join(counts.hint("merge"), "key").groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("lone"))
     nodes = materialize(nodes.select("node", "root", "lone", F.col("node.text_key").alias("text_key")))
-    each = nodes.join(sets.hint("merge"), "text_key").select("node", "root", "lone", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    each = materialize(each)
-    shared = materialize(each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
-    # shingles of no other text come first; then by how many texts have them
-    of_text = Window.partitionBy("node")
-    place = F.col("size") - F.count(F.lit(1)).over(of_text) + F.row_number().over(of_text.orderBy("texts", "gram")) - 1
-    # the shared shingles just before: where two texts have one of these in common, they have met on it
-    before = F.collect_list("gram").over(of_text.orderBy("texts", "gram").rowsBetween(-BEFORE, -1))
-    placed = each.join(shared.hint("merge"), "gram").withColumns({"place": place, "before": before})
+    texts = materialize(nodes.join(sets.hint("merge"), "text_key").select("node", "root", "lone", "grams"))
+    each = texts.select("node", F.explode("grams").alias("gram"))
+    counts_of = each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    scarce = materialize(counts_of.where(F.col("texts") <= RARE))
+    # of each text its shingles that few texts have, those of no other text counted only
+    few = each.join(scarce.hint("merge"), "gram").groupBy("node").agg(F.collect_list(F.struct("texts", "gram")).alias("few"))
+    few = materialize(few.select(F.col("node").alias("at"), F.array_sort("few").alias("few")))
+    own, shared = F.filter("few", lambda x: x["texts"] == 1), F.filter("few", lambda x: x["texts"] > 1)
+    plain = lambda a: F.transform(a, lambda x: x["gram"])
+    joined = texts.join(few.hint("merge"), F.col("node") == F.col("at"), "left").withColumn("few", F.coalesce("few", F.array().cast("array<struct<texts:long,gram:long>>")))
+    # one order for all texts: shingles of no other text, those of few texts, the others
+    ordered = joined.select("node", "root", "lone", F.size("grams").alias("size"), F.size(own).alias("alone"), F.concat(plain(shared), F.array_sort(F.array_except("grams", plain(F.col("few"))))).alias("order"))
     least = lambda share: F.ceil(F.col("size") * share - 1e-9)  # noqa: E731  shingles that a pair must have in common, for the size of one text
     as_long, as_short = F.col("size") - least(jaccard), F.col("size") - least(2 * jaccard / (1 + jaccard))
-    placed = materialize(placed.where(F.col("place") <= as_long).withColumn("early", F.col("place") <= as_short))
+    # with the shared shingles just before: where two texts have one of these in common, they have met on it
+    start = F.slice("order", 1, F.greatest(as_long + 1 - F.col("alone"), F.lit(0)).cast("int"))
+    before = lambda d: F.transform(d, lambda g, i: F.struct(g.alias("gram"), i.alias("i"), F.slice(d, F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE))).alias("before")))
+    placed = ordered.select("node", "root", "lone", "size", "alone", as_short.alias("as_short"), F.explode(F.get(F.transform(F.array(start), before), F.lit(0))).alias("s"))
+    place = (F.col("alone") + F.col("s.i")).alias("place")
+    placed = materialize(placed.select("node", "root", "lone", "size", place, "s.gram", "s.before", "as_short").withColumn("early", F.col("place") <= F.col("as_short")).drop("as_short"))
     short, long = placed.where("early").alias("a"), placed.alias("b")
     left: Column = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
     fits = ~F.arrays_overlap("a.before", "b.before") & (F.col("a.size") <= F.col("b.size")) & (F.col("b.size") * jaccard <= F.col("a.size") + 1e-9) & (left + 1e-9 >= (F.col("a.size") + F.col("b.size")) * (jaccard / (1 + jaccard)))
@@ -96,7 +105,7 @@ def _apart(hot: DataFrame, found: DataFrame, sets: DataFrame, jaccard: float) ->
     # one of the two is outside the largest set: join those with all, never the largest set with itself
     pairs = met(short.where("lone"), long, F.lit(True)).union(met(short.where("NOT lone"), long.where("lone"), F.lit(True)))
     out = materialize(pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    release(roots, named, counts, nodes, each, shared, placed)
+    release(roots, named, counts, nodes, texts, scarce, few, placed)
     return out
 
 

@@ -32,15 +32,21 @@ def normalize_records(raw: DataFrame, text: str = "value") -> tuple[DataFrame, D
     paths = ["id", "node_id", "full_name", "owner.id", "owner.login", "owner.type", "topics", "size", "name", "language", "license.spdx_id", "visibility", "private", "parent.full_name",
              "source.full_name", "custom_properties", *COUNTS, *STRINGS, *FLAGS, *TRISTATE, *TIMES]
     at_name = lambda p: f"_{p.replace('.', '_')}"
-    # each path is taken out of the record once, then each value's type once
-    whole = raw.select(text, F.try_parse_json(text).alias("_v"))
-    taken = whole.select(text, F.schema_of_variant("_v").alias("_kind"), *[F.try_variant_get("_v", f"$.{p}", "variant").alias(at_name(p)) for p in paths])
-    v = taken.select("*", *[F.coalesce(F.schema_of_variant(at_name(p)), F.lit("VOID")).alias(f"{at_name(p)}_kind") for p in paths])
+    # each path is taken out of the record once; a generator stands between, as filters on what follows would else be pushed
+    # below the parse, with a parse for each use of a value
+    taken = F.struct(F.schema_of_variant("_v").alias("_kind"), *[F.try_variant_get("_v", f"$.{p}", "variant").alias(at_name(p)) for p in paths])
+    whole = raw.select(text, F.try_parse_json(text).alias("_v")).select(text, F.inline(F.array(taken)))
+    kinds = F.struct(*[F.coalesce(F.schema_of_variant(at_name(p)), F.lit("VOID")).alias(f"{at_name(p)}_kind") for p in paths])
     at = lambda p, t="string": F.try_variant_get(at_name(p), "$", t)
     kind = lambda p: F.col(f"{at_name(p)}_kind")
     is_text = lambda p: (kind(p) == "STRING") & (at(p) != "")
     is_id = lambda p: kind(p) == "BIGINT"
-    number = lambda p: F.when(kind(p) == "BOOLEAN", F.lit(None).cast("long")).when(kind(p) == "VOID", F.lit(0).cast("long")).otherwise(coerce_count(at(p), kind(p) == "STRING"))
+    counted = [*COUNTS, "size"]
+    texts = whole.select("*", F.inline(F.array(kinds))).select("*", F.inline(F.array(F.struct(*[at(p).alias(f"{at_name(p)}_text") for p in counted]))))
+    whole_number = lambda p: coerce_count(f"{at_name(p)}_text", kind(p) == "STRING")
+    numbers = [F.when(kind(p) == "BOOLEAN", F.lit(None).cast("long")).when(kind(p) == "VOID", F.lit(0).cast("long")).otherwise(whole_number(p)).alias(f"{at_name(p)}_number") for p in counted]
+    v = texts.select("*", F.inline(F.array(F.struct(*numbers))))
+    number = lambda p: F.col(f"{at_name(p)}_number")
     topics_ok = kind("topics").isin("VOID", "ARRAY<STRING>", "ARRAY<VOID>") & ~((kind("topics") == "ARRAY<VOID>") & (F.size(at("topics", "array<string>")) > 0))
     checks = [
         ("not an object", ~F.coalesce("_kind", F.lit("VOID")).startswith("OBJECT")),

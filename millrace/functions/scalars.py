@@ -193,6 +193,11 @@ def epoch_s(c) -> Column:
     return col(c).cast("timestamp").cast("double")
 
 
+def rounded(c, digits: int) -> Column:
+    """A double rounded half away from zero by its product with 10^digits, as C does it; Spark's round goes by the shortest text of the double."""
+    return F.round(col(c) * 10.0**digits) / 10.0**digits
+
+
 def _seconds(later: Column, earlier: Column) -> Column:
     return epoch_s(later) - epoch_s(earlier)
 

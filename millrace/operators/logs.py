@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import epoch_s
+from millrace.functions.scalars import epoch_s, rounded
 from millrace.operators.slices import BLOCK, number_in_key, over_last, running
 from millrace.sources.shared import materialize
 
@@ -178,28 +178,52 @@ def throttle_sessions(log: DataFrame, key: str, ts: str = "ts", gap: str = "600
 SKETCH_K = 4096
 
 
-def live_slo(log: DataFrame, ts: str = "ts", width: str = "10 minutes", slide: str = "1 minute") -> DataFrame:
+def live_slo(log: DataFrame, ts: str = "ts", width: str = "10 minutes", slide: str = "1 minute", digits: int | None = None) -> DataFrame:
     """The metrics of slo_snapshot over the log in sliding windows, with n, throttled and mean_latency; batches and streams.
 
     Responses are summed up by pane, a tumbling window of one slide, and panes are merged into windows: counts, the
     newest known rest of the graphql quota, and a mergeable sketch of latencies, whose 0.95 quantile is a nearest rank. So
     a response is counted once, not once for each window. Columns that the log lacks (resource, remaining, incomplete)
     count as null.
+
+    A sum of panes differs in its last bits from a sum of latencies one by one. With `digits` mean_latency is rounded to so
+    many decimals, and what is rounded is the sum one by one, in the order of id (batches only; see _mean_by_id).
     """
+    size = {} if digits is None else {"size": F.sum(F.abs("latency_ms"))}
     of = lambda c: F.col(c) if c in log.columns else F.lit(None)
     rest = of("remaining").cast("long")
     quota = F.when((of("resource").cast("string") == "graphql") & rest.isNotNull(), F.struct(F.col(ts).alias("at"), *([F.col("id")] if "id" in log.columns else []), rest.alias("rest")))
     counts = {"n": F.lit(True), "throttled": F.col("status").isin(403, 429), "n_422": F.col("status") == 422, "n_cut": of("incomplete").cast("boolean"), "n_known": of("incomplete").isNotNull()}
     panes = log.groupBy(F.window(ts, slide).alias("pane")).agg(
         *[F.count_if(c).alias(name) for name, c in counts.items()], F.sum("latency_ms").alias("latency"), F.count("latency_ms").alias("n_latency"),
-        F.max(quota).alias("quota"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(SKETCH_K)).alias("sketch"),
+        *[c.alias(name) for name, c in size.items()], F.max(quota).alias("quota"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(SKETCH_K)).alias("sketch"),
     )
     merged = panes.groupBy(F.window("pane", width, slide).alias("w")).agg(
-        *[F.sum(name).alias(name) for name in (*counts, "latency", "n_latency")], F.max("quota").alias("quota"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"),
+        *[F.sum(name).alias(name) for name in (*counts, *size, "latency", "n_latency")], F.max("quota").alias("quota"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"),
     )
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
-    return merged.select(
+    found = merged.select(
         F.col("w.start").alias("start"), "n", "throttled", ratio("latency", "n_latency").alias("mean_latency"), F.col("quota.rest").alias("graphql_remaining"),
         ratio("n_cut", "n_known").alias("incomplete_results_ratio"), ratio("n_422", "n").alias("rate_422"), ratio("throttled", "n").alias("rate_403_429"),
-        F.when(F.col("n_latency") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(0.95))).alias("p95_latency_ms"),
+        F.when(F.col("n_latency") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(0.95))).alias("p95_latency_ms"), *size,
     )
+    return found if digits is None else _mean_by_id(found, log, ts, width, slide, digits)
+
+
+def _mean_by_id(found: DataFrame, log: DataFrame, ts: str, width: str, slide: str, digits: int) -> DataFrame:
+    """found with mean_latency rounded to `digits` decimals, as the sum of the latencies in the order of id gives it.
+
+    Two orders of n additions give means that are at most 2^-51 of `size`, the sum of the absolute values, apart. Where
+    twice that changes no decimal, the mean of panes is rounded. Only windows for which it does, whose mean lies half way
+    between two roundings, are added up again by id; each in one task, as a running sum that spills to disk.
+    """
+    found = materialize(found)
+    low, high = (rounded(F.col("mean_latency") + F.col("size") * by, digits) for by in (-(2.0**-50), 2.0**-50))
+    panes = F.explode(F.expr(f"sequence(start, start + interval {width} - interval {slide}, interval {slide})"))
+    order = [c for c in ("id", ts, "latency_ms") if c in log.columns]
+    timed = log.where("latency_ms IS NOT NULL").select(*order, F.window(ts, slide)["start"].alias("_pane"))
+    rows = timed.join(found.where(low != high).select("start", panes.alias("_pane")), "_pane")
+    so_far = Window.partitionBy("start").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select("start", F.count(F.lit(1)).over(so_far).alias("_n"), F.sum("latency_ms").over(so_far).alias("_sum"))
+    means = sums.groupBy("start").agg((F.max_by("_sum", "_n").cast("double") / F.max("_n")).alias("_mean"))
+    return found.join(means, "start", "left").withColumn("mean_latency", rounded(F.coalesce("_mean", "mean_latency"), digits)).drop("size", "_mean")

@@ -441,9 +441,9 @@ max_by(remaining, (ts, id)) FILTER (resource = 'graphql')::BIGINT AS graphql_rem
 round(count(*) FILTER (status = 422) / count(*), 6) AS rate_422, round(count(*) FILTER (status IN (403, 429)) / count(*), 6) AS rate_403_429, list_sort(list(latency_ms))[ceil(count(latency_ms) * 0.95)::INT] AS p95_latency_ms FROM w GROUP BY 1""")
 def _(t):
     log = response_log(t)
-    found = logs.live_slo(log.withColumn("ts", F.timestamp_seconds(F.floor(S.epoch_s("ts")))))
-    ratios = [F.round(c, 6).alias(c) for c in ("incomplete_results_ratio", "rate_422", "rate_403_429")]
-    return found.select(F.round(S.epoch_s("start")).cast("long").alias("start"), "n", "throttled", F.round("mean_latency", 4).alias("mean_latency"), "graphql_remaining", *ratios, "p95_latency_ms")
+    found = logs.live_slo(log.withColumn("ts", F.timestamp_seconds(F.floor(S.epoch_s("ts")))), digits=4)
+    ratios = [S.rounded(c, 6).alias(c) for c in ("incomplete_results_ratio", "rate_422", "rate_403_429")]
+    return found.select(F.round(S.epoch_s("start")).cast("long").alias("start"), "n", "throttled", "mean_latency", "graphql_remaining", *ratios, "p95_latency_ms")
 
 
 def slo_tables(t: Tables):

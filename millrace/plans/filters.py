@@ -38,11 +38,11 @@ def _(t):
 
 @query("s05_resumed_scan", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 700 % 2)::BIGINT AS page, o_totalprice FROM orders")
 def _(t):
-    """The whole table, two pages a call, each call from the cursor that the last one stored."""
+    """The whole table, two pages a call, in two writes: half of the calls, and the rest from the cursor that was stored."""
     path, orders = shared.scratch(t.spark), t.orders.select("o_orderkey", "o_totalprice", (F.col("o_orderkey") + 1).alias("id"))  # ids above 0
-    calls = -(-orders.count() // 1400)
-    for _ in range(calls):
-        cursor.resume_scan(orders, "id", path, page_size=700, max_pages=2)
+    half = -(-orders.count() // 2800)
+    for calls in (half, None):
+        cursor.resume_scan(orders, "id", path, page_size=700, max_pages=2, calls=calls)
     return cursor.scanned(t.spark, path).select("o_orderkey", "page", "o_totalprice")
 
 

@@ -7,6 +7,7 @@ from millrace.functions.predicates import DROP, KEEP
 from millrace.operators import runs
 from millrace.operators.runs import Handler
 from millrace.operators.selection import Order
+from millrace.plans import filters, registry  # noqa: F401  they register their queries
 from millrace.sources import cursor
 
 
@@ -35,6 +36,33 @@ def test_a_scan_goes_on_and_repeats_nothing(spark, tmp_path, monkeypatch):
     assert cursor.resume_scan(more, "id", path, page_size=7, max_pages=2) == 1000 and cursor.scanned(spark, path).count() == 101
 
 
+def test_calls_of_one_write_are_those_one_by_one(spark, tmp_path, monkeypatch):
+    ids = [i * 3 for i in range(1, 101)]
+    df = spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string").repartition(4)
+    rows = lambda path: sorted(tuple(r) for r in cursor.scanned(spark, path).select("id", "v", "page", "since").collect())
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    for _ in range(8):  # seven full calls, and a last page of two rows
+        cursor.resume_scan(df, "id", one, page_size=7, max_pages=2)
+    with monkeypatch.context() as m:  # killed before its commit
+        m.setattr(cursor, "touch", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            cursor.resume_scan(df, "id", many, page_size=7, max_pages=2, calls=5)
+    assert cursor.resume_scan(df, "id", many, page_size=7, max_pages=2, calls=3) == ids[41]
+    assert cursor.resume_scan(df, "id", many, page_size=7, max_pages=2, calls=None) == ids[-1]
+    assert cursor.resume_scan(df, "id", many, page_size=7, max_pages=2, calls=None) == ids[-1]
+    assert rows(many) == rows(one) and len(cursor.commits(spark, many)) == 2
+    assert {r[3] for r in rows(many)} == {0, *ids[13:98:14]}
+    # the page that reaches beyond stop_after is whole and ends the calls
+    assert cursor.resume_scan(df, "id", str(tmp_path / "stopped"), page_size=7, max_pages=2, stop_after=ids[30], calls=9) == ids[34]
+
+
+def test_the_query_scans_in_a_fixed_number_of_writes(spark, monkeypatch):
+    writes, scan = [], cursor.resume_scan
+    monkeypatch.setattr(cursor, "resume_scan", lambda *a, **b: writes.append(scan(*a, **b)))
+    found = registry.QUERIES["s05_resumed_scan"](spark, "/root/testdata/sf0.01")
+    assert len(writes) == 2 and found.count() == 15_000  # 11 calls
+
+
 def test_handlers_cost_and_stop_at_the_budget(spark):
     df = spark.range(20).withColumn("stars", 100 - F.col("id"))
     asked = []

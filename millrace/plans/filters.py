@@ -418,13 +418,16 @@ def _(t):
 w AS (SELECT unnest(range((epoch(ts)::BIGINT // 60 - 9) * 60, (epoch(ts)::BIGINT // 60 + 1) * 60, 60)) AS start FROM (SELECT to_timestamp(floor(epoch(ts))) AS ts FROM events, c WHERE events.ts >= cut))
 SELECT start, count(*) AS n FROM w, c WHERE start + 600 <= epoch(last) - 600 GROUP BY 1""")
 def _(t):
-    """The later half of the log comes first, in two batches, so the earlier half is too late and leaves no trace."""
-    target, second = shared.scratch(t.spark), F.unix_timestamp(F.col("ts").cast("timestamp"))
-    log = t.events.select(F.timestamp_seconds(second).alias("ts"), F.lit(200).alias("status"), F.col("value").alias("latency_ms"), F.col("ts").cast("timestamp").alias("at"), "user_id")
-    ends = t.events.agg(F.min(second).alias("a"), F.max(second).alias("b")).first()
-    cut = F.timestamp_seconds(F.lit((ends.a + ends.b) // 2))
-    even = F.col("user_id") % 2 == 0
-    for part in ((F.col("at") >= cut) & even, (F.col("at") >= cut) & ~even, F.col("at") < cut):
+    """The later half of the log comes first, in two batches, of which the first has the last row, so the earlier half is too late and leaves no trace."""
+    target, at = shared.scratch(t.spark), F.col("ts").cast("timestamp")
+    second, seconds = F.unix_timestamp(at), F.unix_micros(at) / 1e6
+    log = t.events.select(F.timestamp_seconds(second).alias("ts"), F.lit(200).alias("status"), F.col("value").alias("latency_ms"), at.alias("at"), "user_id")
+    # the middle to the microsecond, rounded as SQL's doubles are
+    middle = F.rint((F.min(seconds) + F.max(seconds)) / 2 * 1e6).cast("long")
+    ends = t.events.agg(middle.alias("cut"), F.max(second).alias("last")).first()
+    later = F.unix_micros("at") >= F.lit(ends.cut)
+    first = F.coalesce(F.col("user_id") % 2 == 0, F.lit(False)) | (F.unix_timestamp("ts") == F.lit(ends.last))
+    for part in (later & first, later & ~first, ~later):
         log.where(part).drop("at", "user_id").coalesce(1).write.mode("append").parquet(f"{target}/in")
     source = streams.read_stream(t.spark, f"{target}/in", log.drop("at", "user_id").schema)
     windows = slo.stream_slo(source).select(F.unix_timestamp("start").alias("start"), "n")

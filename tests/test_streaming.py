@@ -4,9 +4,12 @@ import datetime as dt
 import os
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import logs, merge, windows
+from millrace.plans import filters, registry  # noqa: F401  they register their queries
 from millrace.plans.registry import Tables
 from millrace.plans.relations import response_log
 from millrace.streaming import slo, streams
@@ -51,6 +54,21 @@ def test_dedupe_sink_and_late_rows(spark, tmp_path):
     assert spark.read.parquet(out).count() == 6
 
 
+@pytest.mark.parametrize("user", [lambda i: i, lambda i: 7, lambda i: None if i % 3 else 4], ids=["both", "odd", "none"])
+def test_late_rows_are_cut_in_the_exact_middle(spark, tmp_path, user):
+    """The middle is 3600.75 s; rows of that second lie before, on and after it, and users may lack one of the two batches."""
+    times = [0, *range(240, 7200, 60), 3600.5, 3600.749999, 3600.75, 3600.9, 7201.5]
+    rows = [(i, T0 + dt.timedelta(seconds=s), user(i), 1.0) for i, s in enumerate(times)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.sql(f"SELECT start, n FROM ({registry.SQL['t09_late_rows']})").fetchall()
+    got = registry.QUERIES["t09_late_rows"](spark, str(tmp_path)).select("start", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 40
+
+
 def test_quota_sessions_progress(spark, tmp_path, sf):
     log = response_log(Tables(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp"))
     path = str(tmp_path / "log")
